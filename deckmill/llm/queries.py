@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.ship import shipped
 from ..sources.tables import table
-from . import top_n, visual_form
+from . import boilerplate, residue, top_n, visual_form
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,26 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(p).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_fields(table(spark, d, "slides"))
+
+
+def p4_density(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_density(table(spark, d, "slides")).distinct()
+
+
+def _decks_of_statements(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.sources(table(spark, d, "submissions"), "ps_id", "deck_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_lines(table(spark, d, "slides"), _decks_of_statements(spark, d), "ps_id", "deck_id", "text").select("ps_id", "line")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.without_repeated_lines(table(spark, d, "slides").select("slide_key", "deck_id", "text").distinct(), "slide_key", _decks_of_statements(spark, d), "ps_id", "deck_id", "text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.best_submissions(table(spark, d, "submissions"), 5).select("ps_id", "submission_id")
 
