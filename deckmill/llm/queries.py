@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.ship import shipped
 from ..sources.tables import table
-from . import boilerplate, residue, top_n, visual_form
+from . import boilerplate, packing, residue, tokens, top_n, visual_form
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -59,5 +59,22 @@ def p6_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top_n.best_submissions(table(spark, d, "submissions"), 5)
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(table(spark, d, "documents").select("doc_id", tokens.token_count(spark, F.col("text")).alias("n")))
+    return packing.packed(sized, "doc_id", "n")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_packed(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: shipped(f) for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
