@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.ship import shipped
 from ..sources.tables import table
-from . import boilerplate, packing, residue, tokens, top_n, visual_form
+from . import boilerplate, near_duplicates, packing, residue, tokens, top_n, visual_form
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,18 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(p).distinct()
 
 
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.similar(table(spark, d, "slides"), table(spark, d, "assets"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.all_pairs(*_similar(spark, d))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.classes(*_similar(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_fields(table(spark, d, "slides"))
 
