@@ -105,8 +105,11 @@ def _emoji(ch: str) -> bool:
 
 
 @functools.lru_cache(maxsize=1)
-def compiled() -> tuple[Transducer, re.Pattern]:
-    """The checked transducer and the pattern of the segments it is run on."""
+def compiled() -> tuple[Transducer, re.Pattern, re.Pattern, re.Pattern]:
+    """The checked transducer; what a text without characters beyond the basic plane must hold to be rewritten; the segments of such a text, and of any.
+
+    A class within the basic plane is a bitmap to the pattern engine, one beyond it a list that is scanned.
+    """
     mapping, special = {}, []
     for a, b in _SCANNED:
         for cp in range(a, min(b, sys.maxunicode) + 1):
@@ -129,14 +132,20 @@ def compiled() -> tuple[Transducer, re.Pattern]:
         form = unicodedata.normalize("NFC", out)
         if unicodedata.normalize("NFC", t.run(form)) != form:
             raise ValueError(f"the output of {key!r} isn't final: {form!r}")
-    ranges, special = [], sorted(set(special))
-    for cp in special:
+    special = sorted(set(special))
+    low, high = _class([x for x in special if x < 0x10000]), _class(special)
+    return t, re.compile(f"[{low}]"), re.compile(f"[^{low}]?[{low}]+"), re.compile(f"[^{high}]?[{high}]+")
+
+
+def _class(cps: list[int]) -> str:
+    """The inside of a character class of the sorted ``cps``."""
+    ranges: list[list[int]] = []
+    for cp in cps:
         if ranges and ranges[-1][1] == cp - 1:
             ranges[-1][1] = cp
         else:
             ranges.append([cp, cp])
-    cls = "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in ranges)
-    return t, re.compile(f"[^{cls}]?[{cls}]+", re.DOTALL)
+    return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in ranges)
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -154,7 +163,10 @@ def visual_form(s: str | None) -> str | None:
     """``s`` in the one form shared by all texts that look like it; null stays null, empty stays empty."""
     if s is None or s.isascii() and "\t" not in s and "\r" not in s and "\x0b" not in s:
         return s
-    return compiled()[1].sub(lambda m: _segment(m[0]), s)
+    _, needed, basic, every = compiled()
+    if s.isascii() or max(s) < "\U00010000":
+        return basic.sub(lambda m: _segment(m[0]), s) if needed.search(s) else s
+    return every.sub(lambda m: _segment(m[0]), s)
 
 
 @F.arrow_udf(T.StringType())
