@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.ship import shipped
 from ..sources.tables import table
-from . import boilerplate, near_duplicates, packing, residue, tokens, top_n, visual_form
+from . import boilerplate, encodings, near_duplicates, packing, residue, tokens, top_n, visual_form
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +43,16 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.classes(*_similar(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    slides = table(spark, d, "slides")
+    return encodings.affected(slides, "slide_key", "text", cut(encodings.garbled_tokens(slides, "text")))
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    slides = table(spark, d, "slides")
+    return encodings.restored(slides, "slide_key", "text", cut(encodings.garbled_tokens(slides, "text")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_fields(table(spark, d, "slides"))
 
