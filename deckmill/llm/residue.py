@@ -35,8 +35,8 @@ _CODE = r"\(?(?:e-)?(?:0x)?[0-9a-f]{1,10}\)?"
 _FAULT = (
     r"(?:(?:page|file|resource|document) not found|bad (?:gateway|request)|gateway time-?out|too many requests|internal server error|service (?:temporarily )?unavailable"
     r"|access (?:to (?:this|the) (?:resource|page|document) is |is )?(?:denied|forbidden)|forbidden|unauthori[sz]ed|(?:the )?(?:request|connection) (?:has )?timed out"
-    r"|(?:could not|cannot|can.t|unable to|failed to) (?:load|reach|open|connect to|display|find|read) .{1,50}|.{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
-    r"|.{1,50} (?:is|are) no longer (?:here|available)|your session has (?:expired|ended|timed out).{0,50}|something went wrong.{0,50}"
+    r"|(?:could not|cannot|can.t|unable to|failed to) (?:load|reach|open|connect to|display|find|read) .{1,50}|the .{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
+    r"|the .{1,50} (?:is|are) no longer (?:here|available)|your session has (?:expired|ended|timed out).{0,50}|something went wrong.{0,50}"
     r"|seite (?:wurde )?nicht gefunden|zugriff verweigert|page introuvable|accès (?:refusé|interdit)|página no (?:encontrada|disponible)|página não encontrada|acceso denegado|acesso negado|страница не найдена)"
 )
 _NEED = (
@@ -47,15 +47,15 @@ _NEED = (
 )
 #: Whole lines, by kind.
 LINE_GRAMMARS = {
-    "slot": f"(?:(?:{MARKED_SLOT}|{LONE_SLOT})[\\s,;|/–-]*)+|.{{1,60}} goes here",
+    "slot": f"(?:(?:{MARKED_SLOT}|{LONE_SLOT})[\\s,;|/–-]*)+",
     "prompt": (
         r"(?:double[- ])?(?:click|tap|press|touch)(?: here| on this box| this box)? to (?:add|insert|enter|edit|replace|type|write|change)\b.{1,60}|select (?:here|this (?:box|field|shape)) to (?:add|insert|enter|edit|replace|type|write|change)\b.{1,60}"
-        r"|(?:touchez|cliquez|appuyez|tapez)(?: ici)? pour .{1,60}|(?:pulse|haga clic|toque|clique)(?: aquí| aqui)? para .{1,60}|zum .{1,40} (?:hier )?(?:tippen|klicken)|.{1,40} durch (?:klicken|tippen) .{1,30}"
+        r"|(?:touchez|cliquez|appuyez|tapez)(?: ici)? pour .{1,60}|(?:pulse|haga clic|toque|clique)(?: aquí| aqui)? para .{1,60}|zum .{1,40} (?:hier )?(?:tippen|klicken)"
         r"|escriba (?:el|la|su|un|una) (?:título|subtítulo|texto|nombre|fecha).{0,30}|type (?:something|here|(?:your )?text).{0,20}|(?:your|insert|votre|ihr|su|seu|tu) (?:own )?(?:text|texte|texto|title|titre|título|titel|name|nom|nombre|logo|image|picture|content|subtitle|heading|caption)s? (?:here|ici|hier|aquí|aqui)"
     ),
     "filler": (
         r"(?:sample|dummy|filler|placeholder) (?:text|copy|content|title|heading|headline|caption|image|line)|(?:dummy|sample|filler|placeholder|blah|bla|foo|asdf)(?:[\s,]+(?:dummy|sample|filler|placeholder|blah|bla|bar|foo|asdf))*"
-        r"|\S{1,20}(?: \S{1,20})? placeholder|placeholder for .{1,40}|(?:tbd|tba|tbc|todo|x{3,}|\?{3,})(?:[\s,/]+(?:tbd|tba|tbc|todo|x{3,}))*|(?:…|\.\.\.)? ?to be (?:filled|completed|done|added|defined|confirmed|determined|written)(?: in| later| soon)? ?(?:…|\.\.\.)?"
+        r"|placeholder for .{1,40}|(?:tbd|tba|tbc|todo|x{3,}|\?{3,})(?:[\s,/]+(?:tbd|tba|tbc|todo|x{3,}))*|(?:…|\.\.\.)? ?to be (?:filled|completed|done|added|defined|confirmed|determined|written)(?: in| later| soon)? ?(?:…|\.\.\.)?"
         r"|(?:bullet|item|point) (?:one|two|three|four|five|[1-9])|(?:first|second|third|fourth|fifth) level|(?:erste|zweite|dritte|vierte|fünfte) ebene|(?:premier|deuxième|troisième|quatrième|cinquième) niveau|(?:primer|segundo|tercer|cuarto|quinto) nivel"
     ),
     "error": (
@@ -65,6 +65,14 @@ LINE_GRAMMARS = {
     ),
     "script": f"{_NEED}.{{0,80}}",
 }
+#: Whole lines whose telling words stand at the end or in the middle; looked for only where such a word stands.
+OPEN_GRAMMARS = {
+    "goes here": r".{1,60} goes here",
+    "placeholder": r"\S{1,20}(?: \S{1,20})? placeholder",
+    "durch ": r".{1,40} durch (?:klicken|tippen) .{1,30}",
+    "no longer": r".{1,50} (?:is|are) no longer (?:here|available)",
+    "ed or ": r".{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed) or (?:moved|deleted|removed)",
+}
 _LEAD = r"(?:[-•▪*–·]\s*|\d{1,2}[.)]\s+)?"
 #: A line that is residue as a whole, Java and Python syntax alike; compile without regard to case.
 LINE = r"^" + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*$"
@@ -72,18 +80,22 @@ LINE = r"^" + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*
 LONGEST_LINE = 200
 #: A line is filler when this share of its words is in FILLER_WORDS.
 FILLER_SHARE = 0.7
-_FILLER = r"(?i)\b(?:" + "|".join(FILLER_WORDS.split()) + r")\b"
+_BY_LETTER = {a: [w[1:] for w in FILLER_WORDS.split() if w[0] == a] for a in sorted({w[0] for w in FILLER_WORDS.split()})}
+_FILLER = r"(?i)\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
 _TRIM = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def word_count(line: Column) -> Column:
     """Runs of characters other than white space that hold a letter or digit."""
-    return F.regexp_count(line, F.lit(r"[^\s\p{Z}]*[\p{L}\p{N}][^\s\p{Z}]*"))
+    return F.regexp_count(line, F.lit(r"[\p{L}\p{N}][^\s\p{Z}]*"))
 
 
 def residue_words(line: Column, words: Column) -> Column:
     """How many of a trimmed line's ``words`` are residue."""
-    whole = (F.length(line) <= LONGEST_LINE) & line.rlike("(?i)" + LINE)
+    whole = line.rlike("(?i)" + LINE)
+    for word, grammar in OPEN_GRAMMARS.items():
+        whole = whole | (F.contains(line, F.lit(word)) & line.rlike(f"(?i)^{_LEAD}(?:{grammar})\\s*[.!:…]*$"))
+    whole = (F.length(line) <= LONGEST_LINE) & whole
     filler = F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words)
     slots = F.aggregate(F.regexp_extract_all(line, F.lit(f"({MARKED_SLOT})"), F.lit(0)), F.lit(0), lambda a, s: a + word_count(s))
     marked = line.rlike(r"\{\{|\$\{|\{%|<%|\[\[|__|##|@@")
