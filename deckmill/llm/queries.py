@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.ship import shipped
 from ..sources.tables import table
-from . import boilerplate, encodings, near_duplicates, packing, residue, tokens, top_n, visual_form
+from . import boilerplate, encodings, near_duplicates, packing, reading, residue, tokens, top_n, visual_form
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -98,5 +98,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_packed(spark, d))
 
 
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("n_words >= 50 and level = 5").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: shipped(f) for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
