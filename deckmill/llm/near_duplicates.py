@@ -173,10 +173,10 @@ def candidates(rows: DataFrame, placed: DataFrame, plans: dict[str, Plan]) -> Da
         copies = small_side(placed.where((F.col("record_type") == kind) & (F.col("key") != F.col("rep"))).select("key"))
         d = rows.where(F.col("record_type") == kind).join(copies, "key", "left_anti").select("key", "sig", F.posexplode("bands").alias("band", "k"))
         d = d.select((F.col("band").cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"), "key", "sig")
-        e = d.select("k", F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-        equal = F.lit(BITS) - F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b")))
-        pairs = d.join(e, "k").where((F.col("key") < F.col("b")) & (equal >= plan.least_equal_bits()))
-        pairs = pairs.select(F.lit(kind).alias("record_type"), F.col("key").alias("a"), "b").distinct()
+        # both sides are the very same plan, without renaming, so that they share one exchange
+        equal = F.lit(BITS) - F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
+        pairs = d.alias("x").join(d.alias("y"), F.col("x.k") == F.col("y.k")).where((F.col("x.key") < F.col("y.key")) & (equal >= plan.least_equal_bits()))
+        pairs = pairs.select(F.lit(kind).alias("record_type"), F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
