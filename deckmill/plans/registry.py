@@ -1,15 +1,392 @@
-"""The engine's queries, each over whole tables, and their SQL."""
+"""The engine's queries, each over whole tables; ``oracle`` has their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.ship import shipped
+from ..operators import content, geometry, matching, scoring
+from ..sources.tables import norm_hash, table
+from .oracle import SQL
+
+#: Parameters of the queries: terms, phases, thresholds and weights are data of the caller.
+FILLER = ["scalable", "robust", "low-cost", "in real time", "reliably"]
+VAGUE = ["reliably", "scalable", "temporarily", "additional"]
+CUES = "[0-9]"
+PHASES = {
+    "problem": ["problem", "stakeholder"], "solution": ["approach", "solution", "feature", "architecture"], "evidence": ["result", "finding", "dataset", "evaluation", "prototype"],
+    "plan": ["roadmap", "deployment", "cost", "team"], "close": ["thank", "question", "contact", "reference"],
+}
+BUCKETS = {"A": 85.0, "B": 70.0, "C": 55.0}
+WEIGHTS = {"proposal": 70.0, "deck": 30.0}
+STAGES = ["native", "rendered", "ocr", "vision"]
+
+
+def _boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes for the layout operators: a label is a slide, a vector a box."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    return table(s, d, "embeddings").select(F.col("label").alias("slide"), F.col("vec_id").alias("id"), (0.5 + e(1)).alias("x"), (0.5 + e(2)).alias("y"), F.abs(e(3)).alias("w"), F.abs(e(4)).alias("h"))
+
+
+def _blocks(s, d):
+    return content.blocks(table(s, d, "slides"))
+
+
+def _latest(s, d):
+    """Each submission's latest scoring."""
+    return scoring.latest(table(s, d, "submissions"), ["ps_id", "submission_id"], "scored_at", ["final_score", "proposal_score", "deck_quality_score", "status", "deck_id"])
+
+
+def overlap_pairs(s, d):
+    return geometry.overlap_pairs(_boxes(s, d))
+
+
+def alignment_mismatch(s, d):
+    return geometry.alignment_mismatch(_boxes(s, d))
+
+
+def union_area(s, d):
+    return geometry.union_area(_boxes(s, d))
+
+
+def empty_regions(s, d):
+    return geometry.empty_regions(_boxes(s, d))
+
+
+def margins(s, d):
+    return geometry.margins(_boxes(s, d))
+
+
+def clipping(s, d):
+    b = _boxes(s, d)
+    return geometry.clipping(b.withColumns({"w": F.col("w") * 4, "h": F.col("h") * 4}))
+
+
+def whitespace_balance(s, d):
+    return geometry.whitespace_balance(_boxes(s, d))
+
+
+def alignment_groups(s, d):
+    return geometry.alignment_groups(_boxes(s, d))
+
+
+def equal_spacing(s, d):
+    return geometry.equal_spacing(_boxes(s, d))
+
+
+def peer_groups(s, d):
+    return geometry.peer_groups(_boxes(s, d))
+
+
+def nearest_box(s, d):
+    return geometry.nearest_box(_boxes(s, d))
+
+
+def box_reading_order(s, d):
+    return geometry.reading_order(_boxes(s, d))
+
+
+def text_profile(s, d):
+    return content.text_profile(_blocks(s, d))
+
+
+def content_structure(s, d):
+    return content.content_structure(_blocks(s, d))
+
+
+def filler_ratio(s, d):
+    return content.filler_ratio(_blocks(s, d), FILLER)
+
+
+def filler_terms(s, d):
+    return content.term_counts(_blocks(s, d), FILLER)
+
+
+def ambiguous_claims(s, d):
+    return content.ambiguous_claims(_blocks(s, d), VAGUE, CUES)
+
+
+def narrative_flow(s, d):
+    return content.narrative_flow(_blocks(s, d), PHASES)
+
+
+def slide_types(s, d):
+    """Slides by the phase of their first block."""
+    b = _blocks(s, d).where("block_no = 0").select(F.coalesce(content.phase(F.lower("text"), PHASES), F.lit("content")).alias("slide_type"), "deck_id")
+    return b.groupBy("slide_type").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
+
+
+def duplicate_content(s, d):
+    return content.duplicate_content(table(s, d, "slides"))
+
+
+def weighted_median_words(s, d):
+    """Per deck the number of words of a block at which half of the characters are reached."""
+    return content.weighted_median(content.text_profile(_blocks(s, d)), ["deck_id"], "words", "chars")
+
+
+def evidence_visibility(s, d):
+    return content.evidence_visibility(table(s, d, "slides"), STAGES)
+
+
+def link_dedup(s, d):
+    return content.links(table(s, d, "slides"))
+
+
+def slide_titles(s, d):
+    """The first non-blank block of each slide, cut to 40 characters."""
+    b = _blocks(s, d).groupBy("slide_key").agg(F.min_by("text", "block_no").alias("t"))
+    return b.select("slide_key", tx.brief(F.col("t"), 40).alias("title"))
+
+
+def media_registry(s, d):
+    """Assets of a deck numbered by part name."""
+    from pyspark.sql.window import Window
+
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"])
+    n = F.row_number().over(Window.partitionBy("deck_id").orderBy("part_name", "asset_id"))
+    return a.select("deck_id", "asset_id", F.format_string("asset-%04d", n).alias("ordinal_id"), norm_hash(F.col("sha256")).alias("file_hash"))
+
+
+def repeated_media(s, d):
+    """Files in more than one deck, with their uses."""
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"]).select("deck_id", norm_hash(F.col("sha256")).alias("file_hash")).where("file_hash is not null")
+    per = a.groupBy("file_hash", "deck_id").agg(F.count("*").alias("n"))
+    return per.groupBy("file_hash").agg(F.count("*").alias("n_decks"), F.sum("n").alias("n_uses")).where("n_decks > 1")
+
+
+def media_relevance(s, d):
+    """Per deck the share of its files that repeat another, and the score that this leaves."""
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"]).select("deck_id", norm_hash(F.col("sha256")).alias("h")).where("h is not null")
+    g = a.groupBy("deck_id", "h").agg(F.count("*").alias("n")).groupBy("deck_id").agg(F.sum("n").alias("n_files"), F.sum(F.col("n") - 1).alias("n_repeats"))
+    r = F.col("n_repeats") / F.col("n_files")
+    return g.select("deck_id", "n_files", F.round(r, 6).alias("repeat_ratio"), F.round(1 - 0.15 * r, 6).alias("relevance"))
+
+
+def media_types(s, d):
+    """Most frequent content type of each deck; ties go to the first by name."""
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"]).where("content_type is not null")
+    g = a.groupBy("deck_id", "content_type").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+    m = g.groupBy("deck_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "content_type")).alias("m"), F.count("*").alias("n_types"), F.sum("bytes").alias("bytes"))
+    return m.select("deck_id", F.col("m.content_type").alias("content_type"), "n_types", "bytes")
+
+
+def noise_reasons(s, d):
+    """Why an asset isn't worth a look: reasons in a fixed order, assets without one left out."""
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"]).withColumn("h", norm_hash(F.col("sha256")))
+    uses = a.where("h is not null").groupBy("h", "deck_id").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_decks")).where("n_decks >= 5")
+    j = a.join(uses, "h", "left")
+    reasons = F.concat_ws(",", F.when(F.col("size_bytes") < 20000, "small"), F.when(F.col("n_decks") >= 5, "repeated"), F.when(F.col("h").isNull(), "no_hash"), F.when(F.col("content_type").isNull(), "no_type"))
+    return j.select("deck_id", "asset_id", reasons.alias("reasons")).where("reasons <> ''")
+
+
+def problem_ids(s, d):
+    """Statement ids as read from decks, normalised, with the slug of the deck's name."""
+    x = table(s, d, "decks").select("deck_id", "deck_name", "ps_id").distinct()
+    return x.select("deck_id", tx.problem_id(F.col("ps_id")).alias("ps_norm"), tx.slug(F.col("deck_name"), "deck").alias("slug"))
+
+
+def problem_resolver(s, d):
+    """Decks by whether their normalised statement id has a statement."""
+    x = table(s, d, "decks").select("deck_id", tx.problem_id(F.col("ps_id")).alias("k")).distinct()
+    p = table(s, d, "problems").select(tx.problem_id(F.col("ps_id")).alias("k"), "title").distinct()
+    j = x.join(p, "k", "left")
+    return j.groupBy("k").agg(F.count("*").alias("n_decks"), F.max("title").alias("title"), F.max(F.when(F.col("title").isNull(), "unresolved").otherwise("resolved")).alias("state"))
+
+
+def inferred_problem(s, d):
+    """The statement id that a deck's first slide names in its text."""
+    b = _blocks(s, d).where("slide_number = 1").withColumn("id", F.nullif(F.regexp_extract(F.col("text"), r"(?i)\bPS (?:ID)?[ :#-]*([0-9]{5,8})", 1), F.lit("")))
+    return b.where("id is not null").groupBy("deck_id").agg(F.min_by("id", "block_no").alias("ps_inferred"))
+
+
+def inferred_team(s, d):
+    """The team that a deck's first slide names, bullets stripped."""
+    b = _blocks(s, d).where("slide_number = 1").withColumn("t", F.nullif(F.trim(F.regexp_extract(F.col("text"), r"(?i)^[•▪* -]*team name *[:–-] *(.+)$", 1)), F.lit("")))
+    return b.where("t is not null").groupBy("deck_id").agg(F.min_by("t", "block_no").alias("team"))
+
+
+def problem_weights(s, d):
+    p = table(s, d, "problems").dropDuplicates(["problem_key"])
+    return scoring.normalised_weights(p)
+
+
+def leaderboard(s, d):
+    """Every submission's latest scoring with bucket and place within its statement."""
+    x = _latest(s, d).withColumns({c: scoring.finite(F.col(c)) for c in ("final_score", "proposal_score", "deck_quality_score")})
+    eligible = F.col("final_score").isNotNull() & (F.col("status") != "failed")
+    zero = [F.coalesce(c, F.lit(0.0)).desc() for c in ("final_score", "proposal_score", "deck_quality_score")]
+    r = scoring.ranked(x, "ps_id", [*zero, F.lower("submission_id"), F.col("submission_id")], F.coalesce(eligible, F.lit(False)))
+    return r.select("ps_id", "submission_id", "final_score", scoring.bucket(F.col("final_score"), BUCKETS, "D", "REVIEW").alias("bucket"), "place")
+
+
+def leaderboard_lines(s, d):
+    """The leaderboard as lines of a Markdown table, three best of every statement."""
+    b = leaderboard(s, d).where("place <= 3")
+    line = F.format_string("| %d | %s | %s | %s |", "place", F.replace(F.col("submission_id"), F.lit("|"), F.lit("\\|")), F.format_number("final_score", 2), "bucket")
+    return b.select("ps_id", "place", line.alias("line"))
+
+
+def bucket_counts(s, d):
+    return leaderboard(s, d).groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("final_score"), 4).alias("mean_score"))
+
+
+def score_summary(s, d):
+    """Spread of a statement's final scores."""
+    x = _latest(s, d).withColumn("f", scoring.finite(F.col("final_score")))
+    g = x.groupBy("ps_id").agg(F.count("*").alias("n"), F.count("f").alias("n_scored"), F.avg("f").alias("a"), F.stddev_pop("f").alias("sd"), F.median("f").alias("m"), F.min("f").alias("lowest"), F.max("f").alias("highest"))
+    return g.select("ps_id", "n", "n_scored", F.round("a", 4).alias("mean_score"), F.round("sd", 4).alias("deviation"), F.round("m", 4).alias("median_score"), "lowest", "highest")
+
+
+def weighted_group(s, d):
+    """Proposal and deck scores of each submission as one weighted score; each missing team name costs points."""
+    x = scoring.latest(table(s, d, "submissions"), ["ps_id", "submission_id"], "scored_at", ["proposal_score", "deck_quality_score", "team"])
+    parts = F.array(F.struct(F.lit("proposal").alias("component"), scoring.finite(F.col("proposal_score")).alias("v")), F.struct(F.lit("deck").alias("component"), scoring.finite(F.col("deck_quality_score")).alias("v")))
+    long = x.select("ps_id", "submission_id", "team", F.explode(parts).alias("p")).select("ps_id", "submission_id", "team", "p.component", "p.v")
+    return scoring.weighted_group(long, ["ps_id", "submission_id"], "component", "v", WEIGHTS, F.col("team").isNull().cast("int"))
+
+
+def _calibration(s, d):
+    x = _latest(s, d).select((scoring.finite(F.col("proposal_score")) / 100).alias("confidence"), scoring.finite(F.col("final_score")).alias("f")).where("f is not null")
+    return x.select("confidence", (F.col("f") >= 60).alias("correct"))
+
+
+def calibration_bins(s, d):
+    return scoring.calibration_bins(_calibration(s, d), "confidence", "correct")
+
+
+def calibration_error(s, d):
+    return scoring.calibration_error(_calibration(s, d), "confidence", "correct")
+
+
+def _next_slides(s, d):
+    """Text of a slide and of the deck's next one."""
+    x = content.once(table(s, d, "slides")).select("slide_key", "deck_id", "slide_number", F.coalesce(F.array_join("text", " "), F.lit("")).alias("t"))
+    n = x.select("deck_id", (F.col("slide_number") - 1).alias("slide_number"), F.col("t").alias("u"))
+    return x.join(n, ["deck_id", "slide_number"]).select("slide_key", "t", "u")
+
+
+def word_prf(s, d):
+    return matching.word_overlap(_next_slides(s, d), "slide_key", "t", "u")
+
+
+def character_error(s, d):
+    """Edit distance of a slide's first block to that of the deck's next slide; plain ASCII titles only, of which the two engines count the same characters."""
+    b = _blocks(s, d).where("block_no = 0").select("slide_key", "deck_id", "slide_number", F.col("text").alias("t"))
+    n = b.select("deck_id", (F.col("slide_number") - 1).alias("slide_number"), F.col("t").alias("u"))
+    p = b.join(n, ["deck_id", "slide_number"]).where((F.length("t") == F.octet_length("t")) & (F.length("u") == F.octet_length("u")))
+    return matching.character_error(p, "slide_key", "t", "u")
+
+
+def completeness(s, d):
+    """Decks that were handed in without slides, and decks with slides that nobody handed in."""
+    e = table(s, d, "submissions").select("deck_id").where("deck_id is not null")
+    return matching.completeness(e, table(s, d, "slides").select("deck_id"), ["deck_id"])
+
+
+def contract_violations(s, d):
+    """Rows that break a rule of the tables, by rule."""
+    n = content.once(table(s, d, "slides")).groupBy("deck_id").agg(F.count("*").alias("n"))
+    k = table(s, d, "decks").dropDuplicates(["deck_id"])
+    x = k.join(n, "deck_id", "left")
+    a = matching.violations(x, {"slide_count_differs": F.col("slide_count") != F.coalesce("n", F.lit(0)), "no_slides": F.col("n").isNull(), "no_slide_count": F.col("slide_count").isNull(), "no_statement": F.col("ps_id").isNull()}, ["deck_id"])
+    orphans = table(s, d, "assets").select("deck_id").distinct().join(k.select("deck_id"), "deck_id", "left_anti").select(F.lit("asset_without_deck").alias("rule"), "deck_id")
+    return a.unionByName(orphans).groupBy("rule").agg(F.count("*").alias("n"), F.min("deck_id").alias("first_deck"))
+
+
+def upsert_scores(s, d):
+    """First and latest scoring of each submission that was scored at different times."""
+    x = table(s, d, "submissions").select("ps_id", "submission_id", "scored_at", F.col("rank_pos").alias("r")).distinct()
+    g = x.groupBy("ps_id", "submission_id").agg(F.count_distinct("scored_at").alias("n_times"), F.min("scored_at").alias("first_at"), F.max("scored_at").alias("last_at"))
+    return g.where("n_times > 1")
+
+
+def as_of_view(s, d):
+    """Each purchase with the value of the user's last view before or at its time."""
+    e = table(s, d, "events")
+    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.col("value").alias("paid"))
+    v = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return matching.as_of(p, v, "user_id", "ts", "value", "seen").select("event_id", F.round("paid", 6).alias("paid"), F.round("seen", 6).alias("seen"))
+
+
+def media_components(s, d):
+    """Decks that share a file of two to five decks, directly or through others."""
+    a = table(s, d, "assets").select("deck_id", norm_hash(F.col("sha256")).alias("h")).where("h is not null and deck_id is not null").distinct()
+    n = a.groupBy("h").agg(F.count("*").alias("n"), F.min("deck_id").alias("u")).where("n between 2 and 5")
+    e = a.join(n, "h").select("u", F.col("deck_id").alias("v")).where("u < v")
+    return matching.components(e, "u", "v").select(F.col("node").alias("deck_id"), "component")
+
+
+def shared_hashes(s, d):
+    """Set operations on the files of two source formats."""
+    a = table(s, d, "assets").select("deck_id", norm_hash(F.col("sha256")).alias("h")).where("h is not null")
+    k = table(s, d, "decks").select("deck_id", F.lower("source_format").alias("f")).distinct()
+    j = a.join(k, "deck_id").select("h", "f")
+    x, y = j.where("f = 'pdf'").select("h"), j.where("f <> 'pdf'").select("h")
+    sets = {"both": x.intersect(y), "pdf_only": x.exceptAll(y.distinct()).distinct().join(y.distinct(), "h", "left_anti"), "any": x.union(y).distinct()}
+    out = None
+    for name, q in sets.items():
+        g = q.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def grounding(s, d):
+    """Share of a statement's requirements of which a word of six letters or more stands in its title or description."""
+    p = table(s, d, "problems").dropDuplicates(["problem_key"]).select("ps_id", F.lower(F.concat_ws(" ", "title", "description")).alias("t"), F.explode("requirements").alias("r"))
+    w = F.regexp_extract_all(F.lower("r.description"), F.lit("[a-z]{6,}"), F.lit(0))
+    p = p.withColumn("ok", F.exists(w, lambda x: F.contains(F.col("t"), x)).cast("int"))
+    return p.groupBy("ps_id").agg(F.count("*").alias("n_requirements"), F.round(F.avg("ok"), 6).alias("grounded"))
+
+
+def deck_profile(s, d):
+    """A deck's counts from three tables, each aggregated before it is joined."""
+    k = table(s, d, "decks").dropDuplicates(["deck_id"]).select("deck_id", F.lower("source_format").alias("source_format"), F.coalesce("aspect_ratio", F.round(F.col("width") / F.nullif(F.col("height"), F.lit(0)), 12)).alias("aspect"))
+    sl = content.once(table(s, d, "slides")).groupBy("deck_id").agg(F.count("*").alias("n_slides"), F.sum(F.when(F.size("text") > 0, F.size("text")).otherwise(0)).alias("n_blocks"))
+    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"]).groupBy("deck_id").agg(F.count("*").alias("n_assets"), F.sum("size_bytes").alias("bytes"))
+    j = k.join(sl, "deck_id", "left").join(a, "deck_id", "left")
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select("deck_id", "source_format", F.round("aspect", 6).alias("aspect"), z("n_slides"), z("n_blocks"), z("n_assets"), z("bytes"))
+
+
+def late_deliveries(s, d):
+    """Rows by the days between scoring and loading."""
+    x = table(s, d, "submissions").groupBy("ps_id", "submission_id", "scored_at").agg(F.min("loaded_at").alias("loaded_at"))
+    days = F.datediff(F.col("loaded_at"), F.col("scored_at"))
+    kind = F.when(F.col("loaded_at") < F.col("scored_at"), "before").when(days <= 1, "in time").when(days <= 7, "within a week").otherwise("late")
+    return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def event_windows(s, d):
+    """Tumbling windows of an hour over the events, as the streaming query sums them."""
+    from ..streaming.windows import windowed
+
+    return windowed(table(s, d, "events"))
+
+
+def event_sessions(s, d):
+    """Sessions of a user's events with gaps of at most half an hour."""
+    from ..streaming.windows import sessions
+
+    return sessions(table(s, d, "events"))
+
+
+_QUERIES = (
+    overlap_pairs, alignment_mismatch, union_area, empty_regions, margins, clipping, whitespace_balance, alignment_groups, equal_spacing, peer_groups, nearest_box, box_reading_order,
+    text_profile, content_structure, filler_ratio, filler_terms, ambiguous_claims, narrative_flow, slide_types, duplicate_content, weighted_median_words, evidence_visibility, link_dedup, slide_titles,
+    media_registry, repeated_media, media_relevance, media_types, noise_reasons, problem_ids, problem_resolver, inferred_problem, inferred_team, problem_weights, leaderboard, leaderboard_lines, bucket_counts,
+    score_summary, weighted_group, calibration_bins, calibration_error, word_prf, character_error, completeness, contract_violations, upsert_scores, as_of_view, media_components, shared_hashes, grounding,
+    deck_profile, late_deliveries, event_windows, event_sessions,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: shipped(f) for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
