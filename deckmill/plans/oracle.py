@@ -73,7 +73,7 @@ SQL: dict[str, str] = {
  runs as (select *, k - row_number() over (partition by slide, g0, g1 order by k) as run from gaps),
  g as (select slide, g0, g1, min(x0) as x0, max(x1) as x1, round((max(x1) - min(x0)) * (g1 - g0), 6) as area from runs group by slide, g0, g1, run),
  n as (select *, row_number() over (partition by slide order by area desc, g0, x0, x1, g1) as place from g)
- select slide, place, round(x0, 6) as x0, round(x1, 6) as x1, round(g0, 6) as top, round(g1, 6) as bottom, area from n where place <= 64""",
+ select slide, place::int as place, round(x0, 6) as x0, round(x1, 6) as x1, round(g0, 6) as top, round(g1, 6) as bottom, area from n where place <= 64""",
     "margins": f'with {_BOX} select slide, round(min(x), 6) as "left", round(min(y), 6) as top, round(1 - max(r), 6) as "right", round(1 - max(b), 6) as bottom, round(max(r) - min(x), 6) as occupied_w, round(max(b) - min(y), 6) as occupied_h from e group by slide',
     "clipping": f"""with {_BOX}, f as (select slide, id, x, y, x + w * 4 as r, y + h * 4 as b, (w * 4) * (h * 4) as area from boxes),
  g as (select *, (greatest(0.0, least(1.0, r)) - greatest(0.0, least(1.0, x))) * (greatest(0.0, least(1.0, b)) - greatest(0.0, least(1.0, y))) as inside,
@@ -94,14 +94,14 @@ SQL: dict[str, str] = {
     "nearest_box": f"""with {_BOX}, d as (select p.slide, p.id, q.id as other, round(sqrt(pow(greatest(q.x - (p.x + p.w / 2), p.x + p.w / 2 - q.r, 0), 2) + pow(greatest(q.y - (p.y + p.h / 2), p.y + p.h / 2 - q.b, 0), 2)), 6) as d from e p join e q on p.slide = q.slide and p.id <> q.id),
  n as (select *, row_number() over (partition by slide, id order by d, other) as k from d) select slide, id, other as nearest_id, d as distance from n where k = 1 and d <= 0.08""",
     "box_reading_order": f"with {_BOX} select slide, case when count(*) < 2 then 'unknown' when max(y) - min(y) <= greatest(0.04, 1.5 * median(h)) then 'left_to_right' when max(x) - min(x) <= greatest(0.04, 1.5 * median(w)) then 'top_to_bottom' else 'unknown' end as reading_order from boxes group by slide",
-    "text_profile": f"with {_PROFILE} select * from prof",
+    "text_profile": f"with {_PROFILE} select * replace (block_no::int as block_no, chars::int as chars, words::int as words, sentences::int as sentences) from prof",
     "content_structure": f"""with {_PROFILE}, s as (select deck_id, slide_key, sum(chars) as c, sum(case when paragraph_like then chars else 0 end) as pc, sum(case when pointer_like then chars else 0 end) as oc, count(*) filter (not paragraph_like and not pointer_like) as amb, count(*) as n from prof group by deck_id, slide_key),
  t as (select *, (pc / c >= 0.55)::int as heavy, round(greatest(0.0, (case when pc / c <= 0.35 then 1.0 else (1 - pc / c) / (1 - 0.35) end) - least(0.25, 0.05 * amb)), 6) as score from s)
  select deck_id, round(sum(pc) / sum(c), 6) as paragraph_ratio, round(sum(oc) / sum(c), 6) as pointer_ratio, round(avg(heavy), 6) as heavy_ratio, round(sum(amb) / sum(n), 6) as ambiguous_ratio, round(avg(score), 6) as structure_score from t group by deck_id""",
     "filler_ratio": f"with {_BLOCKS} select deck_id, count(*) as n_blocks, round(avg(({' or '.join(_HAS.format('lower(text)', t) for t in _TERMS)})::int), 6) as filler_ratio from blocks group by deck_id",
     "filler_terms": f"with {_BLOCKS}, t as (select * from (values {', '.join(f"('{t}')" for t in _TERMS)}) as v(term)) select term, count(*) as n_blocks, count(distinct deck_id) as n_decks from blocks join t on regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by term",
     "ambiguous_claims": f"""with {_BLOCKS}, s as (select slide_key, block_no, unnest(regexp_split_to_array(lower(text), '[.!?]\\s+')) as s from blocks), v as (select * from s where len(regexp_extract_all(s, '[a-z0-9]+')) >= 4 and not regexp_matches(s, '[0-9]')),
- t as (select * from (values ('additional'), ('reliably'), ('scalable'), ('temporarily')) as x(term)) select slide_key, block_no, string_agg(distinct term, ',' order by term) as terms from v join t on regexp_matches(s, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by slide_key, block_no""",
+ t as (select * from (values ('additional'), ('reliably'), ('scalable'), ('temporarily')) as x(term)) select slide_key, block_no::int as block_no, string_agg(distinct term, ',' order by term) as terms from v join t on regexp_matches(s, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by slide_key, block_no""",
     "narrative_flow": f"""with {_BLOCKS}, s as (select deck_id, slide_number, {_PHASE} as phase from blocks where block_no = 0),
  g as (select deck_id, {', '.join(f"min(slide_number) filter (phase = '{n}') as {n}" for n in _PHASES)}, min(slide_number) as lo, max(slide_number) as hi from s group by deck_id),
  h as (select *, list_filter([{', '.join(_PHASES)}], lambda x: x is not null) as p from g),
@@ -128,8 +128,8 @@ SQL: dict[str, str] = {
     "inferred_team": f"with {_BLOCKS}, i as (select deck_id, block_no, nullif(trim(regexp_extract(text, '(?i)^[•▪* -]*team name *[:–-] *(.+)$', 1)), '') as t from blocks where slide_number = 1) select deck_id, arg_min(t, block_no) as team from i where t is not null group by deck_id",
     "problem_weights": f"""with {_PROBLEMS}, r as (select ps_id, unnest(requirements) as q, generate_subscripts(requirements, 1) as i from pd), s as (select ps_id, i, q.id as requirement, q.weight as weight, round(q.weight / nullif(sum(q.weight) over (partition by ps_id), 0), 6) as raw, i = max(i) over (partition by ps_id) as is_last from r)
  select ps_id, requirement, weight, round(case when is_last then 1.0 - sum(case when is_last then 0.0 else raw end) over (partition by ps_id) else raw end, 6) as share from s""",
-    "leaderboard": f"with {_BOARD} select * from board",
-    "leaderboard_lines": f"with {_BOARD} select ps_id, place, printf('| %d | %s | %.2f | %s |', place, replace(submission_id, '|', '\\|'), final_score, bucket) as line from board where place <= 3",
+    "leaderboard": f"with {_BOARD} select * replace (place::int as place) from board",
+    "leaderboard_lines": f"with {_BOARD} select ps_id, place::int as place, printf('| %d | %s | %.2f | %s |', place, replace(submission_id, '|', '\\|'), final_score, bucket) as line from board where place <= 3",
     "bucket_counts": f"with {_BOARD} select bucket, count(*) as n, round(avg(final_score), 4) as mean_score from board group by bucket",
     "score_summary": f"with {_LATEST} select ps_id, count(*) as n, count(final_score) as n_scored, round(avg(final_score), 4) as mean_score, round(stddev_pop(final_score), 4) as deviation, round(median(final_score), 4) as median_score, min(final_score) as lowest, max(final_score) as highest from fin group by ps_id",
     "weighted_group": f"""with lt as (select ps_id, submission_id, unnest(max(struct_pack(scored_at := scored_at, proposal_score := proposal_score, deck_quality_score := deck_quality_score, team := team))) from submissions group by ps_id, submission_id),
