@@ -24,5 +24,17 @@ select ps_id, line from counts join totals using (ps_id) where n >= 5 and n >= 0
 """
 
 
+_SETS = """
+with s as (select distinct on (slide_key) slide_key, regexp_extract_all(lower(array_to_string(list_filter(text, lambda x: x is not null), ' ')), '[\\p{L}\\p{N}]+') as w from slides where text is not null),
+grams as (select distinct 'slide' as record_type, slide_key as key, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as e from s where len(w) >= 40),
+files as (select distinct 'deck' as record_type, deck_id as key, lower(sha256) as e from assets where sha256 is not null),
+elements as (select * from grams union all select * from files where key in (select key from files group by key having count(*) >= 5)),
+sizes as (select record_type, key, count(*) as n from elements group by record_type, key),
+common as (select a.record_type, a.key as key_a, b.key as key_b, count(*) as c from elements a join elements b on a.record_type = b.record_type and a.e = b.e and a.key < b.key group by 1, 2, 3)
+select c.record_type, key_a, key_b from common c join sizes a on a.record_type = c.record_type and a.key = key_a join sizes b on b.record_type = c.record_type and b.key = key_b
+where c.c >= (case c.record_type when 'slide' then 0.7 else 0.6 end) * (a.n + b.n - c.c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _LINES, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group")}
+    return {"p2_found": _SETS, "p5_found": _LINES, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}
