@@ -55,7 +55,7 @@ def alignment_mismatch(df: DataFrame) -> DataFrame:
         ("left", F.col("p_x"), F.col("q_x"), facing_x), ("right", F.col("p_r"), F.col("q_r"), facing_x), ("center_x", mid("p", "x", "w"), mid("q", "x", "w"), facing_x),
         ("top", F.col("p_y"), F.col("q_y"), facing_y), ("bottom", F.col("p_b"), F.col("q_b"), facing_y), ("center_y", mid("p", "y", "h"), mid("q", "y", "h"), facing_y),
     ):
-        d = F.round(F.abs(p - q), 9)
+        d = F.abs(p - q)
         found.append(F.when((facing >= FACING) & (d > ALIGNED) & (d <= NEARLY_ALIGNED), F.struct(d.alias("distance"), F.lit(name).alias("edge"))))
     best = F.array_min(F.array_compact(F.array(*found)))
     d = e.where("p_w > 0 and p_h > 0 and q_w > 0 and q_h > 0").withColumn("m", best).where("m is not null")

@@ -63,9 +63,9 @@ anch as (select {", ".join("v." + k.strip() for k in keys.split(","))}, v.v, max
 
 SQL: dict[str, str] = {
     "overlap_pairs": f"{_PAIR} select slide, first_id, second_id, round(sx * sy, 6) as intersection, round(sx * sy / least(pa, qa), 6) as of_smaller, round(sx * sy / (pa + qa - sx * sy), 6) as iou from pq where sx > 0 and sy > 0",
-    "alignment_mismatch": f"""{_PAIR}, d as (select slide, first_id, second_id, unnest([{{'o': 'left', 'f': sx / least(pw, qw), 'd': round(abs(px - qx), 9)}}, {{'o': 'right', 'f': sx / least(pw, qw), 'd': round(abs(pr - qr), 9)}},
- {{'o': 'center_x', 'f': sx / least(pw, qw), 'd': round(abs(px + pw / 2 - (qx + qw / 2)), 9)}}, {{'o': 'top', 'f': sy / least(ph, qh), 'd': round(abs(py - qy), 9)}}, {{'o': 'bottom', 'f': sy / least(ph, qh), 'd': round(abs(pb - qb), 9)}},
- {{'o': 'center_y', 'f': sy / least(ph, qh), 'd': round(abs(py + ph / 2 - (qy + qh / 2)), 9)}}], recursive := true) from pq where pw > 0 and ph > 0 and qw > 0 and qh > 0),
+    "alignment_mismatch": f"""{_PAIR}, d as (select slide, first_id, second_id, unnest([{{'o': 'left', 'f': sx / least(pw, qw), 'd': abs(px - qx)}}, {{'o': 'right', 'f': sx / least(pw, qw), 'd': abs(pr - qr)}},
+ {{'o': 'center_x', 'f': sx / least(pw, qw), 'd': abs(px + pw / 2 - (qx + qw / 2))}}, {{'o': 'top', 'f': sy / least(ph, qh), 'd': abs(py - qy)}}, {{'o': 'bottom', 'f': sy / least(ph, qh), 'd': abs(pb - qb)}},
+ {{'o': 'center_y', 'f': sy / least(ph, qh), 'd': abs(py + ph / 2 - (qy + qh / 2))}}], recursive := true) from pq where pw > 0 and ph > 0 and qw > 0 and qh > 0),
  n as (select *, row_number() over (partition by slide, first_id, second_id order by d, o) as k from d where f >= 0.75 and d > 0.005 and d <= 0.05) select slide, first_id, second_id, o as edge, round(d, 6) as distance from n where k = 1""",
     "union_area": f"with {_BOX}, {_union('boxes')}, a as (select slide, {_AREA} as a from cov group by slide) select slide, n_boxes, round(coalesce(a, 0), 6) as union_area from (select slide, count(*) as n_boxes from boxes group by slide) left join a using (slide)",
     "empty_regions": f"""with {_BOX}, {_union('boxes')}, gaps as (select slide, k, x0, x1, reach as g0, t as g1 from cov where t > reach union all
