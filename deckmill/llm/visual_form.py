@@ -33,7 +33,7 @@ LOOKALIKES = {
 }
 
 #: Sequences that are drawn like one character which has no canonical decomposition to them.
-SEQUENCES = {"\r\n": "\n", "अा": "आ", "ाे": "ो", "ाै": "ौ", "एे": "ऐ", "आे": "ओ", "आै": "औ"}
+SEQUENCES = {"अा": "आ", "ाे": "ो", "ाै": "ौ", "एे": "ऐ", "आे": "ओ", "आै": "औ"}
 
 #: Decomposition tags that only tell a presentation; <super>, <sub>, <circle>, <square> and <fraction> can be seen.
 _PRESENTATION = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<vertical>", "<font>"}
@@ -100,8 +100,9 @@ class Transducer:
         return "".join(out)
 
 
-def _emoji(ch: str) -> bool:
-    return ch >= "\U0001f000" or "☀" <= ch <= "➿" or ch in "\u2640\u2642\ufe0f"
+#: A joiner between two emoji is seen: the two are drawn as one.
+_EMOJI = "\\U0001f000-\\U0001faff\\u2600-\\u27bf"
+_JOINER = re.compile(f"(?<=[{_EMOJI}\\ufe0f])\\u200d(?=[{_EMOJI}])")
 
 
 @functools.lru_cache(maxsize=1)
@@ -126,7 +127,6 @@ def compiled() -> tuple[Transducer, re.Pattern, re.Pattern, re.Pattern]:
                 special.append(cp)
     for key, out in SEQUENCES.items():
         mapping[key] = _single(out) if len(out) == 1 else out
-        special += [ord(x) for x in key if ord(x) == 0x0D]
     t = Transducer(mapping)
     for key, out in mapping.items():
         form = unicodedata.normalize("NFC", out)
@@ -150,11 +150,6 @@ def _class(cps: list[int]) -> str:
 
 @functools.lru_cache(maxsize=200_000)
 def _segment(s: str) -> str:
-    if "\u200d" in s[1:-1]:  # a joiner between two emoji is seen: the pair is drawn as one
-        parts = s.split("\u200d")
-        for i in range(len(parts) - 1):
-            if parts[i] and parts[i + 1] and _emoji(parts[i][-1]) and _emoji(parts[i + 1][0]):
-                return "\u200d".join(_segment(p) for p in parts)
     out = compiled()[0].run(s)
     return unicodedata.normalize("NFC", compiled()[0].run(unicodedata.normalize("NFC", out)))
 
@@ -163,6 +158,10 @@ def visual_form(s: str | None) -> str | None:
     """``s`` in the one form shared by all texts that look like it; null stays null, empty stays empty."""
     if s is None or s.isascii() and "\t" not in s and "\r" not in s and "\x0b" not in s:
         return s
+    if "\r" in s:
+        s = s.replace("\r\n", "\n")
+    if "\u200d" in s and _JOINER.search(s):
+        return "\u200d".join(visual_form(x) for x in _JOINER.split(s))
     _, needed, basic, every = compiled()
     if s.isascii() or max(s) < "\U00010000":
         return basic.sub(lambda m: _segment(m[0]), s) if needed.search(s) else s
