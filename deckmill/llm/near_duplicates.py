@@ -52,7 +52,7 @@ class Plan:
 
 
 SLIDES = Plan(0.7, 32, 4)
-DECKS = Plan(0.6, 64, 4)
+DECKS = Plan(0.6, 120, 5)
 
 
 def estimate(equal_bits, bits: int = BITS):
