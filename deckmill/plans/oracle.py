@@ -21,6 +21,7 @@ cov as (select s.slide, s.k, s.x0, s.x1, c.t, c.b, coalesce(max(c.b) over (parti
 
 _AREA = "sum(greatest(0.0, b - greatest(t, reach)) * (x1 - x0))"
 _SLIDES = "sd as (select distinct on (slide_key) slide_key, deck_id, slide_number, text, visibility, hyperlinks from slides)"
+_SL2 = "sf as (select distinct on (slide_key) slide_key, deck_id, slide_number, flow_present, flow_direction from slides)"
 _SQUEEZE = "trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _BLOCKS = f"""{_SLIDES}, raw as (select slide_key, deck_id, slide_number, unnest(text) as t, generate_subscripts(text, 1) - 1 as block_no from sd),
 blocks as (select slide_key, deck_id, slide_number, block_no, {_SQUEEZE.format("t")} as text from raw where t is not null and {_SQUEEZE.format("t")} <> '')"""
@@ -167,4 +168,21 @@ SQL: dict[str, str] = {
     "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "event_sessions": """with a as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events), b as (select user_id, ts, sum(case when gap is null or gap >= interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from a)
  select user_id, min(ts) as session_start, count(*) as n from b group by user_id, s""",
+    "deck_flow": f"""with {_SL2} select deck_id, bool_or(flow_present) as flow_present, arg_min(flow_direction, slide_number) filter (flow_direction <> 'unknown') as direction, count(*) filter (flow_direction <> 'unknown') as n_known from sf group by deck_id""",
+    "merged_visibility": f"""with {_SLIDES}, a as (select deck_id, [visibility.native, visibility.rendered, visibility.ocr, visibility.vision] as v, list_filter([visibility.native, visibility.rendered, visibility.ocr, visibility.vision], lambda x: x not in ('not_requested', 'not_applicable')) as q from sd),
+ b as (select deck_id, case when len(q) = 0 then case when list_contains(v, 'not_requested') then 'not_requested' else 'not_applicable' end when len(list_filter(q, lambda x: x = 'verified')) = len(q) then 'verified' when list_contains(q, 'verified') or list_contains(q, 'partial') then 'partial' when list_contains(q, 'failed') then 'failed' else 'unverified' end as status from a)
+ select status, count(*) as n_slides, count(distinct deck_id) as n_decks from b group by status""",
+    "stage_statuses": f"""with {_SLIDES}, a as (select unnest([{{'stage': 'native', 'status': visibility.native}}, {{'stage': 'rendered', 'status': visibility.rendered}}, {{'stage': 'ocr', 'status': visibility.ocr}}, {{'stage': 'vision', 'status': visibility.vision}}], recursive := true) from sd) select stage, status, count(*) as n from a group by stage, status""",
+    "positional_words": f"""with {_NEXT}, wa as (select slide_key, unnest(regexp_extract_all(lower(t), '{_WORD}')) as w, generate_subscripts(regexp_extract_all(lower(t), '{_WORD}'), 1) as n from nx), wb as (select slide_key, unnest(regexp_extract_all(lower(u), '{_WORD}')) as w, generate_subscripts(regexp_extract_all(lower(u), '{_WORD}'), 1) as n from nx),
+ a as (select *, row_number() over (partition by slide_key, w order by n) as k from wa), b as (select *, row_number() over (partition by slide_key, w order by n) as k from wb)
+ select slide_key, count(*) as n_matched, sum(abs(a.n - b.n))::bigint as shift from a join b using (slide_key, w, k) group by slide_key""",
+    "statement_recall": f"""with {_BLOCKS}, {_DECKS}, {_PROBLEMS}, k as (select deck_id, {_PID} as k from dd), p as (select {_PID} as k, unnest(requirements).description as r from pd),
+ e as (select deck_id, replace(lower({_SQUEEZE.format('r')}), 'ß', 'ss') as r from k join p using (k) where r is not null and {_SQUEEZE.format('r')} <> ''), t as (select deck_id, string_agg(replace(lower(text), 'ß', 'ss'), chr(10)) as t from blocks group by deck_id),
+ g as (select deck_id, count(*) as n, count(*) filter (contains(t, r)) as f from e left join t using (deck_id) group by deck_id), al as (select deck_id from t union select deck_id from e)
+ select deck_id, coalesce(n, 0) as n_expected, coalesce(f, 0) as n_found, round(case when coalesce(n, 0) = 0 then 1.0 else f / n end, 6) as recall from al left join g using (deck_id)""",
+    "slide_labels": f"""with {_SLIDES} select distinct deck_id, slide_number as page, case when slide_number >= 3 then 'p' || (slide_number - 2) when slide_number >= 1 then repeat('i', slide_number) else slide_number::varchar end as label from sd""",
+    "selected_slides": f"""with {_SLIDES}, x as (select distinct deck_id, slide_number from sd), w as (select distinct deck_id, unnest([1, 2, 5]) as n from x), j as (select w.deck_id, x.slide_number as s from w left join x on x.deck_id = w.deck_id and x.slide_number = w.n) select deck_id, count(s) as n_there, count(*) - count(s) as n_missing from j group by deck_id""",
+    "format_mismatch": f"""with {_DECKS}, x as (select lower(source_format) as source_format, lower(regexp_extract(deck_name, '\\.([A-Za-z0-9]+)$', 1)) as suffix from dd) select source_format, source_format = suffix as same, count(*) as n from x group by 1, 2""",
+    "findings": f"""with {_LATEST}, l as (select ps_id || '/' || submission_id as submission, unnest([{{'name': 'final_score', 'v': final_score}}, {{'name': 'proposal_score', 'v': proposal_score}}, {{'name': 'deck_quality_score', 'v': deck_quality_score}}], recursive := true) from fin),
+ k as (select submission, name, case when v is null then 'ambiguous' when v < 60 then 'weakness' when v >= 85 then 'strength' end as kind from l) select * from k where kind is not null""",
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..functions import text as tx
 from ..functions.ship import shipped
-from ..operators import content, geometry, matching, scoring
+from ..operators import accuracy, content, evidence, geometry, matching, responses, scoring
 from ..sources.tables import norm_hash, table
 from .oracle import SQL
 
@@ -375,12 +376,77 @@ def event_sessions(s, d):
     return sessions(table(s, d, "events"))
 
 
+def deck_flow(s, d):
+    """Whether a deck shows a flow: true on any slide, else false on any, else unknown; with the first known direction."""
+    x = content.once(table(s, d, "slides"))
+    known = F.col("flow_direction").isNotNull() & (F.col("flow_direction") != "unknown")
+    g = x.groupBy("deck_id").agg(F.bool_or("flow_present").alias("flow_present"), F.min(F.when(known, F.struct("slide_number", "flow_direction"))).alias("m"), F.count_if(known).alias("n_known"))
+    return g.select("deck_id", "flow_present", F.col("m.flow_direction").alias("direction"), "n_known")
+
+
+def merged_visibility(s, d):
+    """Slides by the status that their four stages have together."""
+    x = content.once(table(s, d, "slides")).select(evidence.merged_status(F.array(*[F.col(f"visibility.{k}") for k in STAGES])).alias("status"), "deck_id")
+    return x.groupBy("status").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
+
+
+def stage_statuses(s, d):
+    """Slides by stage and status."""
+    x = content.once(table(s, d, "slides")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"visibility.{k}").alias("status")) for k in STAGES])).alias("v"))
+    return x.groupBy("v.stage", "v.status").agg(F.count("*").alias("n"))
+
+
+def positional_words(s, d):
+    """Words of a slide that the deck's next slide has too, occurrence by occurrence."""
+    n = _next_slides(s, d)
+    side = lambda c: n.select("slide_key", F.posexplode(tx.words(F.lower(c))).alias("n", "text"))
+    m = accuracy.positional_matches(side("t"), side("u"), ["slide_key"])
+    return m.groupBy("slide_key").agg(F.count("*").alias("n_matched"), F.sum(F.abs(F.col("reference_n") - F.col("hypothesis_n"))).alias("shift"))
+
+
+def statement_recall(s, d):
+    """Requirements of a deck's statement of which the description stands in the deck's text."""
+    k = table(s, d, "decks").select("deck_id", tx.problem_id(F.col("ps_id")).alias("k")).distinct()
+    p = table(s, d, "problems").dropDuplicates(["problem_key"]).select(tx.problem_id(F.col("ps_id")).alias("k"), F.explode("requirements.description").alias("text"))
+    return accuracy.text_recall(k.join(p, "k").select("deck_id", "text"), _blocks(s, d).select("deck_id", "text"), "deck_id")
+
+
+def slide_labels(s, d):
+    """Slides labelled like pages: two in small Roman numerals, the rest in numbers from 1 with a prefix."""
+    x = content.once(table(s, d, "slides")).select("deck_id", F.col("slide_number").alias("page")).distinct()
+    e = x.select("deck_id").distinct().select("deck_id", F.explode(F.array(F.struct(F.lit(1).alias("page"), F.lit("r").alias("style"), F.lit("").alias("prefix")), F.struct(F.lit(3).alias("page"), F.lit("D").alias("style"), F.lit("p").alias("prefix")))).alias("e"))
+    return labels.page_labels(x, e.select("deck_id", "e.page", "e.style", "e.prefix", F.lit(1).alias("first")))
+
+
+def selected_slides(s, d):
+    """Slides of a selection, and the selected numbers that a deck lacks."""
+    x = content.once(table(s, d, "slides")).select("deck_id", "slide_number").distinct()
+    want = x.select("deck_id").distinct().select("deck_id", F.explode(labels.selection(F.lit("1-2, 5"))).alias("slide_number"))
+    j = want.join(x.withColumn("there", F.lit(1)), ["deck_id", "slide_number"], "left")
+    return j.groupBy("deck_id").agg(F.count("there").alias("n_there"), (F.count("*") - F.count("there")).alias("n_missing"))
+
+
+def format_mismatch(s, d):
+    """Decks by format and by whether the file's suffix says the same."""
+    x = table(s, d, "decks").dropDuplicates(["deck_id"]).select(F.lower("source_format").alias("source_format"), F.lower(F.regexp_extract("deck_name", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"))
+    return x.groupBy("source_format", (F.col("source_format") == F.col("suffix")).alias("same")).agg(F.count("*").alias("n"))
+
+
+def findings(s, d):
+    """What is strong, weak or unknown about each submission's latest scores."""
+    x = _latest(s, d)
+    parts = F.array(*[F.struct(F.lit(c).alias("name"), scoring.finite(F.col(c)).alias("v")) for c in ("final_score", "proposal_score", "deck_quality_score")])
+    long = x.select(F.concat_ws("/", "ps_id", "submission_id").alias("submission"), F.explode(parts).alias("p")).select("submission", "p.name", "p.v")
+    return responses.findings(long, "submission", "name", "v")
+
+
 _QUERIES = (
     overlap_pairs, alignment_mismatch, union_area, empty_regions, margins, clipping, whitespace_balance, alignment_groups, equal_spacing, peer_groups, nearest_box, box_reading_order,
     text_profile, content_structure, filler_ratio, filler_terms, ambiguous_claims, narrative_flow, slide_types, duplicate_content, weighted_median_words, evidence_visibility, link_dedup, slide_titles,
     media_registry, repeated_media, media_relevance, media_types, noise_reasons, problem_ids, problem_resolver, inferred_problem, inferred_team, problem_weights, leaderboard, leaderboard_lines, bucket_counts,
     score_summary, weighted_group, calibration_bins, calibration_error, word_prf, character_error, completeness, contract_violations, upsert_scores, as_of_view, media_components, shared_hashes, grounding,
     deck_profile, late_deliveries, event_windows, event_sessions,
+    deck_flow, merged_visibility, stage_statuses, positional_words, statement_recall, slide_labels, selected_slides, format_mismatch, findings,
 )
 
 
