@@ -16,9 +16,17 @@ def once(slides: DataFrame) -> DataFrame:
     return slides.dropDuplicates(["slide_key"])
 
 
+BLOCK = ["slide_key", "block_no"]
+
+
 def blocks(slides: DataFrame) -> DataFrame:
-    """(slide_key, deck_id, slide_number, block_no, text): the squeezed, non-blank text blocks."""
-    d = once(slides).select("slide_key", "deck_id", "slide_number", F.posexplode("text").alias("block_no", "text"))
+    """(slide_key, deck_id, slide_number, block_no, text): the squeezed, non-blank text blocks of every delivery of a slide.
+
+    Operators below reduce a block to what they need of it before they take each
+    block once, so that redelivered rows are told from what is narrow and text
+    isn't shuffled.
+    """
+    d = slides.select("slide_key", "deck_id", "slide_number", F.posexplode("text").alias("block_no", "text"))
     return d.withColumn("text", tx.squeeze(F.col("text"))).where("text <> ''")
 
 
@@ -29,6 +37,7 @@ def text_profile(b: DataFrame) -> DataFrame:
         F.col("text").rlike("^[A-Za-z][A-Za-z0-9 /&-]{1,30}:").alias("is_label"), F.col("text").rlike("^[•▪*·–-]").alias("is_bullet"),
     )
     d = d.withColumn("paragraph_like", (F.col("words") >= PARAGRAPH_WORDS) | (F.col("chars") >= PARAGRAPH_CHARS) | (F.col("sentences") >= PARAGRAPH_SENTENCES))
+    d = d.dropDuplicates(BLOCK)
     return d.withColumn("pointer_like", ~F.col("paragraph_like") & ((F.col("words") <= POINTER_WORDS) | F.col("is_label") | F.col("is_bullet")))
 
 
@@ -51,13 +60,14 @@ def filler_ratio(b: DataFrame, terms: list[str]) -> DataFrame:
     hit = F.lit(False)
     for t in terms:
         hit = hit | tx.has_term(low, t)
-    return b.groupBy("deck_id").agg(F.count("*").alias("n_blocks"), F.round(F.avg(hit.cast("int")), 6).alias("filler_ratio"))
+    d = b.select(*BLOCK, "deck_id", hit.cast("int").alias("hit")).dropDuplicates(BLOCK)
+    return d.groupBy("deck_id").agg(F.count("*").alias("n_blocks"), F.round(F.avg("hit"), 6).alias("filler_ratio"))
 
 
 def term_counts(b: DataFrame, terms: list[str]) -> DataFrame:
     """(term, n_blocks, n_decks) of the blocks that hold each term."""
     low = F.lower("text")
-    d = b.select("deck_id", F.explode(F.array_compact(F.array(*[F.when(tx.has_term(low, t), F.lit(t)) for t in terms]))).alias("term"))
+    d = b.select(*BLOCK, "deck_id", F.explode(F.array_compact(F.array(*[F.when(tx.has_term(low, t), F.lit(t)) for t in terms]))).alias("term")).distinct()
     return d.groupBy("term").agg(F.count("*").alias("n_blocks"), F.count_distinct("deck_id").alias("n_decks"))
 
 
@@ -70,7 +80,7 @@ def ambiguous_claims(b: DataFrame, terms: list[str], cues: str) -> DataFrame:
     sentence = F.split(F.lower("text"), r"[.!?]\s+")
     vague = F.filter(sentence, lambda s: (F.regexp_count(s, F.lit(r"[a-z0-9]+")) >= 4) & ~s.rlike(cues))
     found = F.array_compact(F.array(*[F.when(F.exists(vague, _holds(t)), F.lit(t)) for t in sorted(terms)]))
-    return b.select("slide_key", "block_no", F.array_join(found, ",").alias("terms")).where("terms <> ''")
+    return b.select("slide_key", "block_no", F.array_join(found, ",").alias("terms")).where("terms <> ''").dropDuplicates(BLOCK)
 
 
 def phase(text: Column, phases: dict[str, list[str]]) -> Column:
@@ -87,7 +97,7 @@ def phase(text: Column, phases: dict[str, list[str]]) -> Column:
 def narrative_flow(b: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
     """(deck_id, coverage, ordered, opening, closing, flow): which phases a deck has, whether they come in order, and whether it opens and closes with the first and last."""
     names = list(phases)
-    s = b.where("block_no = 0").select("deck_id", "slide_number", phase(F.lower("text"), phases).alias("phase"))
+    s = b.where("block_no = 0").select("deck_id", "slide_number", phase(F.lower("text"), phases).alias("phase")).distinct()
     g = s.groupBy("deck_id").agg(*[F.min(F.when(F.col("phase") == n, F.col("slide_number"))).alias(n) for n in names], F.min("slide_number").alias("lo"), F.max("slide_number").alias("hi"))
     present = F.filter(F.array(*[F.col(n) for n in names]), lambda x: x.isNotNull())
     g = g.withColumn("p", present).withColumn("n", F.size("p"))
@@ -100,8 +110,9 @@ def narrative_flow(b: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
 
 def duplicate_content(slides: DataFrame) -> DataFrame:
     """(deck_id, n_slides, n_repeats, duplicate_ratio) over a deck's slides with text; a text's slides after the first are repeats."""
-    d = once(slides).select("deck_id", tx.fold(F.array_join("text", " ")).alias("t")).where("t <> ''")
-    g = d.groupBy("deck_id", "t").agg(F.count("*").alias("n")).groupBy("deck_id").agg(F.sum("n").alias("n_slides"), F.sum(F.col("n") - 1).alias("n_repeats"))
+    t = tx.fold(F.array_join("text", " "))
+    d = slides.select("slide_key", "deck_id", t.alias("t")).where("t <> ''").select("slide_key", "deck_id", F.xxhash64("t").alias("t1"), F.xxhash64(F.lit("t"), "t").alias("t2")).dropDuplicates(["slide_key"])
+    g = d.groupBy("deck_id", "t1", "t2").agg(F.count("*").alias("n")).groupBy("deck_id").agg(F.sum("n").alias("n_slides"), F.sum(F.col("n") - 1).alias("n_repeats"))
     return g.withColumn("duplicate_ratio", F.round(F.col("n_repeats") / F.col("n_slides"), 6))
 
 

@@ -117,7 +117,7 @@ def narrative_flow(s, d):
 
 def slide_types(s, d):
     """Slides by the phase of their first block."""
-    b = _blocks(s, d).where("block_no = 0").select(F.coalesce(content.phase(F.lower("text"), PHASES), F.lit("content")).alias("slide_type"), "deck_id")
+    b = _blocks(s, d).where("block_no = 0").select(F.coalesce(content.phase(F.lower("text"), PHASES), F.lit("content")).alias("slide_type"), "deck_id", "slide_key").distinct()
     return b.groupBy("slide_type").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
 
 
@@ -277,7 +277,7 @@ def word_prf(s, d):
 
 def character_error(s, d):
     """Edit distance of a slide's first block to that of the deck's next slide; plain ASCII titles only, of which the two engines count the same characters."""
-    b = _blocks(s, d).where("block_no = 0").select("slide_key", "deck_id", "slide_number", F.col("text").alias("t"))
+    b = _blocks(s, d).where("block_no = 0").select("slide_key", "deck_id", "slide_number", F.col("text").alias("t")).dropDuplicates(["slide_key"])
     n = b.select("deck_id", (F.col("slide_number") - 1).alias("slide_number"), F.col("t").alias("u"))
     p = b.join(n, ["deck_id", "slide_number"]).where((F.length("t") == F.octet_length("t")) & (F.length("u") == F.octet_length("u")))
     return matching.character_error(p, "slide_key", "t", "u")
