@@ -75,14 +75,15 @@ OPEN_GRAMMARS = {
 }
 _LEAD = r"(?:[-•▪*–·]\s*|\d{1,2}[.)]\s+)?"
 #: A line that is residue as a whole, Java and Python syntax alike; compile without regard to case.
-LINE = r"^" + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*$"
+_SPACE = r"[\s\p{Z}]*"
+LINE = "^" + _SPACE + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*" + _SPACE + "$"
 #: Longer lines are never one prompt or message; filler has its own rule.
 LONGEST_LINE = 200
-#: A line is filler when this share of its words is in FILLER_WORDS.
+#: A line is filler when one of its first two words and this share of all its words is in FILLER_WORDS.
 FILLER_SHARE = 0.7
 _BY_LETTER = {a: [w[1:] for w in FILLER_WORDS.split() if w[0] == a] for a in sorted({w[0] for w in FILLER_WORDS.split()})}
-_FILLER = r"(?i)\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
-_TRIM = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+_ANY_FILLER = r"(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
+_FILLER, _FILLER_START = r"(?i)\b" + _ANY_FILLER, r"(?i)^\W*(?:\w+\W+)?" + _ANY_FILLER
 
 
 def word_count(line: Column) -> Column:
@@ -91,12 +92,12 @@ def word_count(line: Column) -> Column:
 
 
 def residue_words(line: Column, words: Column) -> Column:
-    """How many of a trimmed line's ``words`` are residue."""
+    """How many of a line's ``words`` are residue."""
     whole = line.rlike("(?i)" + LINE)
     for word, grammar in OPEN_GRAMMARS.items():
-        whole = whole | (F.contains(line, F.lit(word)) & line.rlike(f"(?i)^{_LEAD}(?:{grammar})\\s*[.!:…]*$"))
+        whole = whole | (F.contains(line, F.lit(word)) & line.rlike(f"(?i)^{_SPACE}{_LEAD}(?:{grammar})\\s*[.!:…]*{_SPACE}$"))
     whole = (F.length(line) <= LONGEST_LINE) & whole
-    filler = F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words)
+    filler = line.rlike(_FILLER_START) & (F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words))
     slots = F.aggregate(F.regexp_extract_all(line, F.lit(f"({MARKED_SLOT})"), F.lit(0)), F.lit(0), lambda a, s: a + word_count(s))
     marked = line.rlike(r"\{\{|\$\{|\{%|<%|\[\[|__|##|@@")
     return F.when(whole | filler, words).when(marked, slots).otherwise(F.lit(0))
@@ -105,8 +106,7 @@ def residue_words(line: Column, words: Column) -> Column:
 def field_counts(field: Column) -> Column:
     """STRUCT<words, residue> of an array of text blocks; null and empty fields have 0 of both."""
     lines = F.split(F.array_join(field, "\n"), r"\n")
-    counted = F.transform(lines, lambda x: F.regexp_replace(x, _TRIM, ""))
-    counted = F.transform(counted, lambda x: F.struct(x.alias("line"), word_count(x).alias("w")))
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), word_count(x).alias("w")))
     zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("residue"))
     summed = F.aggregate(counted, zero, lambda a, x: F.struct((a["words"] + x["w"]).alias("words"), (a["residue"] + residue_words(x["line"], x["w"])).alias("residue")))
     return F.coalesce(summed, zero)

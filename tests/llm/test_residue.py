@@ -1,4 +1,4 @@
-import re
+import regex as re
 
 import pytest
 from pyspark.sql import functions as F
