@@ -25,41 +25,48 @@ def edges(df: DataFrame) -> DataFrame:
     return df.withColumns({"r": F.col("x") + F.col("w"), "b": F.col("y") + F.col("h"), "area": F.col("w") * F.col("h")})
 
 
-def pairs(df: DataFrame) -> DataFrame:
-    """Unordered pairs of a slide's boxes, columns prefixed ``p_`` and ``q_``."""
-    e = edges(df)
-    p, q = (e.select("slide", *[F.col(c).alias(f"{k}_{c}") for c in e.columns if c != "slide"]) for k in "pq")
-    return p.join(q, "slide").where(F.col("p_id") < F.col("q_id"))
+#: Cells along a side of the slide; boxes meet cell by cell, so that a slide with very many boxes is spread and far boxes never meet.
+GRID = 16
 
 
-def span(lo: str, hi: str) -> Column:
-    """Length that two boxes share along an axis, e.g. ``span("x", "r")``; negative for a gap."""
-    return F.least(F.col(f"p_{hi}"), F.col(f"q_{hi}")) - F.greatest(F.col(f"p_{lo}"), F.col(f"q_{lo}"))
+def cell(v: Column, grid: int = GRID) -> Column:
+    """The cell of a coordinate; everything beyond the slide falls into one cell on each side."""
+    return F.greatest(F.lit(-1), F.least(F.lit(grid), F.floor(v * grid).cast("int")))
 
 
 def overlap_pairs(df: DataFrame) -> DataFrame:
-    """(slide, first_id, second_id, intersection, of_smaller, iou) of boxes that truly intersect."""
-    d = pairs(df).withColumns({"sx": span("x", "r"), "sy": span("y", "b")}).where("sx > 0 and sy > 0").withColumn("i", F.col("sx") * F.col("sy"))
+    """(slide, first_id, second_id, intersection, of_smaller, iou) of boxes that truly intersect.
+
+    A pair is made only in the cell of its intersection's top left corner, so once.
+    """
+    e = edges(df).withColumn("cx", F.explode(F.sequence(cell(F.col("x")), cell(F.col("r"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y")), cell(F.col("b")))))
+    p, q = (e.select("slide", "cx", "cy", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "x", "y", "r", "b", "area")]) for k in "pq")
+    here = (cell(F.greatest("p_x", "q_x")) == F.col("cx")) & (cell(F.greatest("p_y", "q_y")) == F.col("cy"))
+    d = p.join(q, ["slide", "cx", "cy"]).where((F.col("p_id") < F.col("q_id")) & here).withColumns({"sx": span("x", "r"), "sy": span("y", "b")}).where("sx > 0 and sy > 0").withColumn("i", F.col("sx") * F.col("sy"))
     smaller, union = F.least("p_area", "q_area"), F.col("p_area") + F.col("q_area") - F.col("i")
     return d.select("slide", F.col("p_id").alias("first_id"), F.col("q_id").alias("second_id"), F.round("i", 6).alias("intersection"), F.round(F.col("i") / smaller, 6).alias("of_smaller"), F.round(F.col("i") / union, 6).alias("iou"))
 
 
+def span(lo: str, hi: str) -> Column:
+    """Length that two boxes share along an axis, e.g. ``span("x", "r")``; negative for a gap."""
+    return F.least(F.col(f"p_{hi}"), F.col(f"q_{hi}")) - F.greatest(F.col(f"p_{lo}"), F.col(f"q_{lo}"))
+
+
 def alignment_mismatch(df: DataFrame) -> DataFrame:
-    """(slide, first_id, second_id, edge, distance): facing boxes of which an edge is nearly but not quite aligned; the closest edge."""
-    e = pairs(df)
-    mid = lambda k, lo, n: F.col(f"{k}_{lo}") + F.col(f"{k}_{n}") / 2
-    facing_y = span("y", "b") / F.least("p_h", "q_h")
-    facing_x = span("x", "r") / F.least("p_w", "q_w")
-    found = []
-    for name, p, q, facing in (
-        ("left", F.col("p_x"), F.col("q_x"), facing_x), ("right", F.col("p_r"), F.col("q_r"), facing_x), ("center_x", mid("p", "x", "w"), mid("q", "x", "w"), facing_x),
-        ("top", F.col("p_y"), F.col("q_y"), facing_y), ("bottom", F.col("p_b"), F.col("q_b"), facing_y), ("center_y", mid("p", "y", "h"), mid("q", "y", "h"), facing_y),
-    ):
-        d = F.abs(p - q)
-        found.append(F.when((facing >= FACING) & (d > ALIGNED) & (d <= NEARLY_ALIGNED), F.struct(d.alias("distance"), F.lit(name).alias("edge"))))
-    best = F.array_min(F.array_compact(F.array(*found)))
-    d = e.where("p_w > 0 and p_h > 0 and q_w > 0 and q_h > 0").withColumn("m", best).where("m is not null")
-    return d.select("slide", F.col("p_id").alias("first_id"), F.col("q_id").alias("second_id"), "m.edge", F.round("m.distance", 6).alias("distance"))
+    """(slide, first_id, second_id, edge, distance): facing boxes of which an edge is nearly but not quite aligned; the closest edge.
+
+    Boxes are joined on strips of an edge's coordinate as wide as the farthest
+    mismatch: only boxes whose edge lies in the same or the next strip meet.
+    """
+    e = edges(df).where("w > 0 and h > 0")
+    lines = (("left", F.col("x")), ("right", F.col("r")), ("center_x", F.col("x") + F.col("w") / 2), ("top", F.col("y")), ("bottom", F.col("b")), ("center_y", F.col("y") + F.col("h") / 2))
+    long = e.withColumn("l", F.explode(F.array(*[F.struct(F.lit(k).alias("edge"), v.alias("v")) for k, v in lines]))).withColumn("strip", F.floor(F.col("l.v") / NEARLY_ALIGNED).cast("bigint"))
+    side = lambda d, k: d.select("slide", F.col("l.edge").alias("edge"), "strip", F.col("l.v").alias(f"{k}_v"), *[F.col(c).alias(f"{k}_{c}") for c in ("id", "x", "y", "w", "h", "r", "b")])
+    around = long.withColumn("strip", F.explode(F.array(F.col("strip") - 1, F.col("strip"), F.col("strip") + 1)))
+    d = side(long, "p").join(side(around, "q"), ["slide", "edge", "strip"]).where("p_id < q_id").withColumn("d", F.abs(F.col("p_v") - F.col("q_v")))
+    facing = F.when(F.col("edge").isin("left", "right", "center_x"), span("x", "r") / F.least("p_w", "q_w")).otherwise(span("y", "b") / F.least("p_h", "q_h"))
+    m = d.where((facing >= FACING) & (F.col("d") > ALIGNED) & (F.col("d") <= NEARLY_ALIGNED)).groupBy("slide", "p_id", "q_id").agg(F.min(F.struct("d", "edge")).alias("m"))
+    return m.select("slide", F.col("p_id").alias("first_id"), F.col("q_id").alias("second_id"), "m.edge", F.round("m.d", 6).alias("distance"))
 
 
 def slabs(df: DataFrame) -> DataFrame:
@@ -179,12 +186,14 @@ def peer_groups(df: DataFrame, least: int = 3, digits: int = 2) -> DataFrame:
 
 def nearest_box(df: DataFrame, within: float = 0.08) -> DataFrame:
     """(slide, id, nearest_id, distance): for each box's centre the nearest other box, at most ``within`` away; ties go to the lower id."""
-    e = edges(df)
+    e, grid = edges(df), max(1, int(1 / within))
     p = e.select("slide", "id", (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))
-    q = e.select("slide", F.col("id").alias("other"), "x", "y", "r", "b")
+    p = p.withColumns({"cx": cell(F.col("px"), grid), "cy": cell(F.col("py"), grid)})
+    reach = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo) - within, grid), cell(F.col(hi) + within, grid)))
+    q = e.select("slide", F.col("id").alias("other"), "x", "y", "r", "b").withColumn("cx", reach("x", "r")).withColumn("cy", reach("y", "b"))
     dx = F.greatest(F.col("x") - F.col("px"), F.col("px") - F.col("r"), F.lit(0.0))
     dy = F.greatest(F.col("y") - F.col("py"), F.col("py") - F.col("b"), F.lit(0.0))
-    d = p.join(q, "slide").where("id <> other").withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 6))
+    d = p.join(q, ["slide", "cx", "cy"]).where("id <> other").withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 6))
     m = d.groupBy("slide", "id").agg(F.min(F.struct("d", "other")).alias("m"))
     return m.select("slide", "id", F.col("m.other").alias("nearest_id"), F.col("m.d").alias("distance")).where(F.col("distance") <= within)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
+
 
 def finite(c: Column) -> Column:
     """The number, or null for NaN and infinities."""
@@ -40,9 +42,21 @@ def weighted_group(df: DataFrame, keys: list[str], component: str, score: str, w
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], eligible: Column, name: str = "place") -> DataFrame:
-    """``df`` with the row number of its eligible rows within the group; null for the others."""
-    w = Window.partitionBy(group, eligible).orderBy(*order)
-    return df.withColumn(name, F.when(eligible, F.row_number().over(w)))
+    """``df`` with the row number of its eligible rows within the group in a total ``order``; null for the others.
+
+    No task ranks a whole group. Rows are spread over ranges of (group, order),
+    so a group of any size is a run of ranges; each range numbers its own rows,
+    and the sizes of a group's earlier ranges, a row each, are added. The spread
+    rows are written once, so that ranges don't move when a task is run again.
+    """
+    at = cut(df.where(eligible).repartitionByRange(F.col(group), *order).withColumn("__range", F.spark_partition_id()))
+    local = at.withColumn("__n", F.row_number().over(Window.partitionBy("__range", group).orderBy(*order)))
+    sizes = at.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__g", "__r", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    j = local.join(sizes, (F.col("__range") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g")))
+    out = j.withColumn(name, (F.col("__before") + F.col("__n")).cast("int")).select(*df.columns, name)
+    return out.unionByName(df.where(~F.coalesce(eligible, F.lit(False))).withColumn(name, F.lit(None).cast("int")))
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

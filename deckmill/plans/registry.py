@@ -146,11 +146,9 @@ def slide_titles(s, d):
 
 def media_registry(s, d):
     """Assets of a deck numbered by part name."""
-    from pyspark.sql.window import Window
-
-    a = table(s, d, "assets").dropDuplicates(["deck_id", "asset_id"])
-    n = F.row_number().over(Window.partitionBy("deck_id").orderBy("part_name", "asset_id"))
-    return a.select("deck_id", "asset_id", F.format_string("asset-%04d", n).alias("ordinal_id"), norm_hash(F.col("sha256")).alias("file_hash"))
+    a = table(s, d, "assets").select("deck_id", "asset_id", "part_name", norm_hash(F.col("sha256")).alias("file_hash")).distinct()
+    r = scoring.ranked(a, "deck_id", [F.col("part_name"), F.col("asset_id")], F.lit(True), "n")
+    return r.select("deck_id", "asset_id", F.format_string("asset-%04d", "n").alias("ordinal_id"), "file_hash")
 
 
 def repeated_media(s, d):

@@ -44,6 +44,19 @@ def test_ranks_and_buckets(spark):
     assert {x.id: (x.place, x.b) for x in r} == {"a": (2, "B"), "b": (1, "A"), "c": (None, "REVIEW")}
 
 
+def test_ranks_over_ranges_with_a_hot_group_and_ties(spark):
+    rnd = random.Random(9)
+    rows = [("hot" if i % 3 == 0 else rnd.choice(["a", "b", None]), float(rnd.randrange(4)), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, f double, id int").repartition(5)
+    got = {r.id: r.place for r in scoring.ranked(df, "g", [F.col("f").desc(), F.col("id")], F.col("f") > 0).collect()}
+    exp = {i: None for _, f, i in rows if f == 0}
+    for g in ("hot", "a", "b", None):
+        for n, (_, i) in enumerate(sorted((-f, i) for x, f, i in rows if x == g and f > 0), 1):
+            exp[i] = n
+    assert got == exp
+    assert scoring.ranked(df.where("f > 9"), "g", [F.col("id")], F.col("f") > 0).count() == 0
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.9, True), (0.1, False), (1.0, True), (None, True)], "c double, y boolean")
     assert scoring.calibration_error(df.where("c < 1"), "c", "y").first().brier == pytest.approx(0.01)
