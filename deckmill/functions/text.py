@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[A-Za-z0-9]+(?:['’/-][A-Za-z0-9]+)*"
+#: Words with inner apostrophes, hyphens and slashes; possessive, so that a word of any length is matched in a loop.
+WORD = r"[A-Za-z0-9]+(?:['’/-][A-Za-z0-9]+)*+"
 
 
 def squeeze(c: Column) -> Column:

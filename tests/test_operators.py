@@ -19,6 +19,7 @@ def test_text_functions(spark):
     assert one(spark, tx.slug(v, "x"), "a b/c..", "??", None) == ["a-b-c", "x", "x"]
     assert one(spark, tx.brief(v, 8), "abcdefghij", "abc") == ["abcde...", "abc"]
     assert one(spark, tx.fold(v), "Straße  X") == ["strasse x"]
+    assert one(spark, tx.word_count(v), "a-b c's 12/3 - x", "a-" * 100_000, "") == [4, 1, 0]
 
 
 def test_weights_sum_to_one(spark):
