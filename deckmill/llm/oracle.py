@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import residue
+
 _TOP = """
 with latest as (
   select distinct ps_id, submission_id, final_score, proposal_score, deck_quality_score, status from (
@@ -24,6 +26,20 @@ select ps_id, line from counts join totals using (ps_id) where n >= 5 and n >= 0
 """
 
 
+_FORM = "regexp_replace(trim(regexp_replace(lower({}), '[\\s\\p{{Z}}]+', ' ', 'g')), '[0-9]+', '#', 'g')"
+_CLEAN = (
+    _LINES.replace("select ps_id, line from counts join totals", "select distinct deck_id, line from (select ps_id, line from counts join totals", 1)
+    + ") q join members using (ps_id)"
+)
+_CLEAN = f"""
+with out_lines as ({_CLEAN}), s as (select distinct on (slide_key) slide_key, deck_id, text from slides),
+b as (select slide_key, deck_id, unnest(text) as block, generate_subscripts(text, 1) as i from s),
+p as (select slide_key, deck_id, i, unnest(string_split(block, chr(10))) as piece, generate_subscripts(string_split(block, chr(10)), 1) as j from b where block is not null),
+k as (select p.slide_key, i, string_agg(piece, chr(10) order by j) as block from p where not exists (select 1 from out_lines o where o.deck_id = p.deck_id and o.line = {_FORM.format("p.piece")}) group by p.slide_key, i),
+g as (select slide_key, list(block order by i) as text from k where block <> '' group by slide_key)
+select s.slide_key, case when s.text is null or s.deck_id is null or s.deck_id not in (select deck_id from out_lines) then s.text else coalesce(g.text, []) end as text from s left join g using (slide_key)
+"""
+
 _SETS = """
 with s as (select distinct on (slide_key) slide_key, regexp_extract_all(lower(array_to_string(list_filter(text, lambda x: x is not null), ' ')), '[\\p{L}\\p{N}]+') as w from slides where text is not null),
 grams as (select distinct 'slide' as record_type, slide_key as key, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as e from s where len(w) >= 40),
@@ -36,5 +52,40 @@ where c.c >= (case c.record_type when 'slide' then 0.7 else 0.6 end) * (a.n + b.
 """
 
 
+_CLASSES = (
+    _SETS.replace(")\nselect c.record_type, key_a, key_b from common", "),\npairs as (select c.record_type, key_a, key_b from common", 1)
+    + """),
+marks as (select record_type, key, md5(string_agg(e, '|' order by e)) as g from elements group by record_type, key),
+cls as (select record_type, key, min(key) over (partition by record_type, g) as class_id from marks),
+reps as (select record_type, key from cls where key = class_id),
+ends as (select p.record_type, unnest([key_a, key_b]) as key from pairs p join reps a on a.record_type = p.record_type and a.key = key_a join reps b on b.record_type = p.record_type and b.key = key_b),
+n as (select record_type, key, count(*) as n_links from ends group by record_type, key)
+select c.record_type, c.key, class_id, coalesce(n_links, 0) as n_links from cls c left join n on n.record_type = c.record_type and n.key = class_id
+"""
+)
+
+_WORDS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}][^\\s\\p{{Z}}]*'))"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _residue(select: str) -> str:
+    """The grammars of the residue operator, run by another pattern engine."""
+    whole = [f"regexp_matches(line, {_quoted('(?i)' + residue.LINE)})"]
+    whole += [f"(contains(line, {_quoted(w)}) and regexp_matches(line, {_quoted(f'(?i)^{residue._SPACE}{residue._LEAD}(?:{g}){chr(92)}s*[.!:…]*{residue._SPACE}$')}))" for w, g in residue.OPEN_GRAMMARS.items()]
+    return f"""
+with s as (select distinct on (slide_key) slide_key, text, notes from slides),
+f as (select slide_key, 'text' as field_name, text as x from s union all select slide_key, 'notes', notes from s),
+l as (select slide_key, field_name, unnest(string_split(array_to_string(list_filter(x, lambda e: e is not null), chr(10)), chr(10))) as line from f where x is not null),
+w as (select *, {_WORDS.format("line")} as n from l),
+r as (select *, case when length(line) <= {residue.LONGEST_LINE} and ({" or ".join(whole)}) or regexp_matches(line, {_quoted(residue._FILLER_START)}) and len(regexp_extract_all(line, {_quoted(residue._FILLER)})) >= greatest(2, {residue.FILLER_SHARE} * n) then n
+ else coalesce(list_sum(list_transform(regexp_extract_all(line, {_quoted(residue.MARKED_SLOT)}), lambda m: {_WORDS.format("m")})), 0) end as residue from w),
+d as (select slide_key, field_name, sum(n)::int as words, sum(residue)::int as residue_words from r group by slide_key, field_name)
+{select}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _SETS, "p5_found": _LINES, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}
+    return {
+        "p4_found": _residue("select slide_key, field_name from d where residue_words * 2 > words"), "p4_density": _residue("select * from d where words > 0"), "p2_found": _SETS, "p2_classes": _CLASSES, "p5_found": _LINES, "p5_clean": _CLEAN, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}
