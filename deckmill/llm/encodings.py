@@ -42,7 +42,7 @@ BORDER = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 _TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 #: Blocks whose letters and signs a proposed original may hold.
-_COMMON = ((0xA1, 0x17F), (0x386, 0x3CE), (0x401, 0x45F), (0x900, 0x97F), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x22FF), (0x2500, 0x25FF), (0x3040, 0x30FF), (0x4E00, 0x9FFF))
+_COMMON = ((0xA1, 0x17F), (0x386, 0x3CE), (0x401, 0x45F), (0x900, 0xE7F), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x22FF), (0x2500, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x1F300, 0x1FAFF))
 
 
 @functools.cache

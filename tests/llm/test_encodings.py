@@ -5,7 +5,7 @@ from deckmill.functions.lineage import cut
 from deckmill.llm import encodings as e
 
 
-@pytest.mark.parametrize("word", ["résumé", "função", "Größe", "Решение", "समाधान", "l’été", "±", "•"])
+@pytest.mark.parametrize("word", ["résumé", "função", "Größe", "Решение", "समाधान", "l’été", "±", "•", "🙂", "ไทย", "한국", "中文"])
 def test_round_trip_of_chains(word):
     for form, chain in e.garbled(word).items():
         if chain.startswith("utf-8>") and chain.count(">") == 1:
