@@ -313,9 +313,9 @@ def as_of_view(s, d):
 
 
 def media_components(s, d):
-    """Decks that share a file of two to five decks, directly or through others."""
+    """Decks that share a file, directly or through others; a file links its decks to the least of them, so its links grow with its decks."""
     a = table(s, d, "assets").select("deck_id", norm_hash(F.col("sha256")).alias("h")).where("h is not null and deck_id is not null").distinct()
-    n = a.groupBy("h").agg(F.count("*").alias("n"), F.min("deck_id").alias("u")).where("n between 2 and 5")
+    n = a.groupBy("h").agg(F.count("*").alias("n"), F.min("deck_id").alias("u")).where("n >= 2")
     e = a.join(n, "h").select("u", F.col("deck_id").alias("v")).where("u < v")
     return matching.components(e, "u", "v").select(F.col("node").alias("deck_id"), "component")
 
