@@ -56,6 +56,36 @@ def problem_id(c: Column, fallback: str = "UNASSIGNED") -> Column:
     return F.coalesce(F.nullif(F.upper(s), F.lit("")), F.lit(fallback))
 
 
+#: Ids of statements in a text, the surest form first, and in a file's name; the first form's digits may be spaced, the last is a bare "PS" and five to eight digits.
+STATEMENT_IDS = (
+    r"(?iU)\bs\s*i\s*h\s*[-_:#]?\s*(\d(?:[\s_-]*\d){4,7})\b", r"(?iU)problem\s+statement\s+(?:id|number|no)\s*[:#\-–—]?\s*([A-Za-z0-9][A-Za-z0-9_-]*)",
+    r"(?iU)\bps\s+(?:id|number|no)\s*[:#\-–—]?\s*([A-Za-z0-9][A-Za-z0-9_-]*)", r"(?iU)\bps\s+(?:id)?[\s:#-]*([0-9]{5,8})",
+)
+NAMED_ID = r"(?i)(?:^|[-_ ()])(?:ps|problem[-_ ]?statement)[-_ ]*([0-9][A-Za-z0-9_-]*)"
+TEAM = r"(?iU)team\s+name\s*[:#\-–—]?\s*([^\r\n]+)"
+
+
+def _first(c: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+
+
+def stem(name: Column) -> Column:
+    """A file's name without its last suffix."""
+    return F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", "")
+
+
+def named_problem(text: Column, name: Column) -> Column:
+    """The normalised statement id that a text names, by the first of ``STATEMENT_IDS`` that it holds, else that of the file's name, else UNASSIGNED."""
+    spaced, *rest = STATEMENT_IDS
+    return problem_id(F.coalesce(F.regexp_replace(_first(text, spaced), r"(?U)[\s_-]+", ""), *[_first(text, p) for p in rest], _first(stem(name), NAMED_ID)))
+
+
+def named_team(text: Column, name: Column) -> Column:
+    """The team that a text names, bullets stripped, else the file's name without its suffix."""
+    t = squeeze(F.regexp_replace(_first(text, TEAM), r"(?U)^[\s•●▪*-]+", ""))
+    return F.coalesce(F.nullif(t, F.lit("")), stem(name))
+
+
 def external_target(link: Column) -> Column:
     """The target of a link that leaves the deck, else null."""
     t = F.coalesce(link["resolved_target"], link["target"])

@@ -30,6 +30,13 @@ def blocks(slides: DataFrame) -> DataFrame:
     return d.withColumn("text", tx.squeeze(F.col("text"))).where("text <> ''")
 
 
+def deck_texts(slides: DataFrame) -> DataFrame:
+    """(deck_id, text): all blocks of a deck in the order of its slides, one a line; a slide delivered again counts once."""
+    s = F.struct("slide_number", "slide_key", F.array_join("text", "\n").alias("text"))
+    d = slides.groupBy("deck_id").agg(F.array_sort(F.collect_set(s)).alias("s"))
+    return d.select("deck_id", F.array_join("s.text", "\n").alias("text"))
+
+
 def text_profile(b: DataFrame) -> DataFrame:
     """Blocks with chars, words, sentences, is_label, is_bullet, paragraph_like, pointer_like."""
     d = b.select(

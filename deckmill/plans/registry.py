@@ -197,16 +197,20 @@ def problem_resolver(s, d):
     return j.groupBy("k").agg(F.count("*").alias("n_decks"), F.max("title").alias("title"), F.max(F.when(F.col("title").isNull(), "unresolved").otherwise("resolved")).alias("state"))
 
 
+def _named_decks(s, d):
+    """(deck_id, deck_name, text) of every deck that has a record or slides."""
+    k = table(s, d, "decks").dropDuplicates(["deck_id"]).select("deck_id", "deck_name")
+    return k.join(content.deck_texts(table(s, d, "slides")), "deck_id", "full")
+
+
 def inferred_problem(s, d):
-    """The statement id that a deck's first slide names in its text."""
-    b = _blocks(s, d).where("slide_number = 1").withColumn("id", F.nullif(F.regexp_extract(F.col("text"), r"(?i)\bPS (?:ID)?[ :#-]*([0-9]{5,8})", 1), F.lit("")))
-    return b.where("id is not null").groupBy("deck_id").agg(F.min_by("id", "block_no").alias("ps_inferred"))
+    """The statement id of every deck: as its slides' text names it, else its file's name, else UNASSIGNED."""
+    return _named_decks(s, d).select("deck_id", tx.named_problem(F.col("text"), F.col("deck_name")).alias("ps_inferred"))
 
 
 def inferred_team(s, d):
-    """The team that a deck's first slide names, bullets stripped."""
-    b = _blocks(s, d).where("slide_number = 1").withColumn("t", F.nullif(F.trim(F.regexp_extract(F.col("text"), r"(?i)^[•▪* -]*team name *[:–-] *(.+)$", 1)), F.lit("")))
-    return b.where("t is not null").groupBy("deck_id").agg(F.min_by("t", "block_no").alias("team"))
+    """The team of every deck: as its slides' text names it, else its file's name without suffix."""
+    return _named_decks(s, d).select("deck_id", tx.named_team(F.col("text"), F.col("deck_name")).alias("team"))
 
 
 def problem_weights(s, d):

@@ -28,3 +28,17 @@ def test_media_components_have_no_limit_of_decks(spark, tmp_path):
             parent[b] = a
     got = run(spark, tmp_path, "media_components", assets=(shares + shares[:3], "deck_id long, sha256 string"))
     assert sorted(map(tuple, got)) == sorted((d, find(d)) for d in list(parent)) and len(got) == 15
+
+
+def test_ids_and_teams_of_all_decks(spark, tmp_path):
+    t = {
+        1: [["Title"], ["• Team Name: • Vita  Flow", "x"], ["see SIH 26 000-640 and problem statement no: 7"]], 2: [["ps id 5, Problem Statement\nID – 26000700"]], 3: [["PS No. x"], ["ps number: ab_9"]], 4: [["PS 26000337"]],
+        5: [["nothing"]], 6: [None, []], 8: [["Team name"], ["Alpha"]],
+    }
+    rows = [(k * 10 + n, k, n, x) for k, xs in t.items() for n, x in enumerate(xs, 1)]
+    names = {1: "a.pptx", 2: "b.pptx", 3: "c.pptx", 4: "ps-1.pdf", 5: "My_PS-26000001.v2.pptx", 6: "d.pdf", 7: "e.f.pptx", 8: "g"}
+    tables = {"slides": (rows + rows[2:4], "slide_key long, deck_id long, slide_number int, text array<string>"), "decks": (list(names.items()) + [(1, "a.pptx")], "deck_id long, deck_name string")}
+    ids = run(spark, tmp_path, "inferred_problem", **tables)
+    assert sorted((r.deck_id, r.ps_inferred) for r in ids) == [(1, "26000640"), (2, "26000700"), (3, "AB-9"), (4, "26000337"), (5, "26000001"), (6, "UNASSIGNED"), (7, "UNASSIGNED"), (8, "UNASSIGNED")]
+    teams = run(spark, tmp_path, "inferred_team", **tables)
+    assert sorted((r.deck_id, r.team) for r in teams) == [(1, "Vita Flow"), (2, "b"), (3, "c"), (4, "ps-1"), (5, "My_PS-26000001.v2"), (6, "d"), (7, "e.f"), (8, "Alpha")]
