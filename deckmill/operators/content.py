@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 
@@ -101,10 +102,23 @@ def phase(text: Column, phases: dict[str, list[str]]) -> Column:
     return out
 
 
-def narrative_flow(b: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
-    """(deck_id, coverage, ordered, opening, closing, flow): which phases a deck has, whether they come in order, and whether it opens and closes with the first and last."""
+def slide_phases(slides: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
+    """(slide_key, deck_id, slide_number, phase, blank): each slide once, with the phase of all its text, null where no term stands."""
+    t = F.lower(tx.squeeze(F.coalesce(F.array_join("text", " "), F.lit(""))))
+    return slides.select("slide_key", "deck_id", "slide_number", phase(t, phases).alias("phase"), (t == "").alias("blank")).dropDuplicates(["slide_key"])
+
+
+def narrative_flow(slides: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
+    """(deck_id, coverage, ordered, opening, closing, flow): which phases a deck has, whether they come in order, and whether it opens and closes with the first and last.
+
+    A deck's first slide without a phase counts as the first phase and its last one as the last, if they have text and the deck has other slides.
+    """
     names = list(phases)
-    s = b.where("block_no = 0").select("deck_id", "slide_number", phase(F.lower("text"), phases).alias("phase")).distinct()
+    deck = Window.partitionBy("deck_id")
+    s = slide_phases(slides, phases).withColumns({"lo": F.min("slide_number").over(deck), "hi": F.max("slide_number").over(deck), "n": F.count("*").over(deck)})
+    edge = ~F.col("blank") & (F.col("n") > 1)
+    at = F.when(edge & (F.col("slide_number") == F.col("lo")), names[0]).when(edge & (F.col("slide_number") == F.col("hi")), names[-1])
+    s = s.select("deck_id", "slide_number", F.coalesce("phase", at).alias("phase"))
     g = s.groupBy("deck_id").agg(*[F.min(F.when(F.col("phase") == n, F.col("slide_number"))).alias(n) for n in names], F.min("slide_number").alias("lo"), F.max("slide_number").alias("hi"))
     present = F.filter(F.array(*[F.col(n) for n in names]), lambda x: x.isNotNull())
     g = g.withColumn("p", present).withColumn("n", F.size("p"))
@@ -125,8 +139,6 @@ def duplicate_content(slides: DataFrame) -> DataFrame:
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """(keys, weighted_median): the first value at which the running weight reaches half of the total."""
-    from pyspark.sql.window import Window
-
     g = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
     run, total = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
     d = g.withColumns({"__run": F.sum("__w").over(run), "__all": F.sum("__w").over(total)}).where(F.col("__run") * 2 >= F.col("__all"))

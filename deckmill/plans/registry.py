@@ -112,12 +112,12 @@ def ambiguous_claims(s, d):
 
 
 def narrative_flow(s, d):
-    return content.narrative_flow(_blocks(s, d), PHASES)
+    return content.narrative_flow(table(s, d, "slides"), PHASES)
 
 
 def slide_types(s, d):
-    """Slides by the phase of their first block."""
-    b = _blocks(s, d).where("block_no = 0").select(F.coalesce(content.phase(F.lower("text"), PHASES), F.lit("content")).alias("slide_type"), "deck_id", "slide_key").distinct()
+    """Slides by the phase of their text, without regard to their place; those of no phase or text are content."""
+    b = content.slide_phases(table(s, d, "slides"), PHASES).select(F.coalesce("phase", F.lit("content")).alias("slide_type"), "deck_id")
     return b.groupBy("slide_type").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
 
 

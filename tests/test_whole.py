@@ -42,3 +42,21 @@ def test_ids_and_teams_of_all_decks(spark, tmp_path):
     assert sorted((r.deck_id, r.ps_inferred) for r in ids) == [(1, "26000640"), (2, "26000700"), (3, "AB-9"), (4, "26000337"), (5, "26000001"), (6, "UNASSIGNED"), (7, "UNASSIGNED"), (8, "UNASSIGNED")]
     teams = run(spark, tmp_path, "inferred_team", **tables)
     assert sorted((r.deck_id, r.team) for r in teams) == [(1, "Vita Flow"), (2, "b"), (3, "c"), (4, "ps-1"), (5, "My_PS-26000001.v2"), (6, "d"), (7, "e.f"), (8, "Alpha")]
+
+
+def _flow_slides():
+    rows = [
+        (1, 1, 1, ["Welcome", "our own words"]), (2, 1, 2, [" ", "The approach"]), (3, 1, 3, ["Numbers", None, "evaluation of it"]), (4, 1, 4, ["Bye"]),
+        (5, 2, 1, ["Only one"]), (6, 3, 1, []), (7, 3, 2, ["Middle"]), (8, 3, 3, None), (9, 4, 1, ["x", "Roadmap"]), (10, 4, 2, ["y", "the PROBLEM"]),
+    ]
+    return {"slides": (rows + rows[:3], "slide_key long, deck_id long, slide_number int, text array<string>")}
+
+
+def test_flow_reads_whole_slides_and_the_edges(spark, tmp_path):
+    got = {r.deck_id: (r.coverage, r.ordered, r.opening, r.closing) for r in run(spark, tmp_path, "narrative_flow", **_flow_slides())}
+    assert got == {1: (0.8, 1.0, 1, 1), 2: (0.0, 0.0, 0, 0), 3: (0.0, 0.0, 0, 0), 4: (0.4, 0.0, 1, 0)}
+
+
+def test_slide_types_read_whole_slides(spark, tmp_path):
+    got = {r.slide_type: (r.n_slides, r.n_decks) for r in run(spark, tmp_path, "slide_types", **_flow_slides())}
+    assert got == {"content": (6, 3), "solution": (1, 1), "evidence": (1, 1), "plan": (1, 1), "problem": (1, 1)}
