@@ -278,11 +278,10 @@ def word_prf(s, d):
 
 
 def character_error(s, d):
-    """Edit distance of a slide's first block to that of the deck's next slide; plain ASCII titles only, of which the two engines count the same characters."""
+    """Edit distance of a slide's first block to that of the deck's next slide, counted in code points."""
     b = _blocks(s, d).where("block_no = 0").select("slide_key", "deck_id", "slide_number", F.col("text").alias("t")).dropDuplicates(["slide_key"])
     n = b.select("deck_id", (F.col("slide_number") - 1).alias("slide_number"), F.col("t").alias("u"))
-    p = b.join(n, ["deck_id", "slide_number"]).where((F.length("t") == F.octet_length("t")) & (F.length("u") == F.octet_length("u")))
-    return matching.character_error(p, "slide_key", "t", "u")
+    return matching.character_error(b.join(n, ["deck_id", "slide_number"]), "slide_key", "t", "u")
 
 
 def completeness(s, d):

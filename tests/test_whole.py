@@ -60,3 +60,20 @@ def test_flow_reads_whole_slides_and_the_edges(spark, tmp_path):
 def test_slide_types_read_whole_slides(spark, tmp_path):
     got = {r.slide_type: (r.n_slides, r.n_decks) for r in run(spark, tmp_path, "slide_types", **_flow_slides())}
     assert got == {"content": (6, 3), "solution": (1, 1), "evidence": (1, 1), "plan": (1, 1), "problem": (1, 1)}
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_character_error_of_all_scripts(spark, tmp_path):
+    titles = ["Plan", "Lösung – Überblick", "Losung - Uberblick", "किसान पानी", "किसान का पानी", "Проблема", "Проблемы", "“Fin” 🚀🎉", "'Fin' 🚀", "e\u0301t\u00e9", "\u00e9te\u0301"]
+    rows = [(n, 1, n, [t, "more"]) for n, t in enumerate(titles)]
+    got = run(spark, tmp_path, "character_error", slides=(rows + rows[:2], "slide_key long, deck_id long, slide_number int, text array<string>"))
+    exp = {n: (d := _distance(t, u), round(d / len(t), 6)) for n, (t, u) in enumerate(zip(titles, titles[1:]))}
+    assert {r.slide_key: (r.distance, r.cer) for r in got} == exp and len(got) == 10
