@@ -39,6 +39,16 @@ _FAULT = (
     r"|the .{1,50} (?:is|are) no longer (?:here|available)|your session has (?:expired|ended|timed out).{0,50}|something went wrong.{0,50}"
     r"|seite (?:wurde )?nicht gefunden|zugriff verweigert|page introuvable|accès (?:refusé|interdit)|página no (?:encontrada|disponible)|página não encontrada|acceso denegado|acesso negado|страница не найдена)"
 )
+#: Faults whose telling words stand at the end, after any start.
+_GONE = r".{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
+_NO_LONGER = r".{1,50} (?:is|are) no longer (?:here|available)"
+
+
+def _messages(fault: str) -> str:
+    """Error messages of a fault, with or without a code and an opening word."""
+    return f"\\(?(?:http|error|fehler|erreur)(?: status| code)?[ :#-]*{_CODE}\\)?(?: ?[:–—-] ?{fault})?|{_CODE} ?[–—:-] ?{fault}|(?:oops|sorry|error|fehler|erreur)[!,:.]? {fault}(?: {_CODE})?|{fault}(?: {_CODE})?"
+
+
 _NEED = (
     r"(?:(?:please |bitte |veuillez |por favor,? )?(?:enable|turn on|activate|allow|active|activez|activer|aktivieren sie|habilite|ative) (?:java-?script|scripting|scripts|active content|cookies)\b"
     r"|java-?script (?:is|must be|has to be|seems to be) (?:switched off|turned off|turned on|off|disabled|required|needed|blocked|enabled)\b"
@@ -59,19 +69,20 @@ LINE_GRAMMARS = {
         r"|(?:bullet|item|point) (?:one|two|three|four|five|[1-9])|(?:first|second|third|fourth|fifth) level|(?:erste|zweite|dritte|vierte|fünfte) ebene|(?:premier|deuxième|troisième|quatrième|cinquième) niveau|(?:primer|segundo|tercer|cuarto|quinto) nivel"
     ),
     "error": (
-        f"\\(?(?:http|error|fehler|erreur)(?: status| code)?[ :#-]*{_CODE}\\)?(?: ?[:–—-] ?{_FAULT})?|{_CODE} ?[–—:-] ?{_FAULT}|(?:oops|sorry|error|fehler|erreur)[!,:.]? {_FAULT}(?: {_CODE})?|{_FAULT}(?: {_CODE})?"
+        f"{_messages(_FAULT)}"
         r"|(?:please )?(?:reload|refresh) (?:the|this) page|(?:please )?try again later|(?:please )?go back to the (?:start|home|main) ?page|(?:zurück zur startseite|retour à l.accueil|volver al inicio)|details were written to the log"
         r"|(?:bitte )?(?:versuchen sie es )?später (?:erneut|noch einmal)(?: versuchen)?|(?:veuillez )?réessayer plus tard|inténtelo (?:de nuevo )?más tarde|contact (?:the|your) administrator\b.{0,60}|(?:reference|request id|incident)[: ]+[0-9a-f-]{6,40}"
     ),
     "script": f"{_NEED}.{{0,80}}",
 }
-#: Whole lines whose telling words stand at the end or in the middle; looked for only where such a word stands.
+#: Whole lines whose telling words stand at the end or in the middle; looked for only where such a word stands in any letter case.
 OPEN_GRAMMARS = {
     "goes here": r".{1,60} goes here",
     "placeholder": r"\S{1,20}(?: \S{1,20})? placeholder",
     "durch ": r".{1,40} durch (?:klicken|tippen) .{1,30}",
-    "no longer": r".{1,50} (?:is|are) no longer (?:here|available)",
-    "ed or ": r".{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed) or (?:moved|deleted|removed)",
+    "no longer": _messages(_NO_LONGER),
+    "moved": _messages(_GONE),
+    "deleted": _messages(_GONE),
 }
 _LEAD = r"(?:[-•▪*–·]\s*|\d{1,2}[.)]\s+)?"
 #: A line that is residue as a whole, Java and Python syntax alike; compile without regard to case.
@@ -79,11 +90,10 @@ _SPACE = r"[\s\p{Z}]*"
 LINE = "^" + _SPACE + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*" + _SPACE + "$"
 #: Longer lines are never one prompt or message; filler has its own rule.
 LONGEST_LINE = 200
-#: A line is filler when one of its first two words and this share of all its words is in FILLER_WORDS.
+#: A line is filler when this share of its words is in FILLER_WORDS.
 FILLER_SHARE = 0.7
 _BY_LETTER = {a: [w[1:] for w in FILLER_WORDS.split() if w[0] == a] for a in sorted({w[0] for w in FILLER_WORDS.split()})}
-_ANY_FILLER = r"(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
-_FILLER, _FILLER_START = r"(?i)\b" + _ANY_FILLER, r"(?i)^\W*(?:\w+\W+)?" + _ANY_FILLER
+_FILLER = r"(?i)\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
 
 
 def word_count(line: Column) -> Column:
@@ -95,9 +105,9 @@ def residue_words(line: Column, words: Column) -> Column:
     """How many of a line's ``words`` are residue."""
     whole = line.rlike("(?i)" + LINE)
     for word, grammar in OPEN_GRAMMARS.items():
-        whole = whole | (F.contains(line, F.lit(word)) & line.rlike(f"(?i)^{_SPACE}{_LEAD}(?:{grammar})\\s*[.!:…]*{_SPACE}$"))
+        whole = whole | (F.contains(F.lower(line), F.lit(word)) & line.rlike(f"(?i)^{_SPACE}{_LEAD}(?:{grammar})\\s*[.!:…]*{_SPACE}$"))
     whole = (F.length(line) <= LONGEST_LINE) & whole
-    filler = line.rlike(_FILLER_START) & (F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words))
+    filler = F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words)
     slots = F.aggregate(F.regexp_extract_all(line, F.lit(f"({MARKED_SLOT})"), F.lit(0)), F.lit(0), lambda a, s: a + word_count(s))
     marked = line.rlike(r"\{\{|\$\{|\{%|<%|\[\[|__|##|@@")
     return F.when(whole | filler, words).when(marked, slots).otherwise(F.lit(0))

@@ -31,3 +31,11 @@ def test_fields(spark):
     df = spark.createDataFrame(rows, "slide_key long, text array<string>, notes array<string>").withColumn("f", F.lit(1)).withColumn("words", F.lit(1))
     assert sorted(map(tuple, r.residue_fields(df).collect())) == [(1, "text"), (2, "text"), (5, "notes")]  # exactly half isn't a case
     assert r.residue_fields(df.where("slide_key < 0")).count() == 0
+
+
+def test_fields_in_any_letter_case_and_order(spark):
+    lines = ["Your Title Goes Here", "COMPANY LOGO GOES HERE", "Logo Placeholder", "THIS PAGE IS NO LONGER AVAILABLE", "Bild Durch Klicken einfügen", "This file has been deleted.", "Pages Were Moved Or Removed", "Error 404 - this document was removed", "Our notes lorem ipsum dolor elit tempor labore"]
+    content = ["Our lorem ipsum notes are for the people in town", "Seats no longer wait for the clerk", "We moved the deleted rows to the archive"]
+    rows = [(i, [t], None) for i, t in enumerate(lines + content)]
+    got = r.residue_fields(spark.createDataFrame(rows, "slide_key long, text array<string>, notes array<string>")).collect()
+    assert sorted(x.slide_key for x in got) == list(range(len(lines)))
