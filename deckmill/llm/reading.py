@@ -54,8 +54,8 @@ _COMPOUND = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f\u0900-\u0dff'’-
 RUN_ON, RUN_ON_SHARE = 40, 25
 #: Fixed values: "and" in the languages told apart.
 AND = frozenset("and und et y e и और".split())
-#: Words of a text's start by which its language is told.
-_TELLING = 400
+#: Scripts that tell a language.
+_SCRIPTS = {"hi": re.compile("[\u0900-\u097f]"), "ru": re.compile("[\u0400-\u04ff]")}
 _FENCED = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 #: Lines that aren't prose: headings, table rows, rules, comments of code, link and file lists.
 _NOT_PROSE = re.compile(r"^[ \t]*(?:#{1,6} .*|\|.*|[=~_*-]{3,}|(?:\$|>>>|//).*|(?:import|from|def|class|return|const|let|var|function|select)\b.*[(){};=].*|.*[\w/][_/][\w/]+[,;].*[\w/][_/][\w/]+.*)$", re.MULTILINE | re.IGNORECASE)
@@ -68,15 +68,17 @@ def words_in(tokens: list[str]) -> list[str]:
     return [w for w in [t.strip(_AROUND) for t in tokens] if w.isalpha() or _COMPOUND.fullmatch(w)]
 
 
-def language(words: list[str], text: str) -> str:
-    """A language with its function words at the start of a text, or the script of its letters."""
-    head = text[:1000]
-    if not head.isascii():
-        for name, a, b in (("hi", "\u0900", "\u097f"), ("ru", "\u0400", "\u04ff")):
-            n = sum(1 for ch in head if a <= ch <= b)
-            if n and n * 2 > sum(1 for ch in head if ch.isalpha()):
+def language(body: str) -> str:
+    """The language of a whole text's prose: by the script of most of its letters, else by its function words."""
+    if not body.isascii():
+        for name, script in _SCRIPTS.items():
+            n = len(script.findall(body))
+            if n and n * 2 > sum(map(str.isalpha, body)):
                 return name
-    votes = Counter([k for w in words[:_TELLING] for k in _LANGUAGES_OF.get(w, ())])
+    votes: Counter = Counter()
+    for t, n in Counter(body.lower().split()).items():
+        for k in _LANGUAGES_OF.get(t.strip(_AROUND), ()):
+            votes[k] += n
     return max(votes, key=lambda k: (votes[k], k)) if votes else "other"
 
 
@@ -107,7 +109,7 @@ def analysed(text: str | None) -> tuple[str, list[list[str]]]:
     body = prose(text)
     sentences = [s for s in (words_in(x.lower().split()) for x in _END.split(body)) if len(s) > 1]
     sentences = [c for s in sentences for c in clauses(s)]
-    return language([w for s in sentences[:80] for w in s], body), sentences
+    return language(body), sentences
 
 
 def counted(docs: DataFrame, text: str) -> DataFrame:
@@ -119,7 +121,7 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and (tokens := t.lower().split()):
-                    totals.setdefault(language(tokens, t), Counter()).update(tokens)
+                    totals.setdefault(language(prose(t)), Counter()).update(tokens)
             if sum(map(len, totals.values())) > 200_000:
                 yield from flushed(totals)
                 totals = {}

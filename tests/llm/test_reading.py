@@ -69,3 +69,14 @@ def test_equal_texts_get_equal_levels(spark, data):
 
     j = table(spark, data, "documents").select("doc_id", "text").join(r, "doc_id").groupBy("text").agg(F.count_distinct("level").alias("n"))
     assert j.where("n > 1").count() == 0
+
+
+def test_language_of_whole_texts(spark):
+    cover = "The terms of this licence are on the page and you can read it in the file that we sent. " * 120
+    bodies = {"ru": "Новый насос стоит на берегу реки и качает воду. " * 900, "hi": "किसान पानी का स्तर पढ़ सकते हैं। " * 900, "de": "Das ist ein kleines Schild und es ist nicht neu. " * 900}
+    for name, body in bodies.items():
+        text = cover + "\n\n" + body
+        assert reading.analysed(text)[0] == name
+        assert {r.language for r in reading.counted(spark.createDataFrame([(text,)], "text string"), "text").collect()} == {name}
+    code = "```\n" + "the of and to in is it we for a\n" * 80 + "```\nDas ist ein kleines Schild und es ist nicht neu."
+    assert reading.analysed(code)[0] == "de" and {r.language for r in reading.counted(spark.createDataFrame([(code,)], "text string"), "text").collect()} == {"de"}
