@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import residue
-
 _TOP = """
 with latest as (
   select distinct ps_id, submission_id, final_score, proposal_score, deck_quality_score, status from (
@@ -64,28 +62,30 @@ select c.record_type, c.key, class_id, coalesce(n_links, 0) as n_links from cls
 """
 )
 
-_WORDS = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}][^\\s\\p{{Z}}]*'))"
-
-
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def _residue(select: str) -> str:
-    """The grammars of the residue operator, run by another pattern engine."""
-    whole = [f"regexp_matches(line, {_quoted('(?i)' + residue.LINE)})"]
-    whole += [f"(contains(line, {_quoted(w)}) and regexp_matches(line, {_quoted(f'(?i)^{residue._SPACE}{residue._LEAD}(?:{g}){chr(92)}s*[.!:…]*{residue._SPACE}$')}))" for w, g in residue.OPEN_GRAMMARS.items()]
-    return f"""
+#: Residue by phrases, delimiters and shares of words: plain string functions, none of the operator's patterns.
+_RESIDUE = """
 with s as (select distinct on (slide_key) slide_key, text, notes from slides),
 f as (select slide_key, 'text' as field_name, text as x from s union all select slide_key, 'notes', notes from s),
-l as (select slide_key, field_name, unnest(string_split(array_to_string(list_filter(x, lambda e: e is not null), chr(10)), chr(10))) as line from f where x is not null),
-w as (select *, {_WORDS.format("line")} as n from l),
-r as (select *, case when length(line) <= {residue.LONGEST_LINE} and ({" or ".join(whole)}) or regexp_matches(line, {_quoted(residue._FILLER_START)}) and len(regexp_extract_all(line, {_quoted(residue._FILLER)})) >= greatest(2, {residue.FILLER_SHARE} * n) then n
- else coalesce(list_sum(list_transform(regexp_extract_all(line, {_quoted(residue.MARKED_SLOT)}), lambda m: {_WORDS.format("m")})), 0) end as residue from w),
-d as (select slide_key, field_name, sum(n)::int as words, sum(residue)::int as residue_words from r group by slide_key, field_name)
-{select}"""
+l as (select slide_key, field_name, unnest(string_split(replace(array_to_string(list_filter(x, lambda e: e is not null), chr(10)), ' / ', chr(10)), chr(10))) as line from f where x is not null),
+p as (select row_number() over () as id, slide_key, field_name, trim(lower(line)) as line, list_filter(string_split_regex(trim(lower(line)), '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]')) as w from l),
+u as (select id, unnest(list_transform(w, lambda x: trim(x, '.,;:!?…()'))) as word from p),
+n as (select word, count(*) as n, count(*) filter (line like '%lorem%' or line like '%ipsum%') as k, count(distinct line) filter (line like '%lorem%' or line like '%ipsum%') as d from u join p using (id) group by word),
+filler as (select word from n where d >= 2 and k >= 0.3 * n),
+h as (select id, count(*) as hits from u join filler using (word) group by id),
+r as (select slide_key, field_name, len(w) as n, coalesce(hits, 0) >= greatest(2, 0.7 * len(w))
+  or len(line) > 2 and (left(line, 1) || right(line, 1) in ('[]', '{}', '<>', '«»', '%%') or starts_with(line, '${') or starts_with(line, '__') and ends_with(line, '__'))
+  or list_bool_or(list_transform(['click to ', 'tap to ', 'double-tap to ', 'press here to ', 'select this box to ', 'touchez ici pour ', 'pulse aquí para ', 'escriba el ', 'zum eintragen ', 'type something', 'votre texte ici', 'your text here', 'sample text',
+     'placeholder for ', 'bullet ', 'xxxx', 'tbd', 'to be filled', '…to be', 'second level', 'third level', 'fourth level', 'zweite ebene', 'dritte ebene',
+     'error 4', 'error 5', 'error 0x', 'error e-', '0x', 'http 4', 'http 5', 'http 0x', 'http e-', '(error ', 'oops!', 'reload the page', 'try again later', 'go back to the start', 'bitte später', 'retour à l', 'details were written', 'contact the administrator', 'reference: ',
+     'javascript is ', 'turn on scripting', 'allow active content', 'enable ', 'dummy', 'blah', 'foo bar', 'asdf', 'xxx', '… to be', 'please enable javascript', 'active javascript', 'bitte aktivieren sie javascript', 'veuillez activer javascript', 'this content needs scripts', 'your browser does not support', 'active content has been', 'a script on this page'], lambda q: starts_with(line, q)))
+  or list_bool_or(list_transform([' goes here', ' placeholder', ' durch klicken ergänzen', 'page not found', 'seite nicht gefunden', 'page introuvable', 'página no encontrada', 'bad gateway', 'too many requests', 'service temporarily unavailable', 'the request timed out', 'internal server error',
+     'please sign in again', 'could not load the embedded object', 'unable to reach the database', 'no longer here', 'was moved or deleted', 'access to this resource is denied'], lambda q: ends_with(rtrim(line, '.'), q))) as bad
+  from p left join h using (id)),
+d as (select slide_key, field_name, sum(n) as words, sum(case when bad then n else 0 end) as residue from r group by slide_key, field_name)
+select slide_key, field_name from d where residue * 2 > words
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": _residue("select slide_key, field_name from d where residue_words * 2 > words"), "p4_density": _residue("select * from d where words > 0"), "p2_found": _SETS, "p2_classes": _CLASSES, "p5_found": _LINES, "p5_clean": _CLEAN, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}
+        "p4_found": _RESIDUE, "p2_found": _SETS, "p2_classes": _CLASSES, "p5_found": _LINES, "p5_clean": _CLEAN, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}

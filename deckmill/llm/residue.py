@@ -1,16 +1,23 @@
 """Template residue and error-page text (problem 4).
 
-A text field is cut into lines. A line is residue as a whole when it parses as
+A text field is cut into segments: its lines, and the parts of a line between
+' / ', ' | ', ' · ' and ' • '. A segment is residue as a whole when it parses as
 an unfilled placeholder, an editing prompt, filler, an error message with its
 follow-ups, or a notice that scripts are required; each of these has its own
-grammar over its own delimiters. In any other line only unmistakable slots
-(doubled or marked delimiters) count, and only their own words. The field is a
-case by density: residue must make up more than half of its words. So a
-tutorial that names ``{{name}}``, a line of code with a few slots or a report
-about error 404 is no case: the words around it outweigh it.
-
-Everything is built-in column functions; the patterns are anchored, so a line
-of prose fails at its first words.
+grammar over its own delimiters. In any other segment only unmistakable slots
+(doubled or marked delimiters) count, and only their own words.
+
+Context takes slots back: nothing in a fenced code block counts, no slot in
+backticks, no slot next to a line of code or under a line that introduces an
+example, no block tag of a template language and no element of a markup
+language. The rest is density: a field is a case when residue makes up more than
+half of its words, so a tutorial or a report about error 404 is none.
+
+Filler is told by the corpus, not by a list: see ``filler_words``.
+
+Everything is built-in column functions on lower-cased text; the patterns are
+anchored, so a line of prose fails at its first words. No length is limited: an
+open part of a message is a clause or two, however long.
 """
 
 from __future__ import annotations
@@ -18,117 +25,209 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of pseudo-Latin filler: those of the usual placeholder passage and those seen in the test tables.
-FILLER_WORDS = (
-    "adipiscing aliqua altum amet ardua campe cives consectetur costa dicta dolor dolore eiusmod elit enim festa fides fugat igitur incididunt ipsum labore lacer lorem "
-    "lucem magis magna melio minim molla neque nullam numen orsit permo porta prima quare quis restu rutra sed simul sit solva sumit tacit tempo tempor terra undas urbem "
-    "vario veniam ventu vetra vigil"
-)
-
-#: Slots with delimiters that prose doesn't use; they count wherever they stand.
+from ..functions.joins import small_side
+from ..functions.lineage import cut
+from .reading import FUNCTION_WORDS
+
+#: The words of the usual placeholder passage, and those of them by which a line is told to be of it.
+PASSAGE = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi"
+    " aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
+).split()
+TELLING = ("lorem", "ipsum", "consectetur", "adipiscing")
+#: A word is filler when this share of its uses is in lines of filler; words that the passage lacks need so many of those lines. A line is filler when this share of its words is.
+USED_AS_FILLER, USED_LINES, FILLER_SHARE = 0.3, 2, 0.7
+#: A line with this share of function words of a living language is of that language.
+FUNCTION_SHARE = 0.125
+
+_BLOCK_TAG = r"-?\s*(?:for|if|elif|else|end\w*|set|block|include|extends|macro|raw|with|load)\b"
+#: Slots with delimiters that prose doesn't use; they count wherever they stand but for backticks before them.
 MARKED_SLOT = (
-    r"\{\{[^{}\n]{1,80}\}\}|\$\{[^{}\n]{1,80}\}|\{%[^{}\n]{1,80}%\}|<%[^<>\n]{1,80}%>|\[\[[^\[\]\n]{1,80}\]\]|__[A-Za-z][^_\n]{0,60}(?:_[^_\n]{1,30}){0,4}__|##[^#\n]{1,60}##|@@[^@\n]{1,60}@@"
+    r"(?<!`)(?:\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|\{%(?!" + _BLOCK_TAG + r")[^{}\n]+%\}|<%[^<>\n]+%>|\[\[[^\[\]\n]+\]\]|__\p{L}[^_\n]*+(?:_[^_\n]++)*+__|##[^#\n]+##|@@[^@\n]+@@)"
+)
+_ELEMENT = r"/?(?:html|head|body|div|span|p|br|hr|ul|ol|li|table|thead|tbody|tr|td|th|h[1-6]|script|style|link|meta|img|form|input|button|select|option|nav|section|article|a|b|i|em|strong|code|pre|svg|iframe)(?:\s+[\w-]+=[^>]*)?\s*/?>"
+#: Slots with delimiters that prose uses too; they count only as a whole segment.
+LONE_SLOT = r"\[(?![\d\s,–-]+\])[^\[\]\n]+\]|\{(?!%)[^{}\n]+\}|<(?!" + _ELEMENT + r"|[!?])[^<>\n]+>|«[^«»\n]+»|%[^%\s\n][^%\n]*%"
+SLOTS = f"(?:(?:{MARKED_SLOT}|{LONE_SLOT})[\\s,;|/–-]*)+"
+#: Lines of code, and lines after which an example comes.
+CODE_LINE = (
+    r";\s*$|[^{}$%]\{\s*$|^\s*\}[\s;,)]*$|^\s*(?:import|from|def|class|return|for|if|while|else|elif|let|const|var|function|select|insert|update|public|private|print|echo)\b.*[(){}=;:]"
+    r"|^\s*[\w.'\"\[\]-]+\s*[:+]?=\s*\S|</\w+>|/>\s*$|\{%" + _BLOCK_TAG + r"|^\s*<" + _ELEMENT
 )
-#: Slots with delimiters that prose uses too; they count only as a whole line.
-LONE_SLOT = r"\[[^\[\]\n]{1,80}\]|\{[^{}\n]{1,80}\}|<[^<>\n]{1,80}>|«[^«»\n]{1,80}»|%[^%\s\n][^%\n]{0,78}%"
+EXAMPLE_LINE = r"(?:example|syntax|snippet|template|tag|write|use|like this|placeholders?|beispiel|exemple|ejemplo|exemplo|пример|उदाहरण)[^:]*:\s*$"
+
+#: What follows up to the end: one clause, or at most two sentences.
+_OPT = r"(?!.*[.,!?;]\s+\S).*"
+_THING, _REST = r"(?!.*[.,!?;]\s+\S).+", r"(?!(?:.*[.!?]\s+\S){2}).*"
 _CODE = r"\(?(?:e-)?(?:0x)?[0-9a-f]{1,10}\)?"
 _FAULT = (
-    r"(?:(?:page|file|resource|document) not found|bad (?:gateway|request)|gateway time-?out|too many requests|internal server error|service (?:temporarily )?unavailable"
-    r"|access (?:to (?:this|the) (?:resource|page|document) is |is )?(?:denied|forbidden)|forbidden|unauthori[sz]ed|(?:the )?(?:request|connection) (?:has )?timed out"
-    r"|(?:could not|cannot|can.t|unable to|failed to) (?:load|reach|open|connect to|display|find|read) .{1,50}|the .{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
-    r"|the .{1,50} (?:is|are) no longer (?:here|available)|your session has (?:expired|ended|timed out).{0,50}|something went wrong.{0,50}"
-    r"|seite (?:wurde )?nicht gefunden|zugriff verweigert|page introuvable|accès (?:refusé|interdit)|página no (?:encontrada|disponible)|página não encontrada|acceso denegado|acesso negado|страница не найдена)"
+    r"(?:(?:(?:the )?(?:requested )?(?:page|file|resource|document|url) (?:was )?)?not found|bad (?:gateway|request)|gateway time-?out|request time-?out|too many requests|internal server error|service (?:temporarily )?unavailable|method not allowed"
+    rf"|access (?:to (?:this|the) (?:resource|page|document) is |is )?(?:denied|forbidden)|forbidden|unauthori[sz]ed|(?:the )?(?:request|connection) (?:has )?timed out"
+    rf"|(?:could not|cannot|can.t|unable to|failed to) (?:load|reach|open|connect to|display|find|read) {_THING}|the {_THING} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
+    rf"|the {_THING} (?:is|are) no longer (?:here|available)|your session has (?:expired|ended|timed out){_REST}|something went wrong{_REST}"
+    r"|seite (?:wurde )?nicht gefunden|zugriff verweigert|interner serverfehler|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|erreur interne du serveur|página no (?:encontrada|disponible)|acceso denegado|error interno del servidor"
+    r"|página não encontrada|acesso negado|erro interno do servidor|страница не найдена|доступ запрещ[её]н|внутренняя ошибка сервера|पृष्ठ नहीं मिला|पेज नहीं मिला|पहुँच अस्वीकृत)"
 )
 #: Faults whose telling words stand at the end, after any start.
-_GONE = r".{1,50} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
-_NO_LONGER = r".{1,50} (?:is|are) no longer (?:here|available)"
+_GONE = rf"{_THING} (?:was|were|has been|have been) (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?"
+_NO_LONGER = rf"{_THING} (?:is|are) no longer (?:here|available)"
+_ERROR = "(?:error|fehler|erreur|erro|ошибка|त्रुटि)"
 
 
 def _messages(fault: str) -> str:
     """Error messages of a fault, with or without a code and an opening word."""
-    return f"\\(?(?:http|error|fehler|erreur)(?: status| code)?[ :#-]*{_CODE}\\)?(?: ?[:–—-] ?{fault})?|{_CODE} ?[–—:-] ?{fault}|(?:oops|sorry|error|fehler|erreur)[!,:.]? {fault}(?: {_CODE})?|{fault}(?: {_CODE})?"
+    return f"\\(?(?:http|{_ERROR})(?: status| code)?[ :#-]*{_CODE}\\)?(?: ?[:–—-]? ?{fault})?|(?:{_CODE} ?[–—:-] ?|[45]\\d\\d ){fault}|(?:oops|sorry|{_ERROR})[!,:.]? {fault}(?: {_CODE})?|{fault}(?: {_CODE})?"
 
 
 _NEED = (
-    r"(?:(?:please |bitte |veuillez |por favor,? )?(?:enable|turn on|activate|allow|active|activez|activer|aktivieren sie|habilite|ative) (?:java-?script|scripting|scripts|active content|cookies)\b"
-    r"|java-?script (?:is|must be|has to be|seems to be) (?:switched off|turned off|turned on|off|disabled|required|needed|blocked|enabled)\b"
-    r"|your browser (?:does not|doesn.t) support .{1,40}|(?:a script on this page|active content|(?:some )?scripts?) (?:was|were|has been|have been|is|are) (?:blocked|disabled)\b"
+    r"(?:(?:please |bitte |veuillez |por favor,? |пожалуйста,? )?(?:enable|turn on|activate|allow|active|activez|activer|aktivieren sie|habilite|ative|включите|разрешите) (?:java-?script|scripting|scripts|active content|cookies)\b"
+    r"|java-?script (?:is|must be|has to be|seems to be) (?:switched off|turned off|turned on|off|disabled|required|needed|blocked|enabled)\b|java-?script (?:отключ[её]н|सक्षम करें)|(?:कृपया )?(?:java-?script|जावास्क्रिप्ट) (?:सक्षम|चालू) करें"
+    rf"|your browser (?:does not|doesn.t) support {_REST}|(?:a script on this page|active content|(?:some )?scripts?) (?:was|were|has been|have been|is|are) (?:blocked|disabled)\b"
     r"|this (?:content|page|site|viewer|application|app) (?:needs|requires) (?:scripts?|scripting|java-?script)\b)"
 )
-#: Whole lines, by kind.
+#: Whole segments, by kind.
 LINE_GRAMMARS = {
-    "slot": f"(?:(?:{MARKED_SLOT}|{LONE_SLOT})[\\s,;|/–-]*)+",
+    "slot": SLOTS,
     "prompt": (
-        r"(?:double[- ])?(?:click|tap|press|touch)(?: here| on this box| this box)? to (?:add|insert|enter|edit|replace|type|write|change)\b.{1,60}|select (?:here|this (?:box|field|shape)) to (?:add|insert|enter|edit|replace|type|write|change)\b.{1,60}"
-        r"|(?:touchez|cliquez|appuyez|tapez)(?: ici)? pour .{1,60}|(?:pulse|haga clic|toque|clique)(?: aquí| aqui)? para .{1,60}|zum .{1,40} (?:hier )?(?:tippen|klicken)"
-        r"|escriba (?:el|la|su|un|una) (?:título|subtítulo|texto|nombre|fecha).{0,30}|type (?:something|here|(?:your )?text).{0,20}|(?:your|insert|votre|ihr|su|seu|tu) (?:own )?(?:text|texte|texto|title|titre|título|titel|name|nom|nombre|logo|image|picture|content|subtitle|heading|caption)s? (?:here|ici|hier|aquí|aqui)"
+        rf"(?:double[- ])?(?:click|tap|press|touch)(?: here| on this box| this box)? to (?:add|insert|enter|edit|replace|type|write|change)\b{_THING}|select (?:here|this (?:box|field|shape)) to (?:add|insert|enter|edit|replace|type|write|change)\b{_THING}"
+        rf"|(?:touchez|cliquez|appuyez|tapez)(?: ici)? pour {_THING}|(?:pulse|haga clic|toque|clique)(?: aquí| aqui)? para {_THING}|zum {_THING} (?:hier )?(?:tippen|klicken)|(?:нажмите|щ[её]лкните|коснитесь)(?: здесь)?,? чтобы {_THING}"
+        rf"|(?:введите|вставьте) (?:текст|заголовок|подзаголовок|название|имя|дату|рисунок)(?: здесь)?|यहाँ (?:पाठ|शीर्षक|नाम)? ?लिखें"
+        rf"|escriba (?:el|la|su|un|una) (?:título|subtítulo|texto|nombre|fecha){_OPT}|type (?:something|here|(?:your )?text){_OPT}|(?:your|insert|votre|ihr|su|seu|tu) (?:own )?(?:text|texte|texto|title|titre|título|titel|name|nom|nombre|logo|image|picture|content|subtitle|heading|caption)s? (?:here|ici|hier|aquí|aqui)"
     ),
     "filler": (
-        r"(?:sample|dummy|filler|placeholder) (?:text|copy|content|title|heading|headline|caption|image|line)|(?:dummy|sample|filler|placeholder|blah|bla|foo|asdf)(?:[\s,]+(?:dummy|sample|filler|placeholder|blah|bla|bar|foo|asdf))*"
-        r"|placeholder for .{1,40}|(?:tbd|tba|tbc|todo|x{3,}|\?{3,})(?:[\s,/]+(?:tbd|tba|tbc|todo|x{3,}))*|(?:…|\.\.\.)? ?to be (?:filled|completed|done|added|defined|confirmed|determined|written)(?: in| later| soon)? ?(?:…|\.\.\.)?"
+        r"(?:sample|dummy|filler|placeholder) (?:text|copy|content|title|heading|headline|caption|image|line)|(?:dummy|sample|filler|placeholder|blah|bla|foo|asdf)(?:[\s,]+(?:dummy|sample|filler|placeholder|blah|bla|bar|foo|asdf))*+"
+        rf"|placeholder for {_THING}|(?:tbd|tba|tbc|todo|x{{3,}}|\?{{3,}})(?:[\s,/]+(?:tbd|tba|tbc|todo|x{{3,}}))*+|(?:…|\.\.\.)? ?to be (?:filled|completed|done|added|defined|confirmed|determined|written)(?: in| later| soon)? ?(?:…|\.\.\.)?"
         r"|(?:bullet|item|point) (?:one|two|three|four|five|[1-9])|(?:first|second|third|fourth|fifth) level|(?:erste|zweite|dritte|vierte|fünfte) ebene|(?:premier|deuxième|troisième|quatrième|cinquième) niveau|(?:primer|segundo|tercer|cuarto|quinto) nivel"
+        r"|(?:первый|второй|третий|четв[её]ртый|пятый) уровень|(?:образец|пример) текста|нужно заполнить"
     ),
     "error": (
         f"{_messages(_FAULT)}"
-        r"|(?:please )?(?:reload|refresh) (?:the|this) page|(?:please )?try again later|(?:please )?go back to the (?:start|home|main) ?page|(?:zurück zur startseite|retour à l.accueil|volver al inicio)|details were written to the log"
-        r"|(?:bitte )?(?:versuchen sie es )?später (?:erneut|noch einmal)(?: versuchen)?|(?:veuillez )?réessayer plus tard|inténtelo (?:de nuevo )?más tarde|contact (?:the|your) administrator\b.{0,60}|(?:reference|request id|incident)[: ]+[0-9a-f-]{6,40}"
+        r"|(?:please )?(?:reload|refresh) (?:the|this) page|(?:please )?try again later|(?:please )?go back to the (?:start|home|main) ?page|(?:zurück zur startseite|retour à l.accueil|volver al inicio|voltar ao início|вернуться на главную)|details were written to the log"
+        r"|(?:bitte )?(?:versuchen sie es )?später (?:erneut|noch einmal)(?: versuchen)?|(?:veuillez )?réessayer plus tard|inténtelo (?:de nuevo )?más tarde|tente novamente mais tarde|повторите попытку позже|(?:कृपया )?बाद में (?:पुनः )?प्रयास करें"
+        rf"|contact (?:the|your) administrator\b{_REST}|(?:reference|request id|incident)[: ]+[0-9a-f-]{{6,40}}"
     ),
-    "script": f"{_NEED}.{{0,80}}",
+    "script": f"{_NEED}{_REST}",
 }
-#: Whole lines whose telling words stand at the end or in the middle; looked for only where such a word stands in any letter case.
+#: Whole segments whose telling words stand at the end or in the middle; looked for only where such a word stands.
 OPEN_GRAMMARS = {
-    "goes here": r".{1,60} goes here",
-    "placeholder": r"\S{1,20}(?: \S{1,20})? placeholder",
-    "durch ": r".{1,40} durch (?:klicken|tippen) .{1,30}",
+    "goes here": rf"{_THING} goes here",
+    "placeholder": r"\S+(?: \S+)? placeholder",
+    "durch ": rf"{_THING} durch (?:klicken|tippen) {_THING}",
+    "के लिए": rf"{_THING} (?:जोड़ने|लिखने|बदलने) के लिए (?:यहाँ )?(?:क्लिक|टैप) करें",
     "no longer": _messages(_NO_LONGER),
     "moved": _messages(_GONE),
     "deleted": _messages(_GONE),
 }
-_LEAD = r"(?:[-•▪*–·]\s*|\d{1,2}[.)]\s+)?"
-#: A line that is residue as a whole, Java and Python syntax alike; compile without regard to case.
 _SPACE = r"[\s\p{Z}]*"
-LINE = "^" + _SPACE + _LEAD + "(?:" + "|".join(LINE_GRAMMARS.values()) + r")\s*[.!:…]*" + _SPACE + "$"
-#: Longer lines are never one prompt or message; filler has its own rule.
-LONGEST_LINE = 200
-#: A line is filler when this share of its words is in FILLER_WORDS.
-FILLER_SHARE = 0.7
-_BY_LETTER = {a: [w[1:] for w in FILLER_WORDS.split() if w[0] == a] for a in sorted({w[0] for w in FILLER_WORDS.split()})}
-_FILLER = r"(?i)\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\b"
+_LEAD = r"(?:[-•▪*–·|]\s*|\d{1,2}[.)]\s+)?"
+_TAIL = r"\s*[.!:…|]*" + _SPACE + "$"
+
+
+def _whole(grammar: str) -> str:
+    return "^" + _SPACE + _LEAD + "(?:" + grammar + ")" + _TAIL
+
+
+#: A lower-cased segment that is residue as a whole.
+LINE = _whole("|".join(LINE_GRAMMARS.values()))
+SLOT_LINE = _whole(SLOTS)
+_MARKED = r"\{\{|\$\{|\{%|<%|\[\[|__|##|@@"
+_SEPARATOR = r"\n|\s[/|·•]\s"
+_WORD = r"[\p{L}\p{N}][^\s\p{Z}]*"
+_FENCE = "```|~~~"
+#: Characters that make a slot or part a line; code in fences is read without them.
+_DELIMITERS = "{}[]<>«»%$#@_/|·•"
 
 
 def word_count(line: Column) -> Column:
-    """Runs of characters other than white space that hold a letter or digit."""
-    return F.regexp_count(line, F.lit(r"[\p{L}\p{N}][^\s\p{Z}]*"))
+    """Runs of characters other than white space that begin with a letter or digit."""
+    return F.regexp_count(line, F.lit(_WORD))
+
 
+def segments(field: Column) -> Column:
+    """The lower-cased segments of an array of text blocks; code in fences is made unlike any residue."""
+    text = F.lower(F.array_join(field, "\n"))
+    mask = lambda p, i: F.when(i % 2 == 1, F.regexp_replace(F.translate(p, _DELIMITERS, " " * len(_DELIMITERS)), "(?m)^", "\x02")).otherwise(p)
+    open_text = F.when(text.rlike(_FENCE), F.array_join(F.transform(F.split(text, _FENCE), mask), "\n")).otherwise(text)
+    return F.split(open_text, _SEPARATOR)
 
-def residue_words(line: Column, words: Column) -> Column:
-    """How many of a line's ``words`` are residue."""
-    whole = line.rlike("(?i)" + LINE)
+
+def residue_words(line: Column, before: Column, after: Column) -> Column:
+    """How many of a segment's words are residue, by the grammars and the segments around it; both may be null."""
+    whole = line.rlike(LINE)
     for word, grammar in OPEN_GRAMMARS.items():
-        whole = whole | (F.contains(F.lower(line), F.lit(word)) & line.rlike(f"(?i)^{_SPACE}{_LEAD}(?:{grammar})\\s*[.!:…]*{_SPACE}$"))
-    whole = (F.length(line) <= LONGEST_LINE) & whole
-    filler = F.regexp_count(line, F.lit(_FILLER)) >= F.greatest(F.lit(2), FILLER_SHARE * words)
+        whole = whole | (F.contains(line, F.lit(word)) & line.rlike(_whole(grammar)))
+    code = lambda x: F.coalesce(x.rlike(CODE_LINE), F.lit(False))
+    shown = code(before) | code(after) | F.coalesce(before.rlike(EXAMPLE_LINE), F.lit(False))
     slots = F.aggregate(F.regexp_extract_all(line, F.lit(f"({MARKED_SLOT})"), F.lit(0)), F.lit(0), lambda a, s: a + word_count(s))
-    marked = line.rlike(r"\{\{|\$\{|\{%|<%|\[\[|__|##|@@")
-    return F.when(whole | filler, words).when(marked, slots).otherwise(F.lit(0))
+    slotted = line.rlike(_MARKED)
+    return (
+        F.when(whole, F.when(line.rlike(SLOT_LINE) & shown, 0).otherwise(word_count(line)))
+        .when(slotted, F.when(shown | code(line), 0).otherwise(slots)).otherwise(F.lit(0))
+    )
 
 
 def field_counts(field: Column) -> Column:
-    """STRUCT<words, residue> of an array of text blocks; null and empty fields have 0 of both."""
-    lines = F.split(F.array_join(field, "\n"), r"\n")
-    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), word_count(x).alias("w")))
+    """STRUCT<words, residue> of an array of text blocks, filler aside; null and empty fields have 0 of both."""
     zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("residue"))
-    summed = F.aggregate(counted, zero, lambda a, x: F.struct((a["words"] + x["w"]).alias("words"), (a["residue"] + residue_words(x["line"], x["w"])).alias("residue")))
-    return F.coalesce(summed, zero)
+
+    def counted(s):
+        one = F.transform(s, lambda x, i: F.struct(word_count(x).alias("words"), residue_words(x, F.get(s, i - 1), F.get(s, i + 1)).alias("residue")))
+        return F.aggregate(one, zero, lambda a, x: F.struct((a["words"] + x["words"]).alias("words"), (a["residue"] + x["residue"]).alias("residue")))
+
+    # bound to a lambda's variable, so that the segments are made once
+    return F.coalesce(F.get(F.transform(F.array(segments(field)), counted), F.lit(0)), zero)
+
+
+def _fields(slides: DataFrame) -> DataFrame:
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("field")) for f in ("text", "notes")])
+    return slides.select("slide_key", F.explode(fields).alias("f")).select("slide_key", "f.field_name", "f.field")
+
+
+def filler_segments(fields: DataFrame) -> DataFrame:
+    """(slide_key, field_name, extra): the words of a field's filler segments that the grammars don't count.
+
+    Filler is a property of the corpus. Lines with a telling word of the usual
+    placeholder passage give the candidates: their words. All uses of a candidate
+    are counted over the whole corpus; it is kept if enough of them are in such
+    lines (a word of ordinary texts has few there). A second round takes all
+    lines that consist of kept words for the context, which finds lines without
+    any telling word, and gives up words whose lines are of other words mostly.
+    """
+    low = F.lower(F.array_join("field", "\n"))
+    told = F.lit(False)
+    for t in TELLING:
+        told = told | F.contains(low, F.lit(t))
+    parts = fields.where("field is not null").select("slide_key", "field_name", segments(F.col("field")).alias("s"), told.alias("told"))
+    letters = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
+    functional = [w for ws in FUNCTION_WORDS.values() for w in ws.split()]
+    strange = lambda line: F.size(F.filter(letters(line), lambda w: w.isin(functional))) < FUNCTION_SHARE * word_count(line)
+    lines = parts.where("told").select(F.explode("s").alias("line")).where(F.col("line").rlike(r"\b(?:" + "|".join(TELLING) + r")\b") & strange(F.col("line")))
+    first = lines.select(F.explode(letters(F.col("line"))).alias("word"), F.xxhash64("line").alias("l")).groupBy("word").agg(F.count("*").alias("n_in"), F.count_distinct("l").alias("n_lines"))
+    first = cut(first.where((F.col("n_lines") >= USED_LINES) | F.col("word").isin(PASSAGE)))
+    uses = parts.select(F.explode("s").alias("line")).select(F.explode(letters(F.col("line"))).alias("word")).join(small_side(first), "word").groupBy("word").agg(F.count("*").alias("n_all"), F.max("n_in").alias("n_in"))
+    kept = cut(uses.where(F.col("n_in") >= USED_AS_FILLER * F.col("n_all")))
+    words = parts.select("slide_key", "field_name", F.posexplode("s").alias("n", "line")).select("slide_key", "field_name", "n", "line", F.posexplode(letters(F.col("line"))).alias("i", "word"))
+    hits = cut(words.join(small_side(kept.select("word", "n_all")), "word").distinct())
+    filler = lambda w: w.groupBy("slide_key", "field_name", "n", "line").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) & (F.col("hits") >= FILLER_SHARE * word_count(F.col("line"))) & strange(F.col("line")))
+    at = ["slide_key", "field_name", "n", "line"]
+    again = hits.join(filler(hits).select(*at), at, "left_semi").groupBy("word").agg((F.count("*") >= USED_AS_FILLER * F.max("n_all")).alias("ok")).where("ok").select("word")
+    found = filler(hits.join(small_side(again), "word", "left_semi"))
+    extra = word_count(F.col("line")) - residue_words(F.col("line"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return found.groupBy("slide_key", "field_name").agg(F.sum(extra).cast("int").alias("extra"))
 
 
 def residue_density(slides: DataFrame) -> DataFrame:
-    """(slide_key, field_name, words, residue_words): one row for each slide and field that isn't null or empty."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), field_counts(F.col(f)).alias("n")) for f in ("text", "notes")])
-    rows = slides.select("slide_key", F.explode(fields).alias("f"))
-    return rows.select("slide_key", "f.field_name", F.col("f.n.words").alias("words"), F.col("f.n.residue").alias("residue_words")).where("words > 0")
+    """(slide_key, field_name, words, residue_words): each slide and field that has words, once."""
+    fields = _fields(slides)
+    counted = fields.select("slide_key", "field_name", field_counts(F.col("field")).alias("n")).select("slide_key", "field_name", F.col("n.words").alias("words"), F.col("n.residue").alias("residue")).where("words > 0").distinct()
+    d = counted.join(small_side(cut(filler_segments(fields))), ["slide_key", "field_name"], "left")
+    return d.select("slide_key", "field_name", "words", (F.col("residue") + F.coalesce("extra", F.lit(0))).alias("residue_words"))
 
 
 def residue_fields(slides: DataFrame) -> DataFrame:
-    """(slide_key, field_name) of the fields of which more than half of the words are residue, each once."""
-    return residue_density(slides).where(F.col("residue_words") * 2 > F.col("words")).select("slide_key", "field_name").distinct()
+    """(slide_key, field_name) of the fields of which more than half of the words are residue, each once.
+
+    A field with exactly half isn't a case; null and empty fields never are; a
+    redelivered row counts once.
+    """
+    return residue_density(slides).where(F.col("residue_words") * 2 > F.col("words")).select("slide_key", "field_name")

@@ -5,7 +5,7 @@ from deckmill.llm import boilerplate as b
 from deckmill.llm import oracle, queries
 
 
-@pytest.mark.parametrize("name", ["p2_classes", "p4_found", "p4_density", "p5_found", "p5_clean", "p6_found", "p6_ranked"])
+@pytest.mark.parametrize("name", ["p2_classes", "p4_found", "p5_found", "p5_clean", "p6_found", "p6_ranked"])
 def test_found_equals_sql(name, same):
     same(queries.queries()[name], oracle.oracle_sql()[name])
 
