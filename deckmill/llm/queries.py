@@ -69,8 +69,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "slides"), _decks_of_statements(spark, d), "ps_id", "deck_id", "text").select("ps_id", "line")
 
 
+def p5_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated lines of each statement as templates with slots."""
+    found = cut(boilerplate.repeated_lines(table(spark, d, "slides"), _decks_of_statements(spark, d), "ps_id", "deck_id", "text"))
+    return boilerplate.templates(found, "ps_id")
+
+
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.without_repeated_lines(table(spark, d, "slides").select("slide_key", "deck_id", "text").distinct(), "slide_key", _decks_of_statements(spark, d), "ps_id", "deck_id", "text")
+    return boilerplate.without_repeated_lines(table(spark, d, "slides"), "slide_key", _decks_of_statements(spark, d), "ps_id", "deck_id", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -218,9 +218,10 @@ def filler_segments(fields: DataFrame) -> DataFrame:
 
 def residue_density(slides: DataFrame) -> DataFrame:
     """(slide_key, field_name, words, residue_words): each slide and field that has words, once."""
-    fields = _fields(slides)
-    counted = fields.select("slide_key", "field_name", field_counts(F.col("field")).alias("n")).select("slide_key", "field_name", F.col("n.words").alias("words"), F.col("n.residue").alias("residue")).where("words > 0").distinct()
-    d = counted.join(small_side(cut(filler_segments(fields))), ["slide_key", "field_name"], "left")
+    # counted below the explode, so that no filter or projection counts again
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), field_counts(F.col(f)).alias("n")) for f in ("text", "notes")])
+    counted = slides.select("slide_key", F.explode(each).alias("f")).select("slide_key", "f.field_name", F.col("f.n.words").alias("words"), F.col("f.n.residue").alias("residue")).where("words > 0").distinct()
+    d = counted.join(small_side(cut(filler_segments(_fields(slides)))), ["slide_key", "field_name"], "left")
     return d.select("slide_key", "field_name", "words", (F.col("residue") + F.coalesce("extra", F.lit(0))).alias("residue_words"))
 
 
