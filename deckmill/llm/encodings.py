@@ -4,13 +4,16 @@ A token is a run of ASCII letters and digits and of characters beyond ASCII,
 with at least one of the latter. ASCII is the same in all encodings involved, so
 decoding a text wrongly decodes each of its tokens wrongly, and nothing else.
 
-1. The distinct tokens of the corpus are collected.
-2. Each clean one is written out in its garbled form under every encoding
-   chain. Originals that the corpus doesn't hold in clean form are added to the
-   words: the inverse of a chain proposes them, and they count only if the chain
-   brings them back to the very token and they are made of common letters and signs.
-3. The table of garbled forms is hash-joined with the corpus tokens. A match is
-   a garbled token with its original; records with such a token are affected.
+1. The distinct tokens of the corpus are collected. A token is clean if no chain
+   turns it back into another plausible text.
+2. The table of garbled forms: every clean token is written out under every
+   encoding chain, and so is every character of a clean token or of a small
+   alphabet.
+3. The table is hash-joined with the corpus tokens. A match is a garbled token
+   with its original. Tokens whose original the corpus lacks in clean form are
+   looked up piece by piece: they match if they are made of the garbled forms of
+   these characters, all of one chain.
+4. Records with a matched token are affected.
 
 A token with the replacement character is affected in any case; its original is
 restored where the table knows just one word for it.
@@ -44,6 +47,9 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 #: Blocks whose letters and signs a proposed original may hold.
 _COMMON = ((0xA1, 0x17F), (0x386, 0x3CE), (0x401, 0x45F), (0x900, 0xE7F), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x22FF), (0x2500, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x1F300, 0x1FAFF))
 
+#: Latin letters and signs, dashes, quotes and currency signs, garbled too whether or not a clean word has them.
+_ALPHABET = ((0xA1, 0x17F), (0x2010, 0x203A), (0x20A0, 0x20BF))
+
 
 @functools.cache
 def _tables(codec: str) -> tuple[dict[int, int], dict[int, int]]:
@@ -110,7 +116,7 @@ def _plausible(original: str, seen: str) -> bool:
     return not (len(original) == 1 and len(seen) == 2 and unicodedata.category(seen[0]) == "Lu" and "Ѐ" <= seen[0] <= "Я" and unicodedata.category(seen[1])[0] in "PZ")
 
 
-def proposed(token: str) -> str | None:
+def inverse(token: str) -> str | None:
     """An original of ``token`` whose garbled runs come back to it under one chain; None if there is none."""
     for chain in [(c,) for c in READ_AS] + [x[::-1] for x in READ_TWICE]:
         hit = False
@@ -132,7 +138,7 @@ def proposed(token: str) -> str | None:
 
         out = _RUN.sub(run, token)
         if hit:
-            deeper = proposed(out) if not out.isascii() else None
+            deeper = inverse(out) if not out.isascii() else None
             return deeper or out
     return None
 
@@ -144,38 +150,95 @@ def tokens_of(text: Column) -> Column:
     return F.when(F.length(joined) < F.octet_length(joined), found)
 
 
-_ENTRY = T.StructType([T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("chain", T.StringType()), T.StructField("n", T.LongType())])
+_ENTRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n", T.LongType())])
+_MATCH = T.StructType([T.StructField("token", T.StringType()), T.StructField("original", T.StringType())])
 
 
 def _entries(batches):
+    """The table of garbled forms: for each clean token its forms under every chain ('word') and its characters ('char'), once a batch."""
     import pyarrow as pa
 
     for batch in batches:
-        rows = []
+        rows, chars = [], set()
         for token, n in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist()):
-            if LOST in token:
-                continue
-            original = proposed(token)
-            if original is None:
-                rows += [(form, token, chain, n) for form, chain in garbled(token).items()]
-            else:
-                rows.append((token, original, "proposed", 0))
-                rows += [(form, original, chain, 0) for form, chain in garbled(original).items() if LOST in form or form == token]
+            if LOST not in token and inverse(token) is None:
+                rows += [("word", form, token, n) for form in garbled(token)]
+                chars.update(ch for ch in token if ch >= "\x80")
+        rows += [("char", ch, ch, 0) for ch in sorted(chars)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["form", "original", "chain", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["kind", "form", "original", "n"])
+
+
+def piece_tables(chars: list[str]) -> list[dict[str, str]]:
+    """For each chain that starts from UTF-8, the garbled form of every character of clean words and of the alphabet, doubled chains first."""
+    out, chars = [], sorted({*chars, *(chr(c) for a, b in _ALPHABET for c in range(a, b + 1))})
+    for chain in [*READ_TWICE, *[(c,) for c in READ_AS]]:
+        out.append({functools.reduce(read_as, chain, ch): ch for ch in chars})
+    return out
+
+
+def pieced(token: str, tables: list[dict[str, str]]) -> str | None:
+    """``token`` with its garbled runs replaced, if under one chain they are made of garbled forms of characters alone; else null.
+
+    The forms of one chain are prefix-free, so a run has one reading at most.
+    """
+    for forms in tables:
+        longest, hit = max(map(len, forms), default=0), False
+
+        def run(m: re.Match) -> str:
+            nonlocal hit
+            seen, out, i = m[0], [], 0
+            while i < len(seen):
+                for size in range(2, longest + 1):
+                    if (ch := forms.get(seen[i : i + size])) is not None and i + size <= len(seen):
+                        out.append(ch)
+                        i += size
+                        break
+                else:
+                    return seen
+            if not _plausible("".join(out), seen):
+                return seen
+            hit = True
+            return "".join(out)
+
+        text = _RUN.sub(run, token)
+        if hit:
+            return text if text.isascii() else pieced(text, tables) or text
+    return None
 
 
 def garbled_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(token, original): the garbled tokens of the corpus; original is null where it can't be told."""
+    """(token, original): the garbled tokens of the corpus; original is null where it can't be told. Not cut.
+
+    Garbling is spread over all tasks by token, however few bytes the distinct
+    tokens have, and its table is written once. The characters of clean words go
+    to every worker: their number is bounded by the character set.
+    """
+    spark = docs.sparkSession
     seen = cut(docs.select(F.explode(tokens_of(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
-    table = seen.mapInArrow(_entries, _ENTRY)
-    known = table.join(seen.select(F.col("token").alias("form")), "form")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = seen.repartition(tasks, "token")
+    table = cut(spread.mapInArrow(_entries, _ENTRY))
+    known = table.where("kind = 'word'").join(seen.select(F.col("token").alias("form")), "form")
     # of several originals the one seen most often; for replaced characters only a single one is a restoration
     best = known.groupBy("form").agg(F.max(F.struct("n", "original")).alias("b"), F.min("original").alias("least"), F.max("original").alias("most"))
     sure = ~F.contains(F.col("form"), F.lit(LOST)) | (F.col("least") == F.col("most"))
-    matched = best.select(F.col("form").alias("token"), F.when(sure, F.col("b.original")).alias("original"))
-    lost = seen.where(F.contains(F.col("token"), F.lit(LOST))).select("token").join(matched, "token", "left_anti").select("token", F.lit(None).cast("string").alias("original"))
-    return matched.unionByName(lost)
+    matched = cut(best.select(F.col("form").alias("token"), F.when(sure, F.col("b.original")).alias("original")))
+    chars = sorted(r[0] for r in table.where("kind = 'char'").select("form").distinct().collect())
+    sent = spark.sparkContext.broadcast(chars)
+
+    def pieces(batches):
+        import pyarrow as pa
+
+        tables = piece_tables(sent.value)
+        for batch in batches:
+            rows = [(t, o) for t in batch.column("token").to_pylist() if LOST not in t and (o := pieced(t, tables)) is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["token", "original"])
+
+    rest = spread.select("token").join(matched, "token", "left_anti")
+    lost = rest.where(F.contains(F.col("token"), F.lit(LOST))).select("token", F.lit(None).cast("string").alias("original"))
+    return matched.unionByName(rest.mapInArrow(pieces, _MATCH)).unionByName(lost)
 
 
 def affected(docs: DataFrame, key: str, text: str, bad: DataFrame) -> DataFrame:
