@@ -17,29 +17,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.joins import small_side
+from ..functions.lineage import cut
+
+
+def _best(tables: list, group: list[str], order: list[str], n: int):
+    """(table, place): the first ``n`` rows of each group, sorted by group, with their place from 0."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    t = pa.concat_tables(tables).combine_chunks()
+    code = np.zeros(t.num_rows, np.int64)
+    for c in group:
+        values = pc.dictionary_encode(t[c].combine_chunks(), null_encoding="encode")
+        code = np.unique(code * (len(values.dictionary) + 1) + np.asarray(values.indices), return_inverse=True)[1].astype(np.int64)
+    keyed = t.select(order).append_column("__code", pa.array(code))
+    index = np.asarray(pc.sort_indices(keyed, [("__code", "ascending"), *[(c, "ascending") for c in order]]))
+    code = code[index]
+    at = np.arange(len(code))
+    place = at - np.maximum.accumulate(np.where(np.r_[True, code[1:] != code[:-1]], at, 0))
+    return t.take(pa.array(index[place < n])), place[place < n]
+
 
 def partition_bounds(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """Per partition and group the local n-th of the ascending ``order`` columns; groups with fewer rows there give none."""
+    """Per partition and group the local n-th of the ascending ``order`` columns; groups with fewer rows there give none.
+
+    Nothing is shuffled. A task holds the best rows of its groups and as many
+    new ones again before it sorts them, so its time is that of sorting its rows.
+    """
     cols = [*group, *order]
     schema = T.StructType([df.schema[c] for c in cols])
-    g = len(group)
 
     def local(batches):
-        import heapq
-
         import pyarrow as pa
 
-        best: dict[tuple, list] = {}
+        held, fresh, rows = None, [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                best.setdefault(row[:g], []).append(row[g:])
-            for k, rows in best.items():
-                if len(rows) > 4 * n:
-                    best[k] = heapq.nsmallest(n, rows)
-        out = [k + heapq.nsmallest(n, rows)[-1] for k, rows in best.items() if len(rows) >= n]
-        if out:
-            arrays = [pa.array(c) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays(arrays, cols)
+            fresh.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows > max(200_000, held.num_rows if held else 0):
+                held, fresh, rows = _best([held, *fresh] if held else fresh, group, order, n)[0], [], 0
+        if held or fresh:
+            best, place = _best([held, *fresh] if held else fresh, group, order, n)
+            yield from best.filter(pa.array(place == n - 1)).select(cols).combine_chunks().to_batches()
 
     return df.select(*cols).mapInArrow(local, schema)
 
@@ -54,7 +75,7 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, ran
     """
     group, order = list(group), list(order)
     o = F.struct(*order)
-    bound = partition_bounds(df, group, order, n).groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.min(o).alias("__bound"))
+    bound = small_side(cut(partition_bounds(df, group, order, n).groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.min(o).alias("__bound"))))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
     cond = on[0]
     for x in on[1:]:
