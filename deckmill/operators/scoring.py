@@ -46,9 +46,11 @@ def ranked(df: DataFrame, group: str, order: list[Column], eligible: Column, nam
 
     No task ranks a whole group. Rows are spread over ranges of (group, order),
     so a group of any size is a run of ranges; each range numbers its own rows,
-    and the sizes of a group's earlier ranges, a row each, are added. The spread
-    rows are written once, so that ranges don't move when a task is run again.
+    and the sizes of a group's earlier ranges, a row each, are added. ``df`` and
+    the spread rows are written once: ranges are sampled from the former, and
+    those of the latter don't move when a task is run again.
     """
+    df = cut(df)
     at = cut(df.where(eligible).repartitionByRange(F.col(group), *order).withColumn("__range", F.spark_partition_id()))
     local = at.withColumn("__n", F.row_number().over(Window.partitionBy("__range", group).orderBy(*order)))
     sizes = at.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.count("*").alias("__size"))
