@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.window import Window
+
+from ..functions.joins import small_side
 from ..functions.lineage import cut
-from .top_n import top_n
+from ..operators.scoring import ranked
 
 #: Share of a document's words that its vocabulary must cover.
 COVERAGE = 0.5
-#: Ranks kept of each language; rarer words share the next rank. It bounds what workers are sent.
+#: Ranks of each language that workers are sent; a document whose vocabulary must go further is ranked by a join.
 RANKS = 10_000
 #: Letters of a long word, and the words of a sentence at which its length stops to count.
 LONG_WORD, LONGEST_SENTENCE = 11, 100
@@ -140,11 +143,19 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, schema).groupBy("language", "word").agg(F.sum("n").alias("n"))
 
 
-def ranking(docs: DataFrame, text: str, ranks: int = RANKS) -> dict[str, dict[str, int]]:
-    """Rank of the ``ranks`` most frequent words of each language; ties go by the word. Its size is bounded by languages times ranks."""
+def ranking(docs: DataFrame, text: str) -> DataFrame:
+    """(language, k, word, r): the rank of every word of each language by frequency; ties go by the word. Cut.
+
+    Words are spread over ranges, so that no task ranks a whole language.
+    """
     keyed = counted(docs, text).select("language", (-F.col("n")).alias("k"), "word")
+    return cut(ranked(keyed, "language", [F.col("k"), F.col("word")], F.lit(True), "r"))
+
+
+def frequent(ranks: DataFrame, most: int) -> dict[str, dict[str, int]]:
+    """The ranks up to ``most`` of each language: a bounded number of words."""
     out: dict[str, dict[str, int]] = {}
-    for r in top_n(keyed, ["language"], ["k", "word"], ranks, "r").collect():
+    for r in ranks.where(F.col("r") <= most).select("language", "word", "r").collect():
         out.setdefault(r["language"], {})[r["word"]] = r["r"]
     return out
 
@@ -152,33 +163,64 @@ def ranking(docs: DataFrame, text: str, ranks: int = RANKS) -> dict[str, dict[st
 _FEATURES = T.StructType([T.StructField("language", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("coverage_rank", T.IntegerType()), T.StructField("sentence_words", T.DoubleType()), T.StructField("long_share", T.DoubleType())])
 
 
-def measured(text: str | None, ranks: dict[str, dict[str, int]]) -> tuple | None:
-    """(language, n_words, coverage_rank, sentence_words, long_share) of a text; None if it has no prose. n_words counts all words of the text."""
+def measured(text: str | None, ranks: dict[str, dict[str, int]], most: int) -> tuple | None:
+    """(language, n_words, coverage_rank, sentence_words, long_share) of a text; None if it has no prose. n_words counts all words of the text; a coverage rank beyond ``most`` is -1."""
     name, sentences = analysed(text)
     if not sentences:
         return None
-    rank, rest = ranks.get(name, {}), RANKS + 1
+    rank, rest = ranks.get(name, {}), most + 1
     lengths = [len(s) for s in sentences]
     words = [w for s in sentences for w in s]
     order = sorted([rank.get(w, rest) for w in words])
     covered = order[max(0, -int(-COVERAGE * len(order) // 1) - 1)]
     long = sum(1 for w in words if len(w) >= LONG_WORD) / len(words)
     weighted = sum(n * min(n, LONGEST_SENTENCE) for n in lengths) / len(words)
-    return name, len(text.split()), covered, weighted, long
+    return name, len(text.split()), covered if covered <= most else -1, weighted, long
+
 
+def features(docs: DataFrame, key: str, text: str, ranks: DataFrame, most: int = RANKS) -> DataFrame:
+    """(key, language, n_words, coverage_rank, sentence_words, long_share); all null for a text without prose. Cut.
 
-def features(docs: DataFrame, key: str, text: str, ranks: dict[str, dict[str, int]]) -> DataFrame:
-    """(key, language, n_words, coverage_rank, sentence_words, long_share); all null for a text without prose."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    Workers have the ranks up to ``most``; documents that need a rarer word get
+    their coverage rank from a join with all ranks.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(ranks, most))
 
     @F.arrow_udf(_FEATURES)
     def measure(a):
         import pyarrow as pa
 
-        rows = [measured(t, sent.value) for t in a.to_pylist()]
+        rows = [measured(t, sent.value, most) for t in a.to_pylist()]
         return pa.array([r and dict(zip(_FEATURES.names, r)) for r in rows], pa.struct([("language", pa.string()), ("n_words", pa.int32()), ("coverage_rank", pa.int32()), ("sentence_words", pa.float64()), ("long_share", pa.float64())]))
 
-    return docs.select(key, measure(F.col(text)).alias("m")).select(key, "m.*")
+    found = cut(docs.select(key, measure(F.col(text)).alias("m")).select(key, "m.*"))
+    far = found.where("coverage_rank = -1")
+    if not far.take(1):
+        return found
+    exact = far_ranks(docs.join(small_side(far.select(key)), key, "left_semi"), key, text, ranks)
+    d = found.join(exact, found[key].eqNullSafe(exact["__key"]), "left").withColumn("coverage_rank", F.when(F.col("coverage_rank") == -1, F.col("__rank")).otherwise(F.col("coverage_rank")))
+    return cut(d.select(key, *_FEATURES.names))
+
+
+def far_ranks(docs: DataFrame, key: str, text: str, ranks: DataFrame) -> DataFrame:
+    """(__key, __rank): the coverage rank of each document by all ranks of its language."""
+    schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("language", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("all", T.LongType())])
+
+    def words(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, sentences = analysed(t)
+                n = Counter(w for s in sentences for w in s)
+                rows += [(k, name, w, c, n.total()) for w, c in n.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema.names)
+
+    w = docs.select(key, text).dropDuplicates([key]).mapInArrow(words, schema).join(ranks.select("language", "word", "r"), ["language", "word"])
+    upto = F.sum("n").over(Window.partitionBy("__key").orderBy("r"))
+    return w.withColumn("upto", upto).where(F.col("upto") >= F.ceil(COVERAGE * F.col("all"))).groupBy("__key").agg(F.min("r").alias("__rank"))
 
 
 _CENTRED = """
@@ -219,13 +261,13 @@ def level_column(models: dict[int, np.ndarray]) -> Column:
     return functools.reduce(lambda n, x: n + F.when(x >= 0, 1).otherwise(0), p, F.lit(LEVELS[0]))
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level", most: int = RANKS) -> DataFrame:
     """(key, language, n_words, coverage_rank, level): every document with prose; null, blank and prose-free texts have no level and don't come out.
 
     Equal texts get equal levels. Without labels the level is null.
     """
     spark = docs.sparkSession
-    found = cut(features(docs, key, text, ranking(docs, text)))
+    found = features(docs, key, text, ranking(docs, text), most)
     centred = spark.sql(_CENTRED.format(key=key), f=found)
     models = calibrated(spark, centred, labels, key, label)
     level = level_column(models) if models else F.lit(None).cast("int")

@@ -23,8 +23,8 @@ def test_run_on_is_no_long_sentence():
 
 def test_coverage_rank():
     ranks = {"en": {w: i for i, w in enumerate("the is box new".split(), 1)}}
-    assert reading.measured("The box is new. The box is new.", ranks)[2] == 2
-    assert reading.measured(None, ranks) is None and reading.measured(" \n", ranks) is None and reading.measured("```\ncode\n```", ranks) is None
+    assert reading.measured("The box is new. The box is new.", ranks, 9)[2] == 2 and reading.measured("The box is new. The box is new.", ranks, 1)[2] == -1
+    assert reading.measured(None, ranks, 9) is None and reading.measured(" \n", ranks, 9) is None and reading.measured("```\ncode\n```", ranks, 9) is None
 
 
 def test_logistic_on_separable_data():
@@ -80,3 +80,11 @@ def test_language_of_whole_texts(spark):
         assert {r.language for r in reading.counted(spark.createDataFrame([(text,)], "text string"), "text").collect()} == {name}
     code = "```\n" + "the of and to in is it we for a\n" * 80 + "```\nDas ist ein kleines Schild und es ist nicht neu."
     assert reading.analysed(code)[0] == "de" and {r.language for r in reading.counted(spark.createDataFrame([(code,)], "text string"), "text").collect()} == {"de"}
+
+
+def test_any_number_of_sent_ranks_gives_the_same_levels(spark, data):
+    from deckmill.sources.tables import table
+
+    docs, labels = table(spark, data, "documents"), table(spark, data, "reading_labels")
+    rows = lambda most: sorted(map(tuple, reading.reading_levels(docs, labels, most=most).collect()))
+    assert rows(3) == rows(40) == rows(10_000)
