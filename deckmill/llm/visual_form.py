@@ -1,12 +1,16 @@
 """One written form for texts that look the same (problem 1).
 
-A longest-match transducer is compiled once per worker from a mapping that is
-derived from the Unicode character data: presentation widths and forms,
-invisible characters, kinds of blank, and look-alike letters of other scripts.
-The compiler refuses a mapping with conflicts (one key with two outputs, or an
-output that would be rewritten again). At run time only segments that hold a
-rewritable character are looked at: a base with the marks and invisible
-characters after it, that is, grapheme clusters and runs of them.
+A longest-match transducer is compiled once per worker. Its mapping is derived
+from the Unicode character data: presentation widths and forms, invisible
+characters, kinds of blank, look-alike letters of other scripts, and accents as
+the sequences of base and marks that make up each composed character. The
+compiler refuses a mapping with conflicts (one key with two outputs, or an
+output that would be rewritten again).
+
+A text is read once, cluster by cluster: a cluster is a character with the marks
+and invisible characters after it, and only clusters that hold a rewritable
+character are looked at. A cluster's characters are expanded by the mapping, its
+marks put into their canonical order, and the longest sequences composed.
 """
 
 from __future__ import annotations
@@ -20,16 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of another script with the same shape, and the Latin letter for each.
+#: Letters with the skeleton of a basic Latin letter of the same case in Unicode's table of confusable
+#: characters, less those that upright type draws differently (Greek alpha or Cyrillic ghe, say).
 LOOKALIKES = {
-    # Cyrillic
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
-    "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
     # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "Ϳ": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "Ϝ": "F", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϻ": "M",
+    # Cyrillic
+    "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
+    "Ѵ": "V", "ѵ": "v", "Ү": "Y", "һ": "h", "Ӏ": "I", "ӏ": "l", "ԁ": "d", "Ԍ": "G", "Ԛ": "Q", "ԛ": "q", "Ԝ": "W", "ԝ": "w",
+    # Armenian and Georgian
+    "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ჿ": "o",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮙ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "ꮃ": "w", "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮯ": "c",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
 }
 
 #: Sequences that are drawn like one character which has no canonical decomposition to them.
@@ -106,35 +114,59 @@ _JOINER = re.compile(f"(?<=[{_EMOJI}\\ufe0f])\\u200d(?=[{_EMOJI}])")
 
 
 @functools.lru_cache(maxsize=1)
-def compiled() -> tuple[Transducer, re.Pattern, re.Pattern, re.Pattern]:
-    """The checked transducer; what a text without characters beyond the basic plane must hold to be rewritten; the segments of such a text, and of any.
+def compiled() -> tuple[dict[str, str], Transducer, re.Pattern, re.Pattern, re.Pattern]:
+    """The expansion of each character, the checked transducer of compositions; what a text without characters beyond the basic plane must hold to be rewritten; the clusters of such a text, and of any.
 
     A class within the basic plane is a bitmap to the pattern engine, one beyond it a list that is scanned.
     """
-    mapping, special = {}, []
+    expand, compose, special, after = {}, {}, [], []
     for a, b in _SCANNED:
         for cp in range(a, min(b, sys.maxunicode) + 1):
-            if 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0xE000 <= cp <= 0xF8FF:
+            if 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF or 0xE000 <= cp <= 0xF8FF:
                 continue
             ch = chr(cp)
             if (cat := unicodedata.category(ch)) == "Cn":
                 continue
-            out = _single(ch)
-            if unicodedata.normalize("NFC", out) != ch:
-                mapping[ch] = out
-                special.append(cp)
-            elif cat[0] == "M" or 0x1100 <= cp <= 0x11FF:
-                special.append(cp)
+            parts = unicodedata.normalize("NFD", ch)
+            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
+                compose[parts] = ch
+            if 0xAC00 <= cp <= 0xD7A3:
+                continue
+            out = unicodedata.normalize("NFD", _single(ch))
+            if out != ch:
+                expand[ch] = out
+            mark = not out or unicodedata.category(out[0])[0] == "M" or 0x1160 <= ord(out[0]) <= 0x11FF
+            if unicodedata.normalize("NFC", out) != ch or cat[0] == "M" or mark:
+                (after if mark else special).append(cp)
     for key, out in SEQUENCES.items():
-        mapping[key] = _single(out) if len(out) == 1 else out
-    t = Transducer(mapping)
-    for key, out in mapping.items():
-        form = unicodedata.normalize("NFC", out)
-        if unicodedata.normalize("NFC", t.run(form)) != form:
+        compose[unicodedata.normalize("NFD", key)] = out
+        compose.setdefault(unicodedata.normalize("NFD", out), out)
+    transducer = Transducer(compose)
+    for key in (*expand, *compose):
+        form = _cluster(key, expand, transducer)
+        if _cluster(form, expand, transducer) != form:
             raise ValueError(f"the output of {key!r} isn't final: {form!r}")
-    special = sorted(set(special))
-    low, high = _class([x for x in special if x < 0x10000]), _class(special)
-    return t, re.compile(f"[{low}]"), re.compile(f"[^{low}]?[{low}]+"), re.compile(f"[^{high}]?[{high}]+")
+    basic = lambda cps: [x for x in cps if x < 0x10000]
+    clusters = lambda f: re.compile(f"[^{_class(f(after))}]?[{_class(f(after))}]+|[{_class(f(special))}]", re.DOTALL)
+    return expand, transducer, re.compile(f"[{_class(sorted(basic(special + after)))}]"), clusters(basic), clusters(list)
+
+
+def _ordered(s: str) -> str:
+    """``s`` with each run of marks in canonical order."""
+    out, run = [], []
+    for ch in s:
+        if unicodedata.combining(ch):
+            run.append(ch)
+        else:
+            out += sorted(run, key=unicodedata.combining)
+            out.append(ch)
+            run = []
+    return "".join(out + sorted(run, key=unicodedata.combining))
+
+
+def _cluster(s: str, expand: dict[str, str], transducer: Transducer) -> str:
+    parts = "".join(expand[ch] if ch in expand else unicodedata.normalize("NFD", ch) if "\uac00" <= ch <= "\ud7a3" else ch for ch in s)
+    return transducer.run(_ordered(parts))
 
 
 def _class(cps: list[int]) -> str:
@@ -150,8 +182,7 @@ def _class(cps: list[int]) -> str:
 
 @functools.lru_cache(maxsize=200_000)
 def _segment(s: str) -> str:
-    out = compiled()[0].run(s)
-    return unicodedata.normalize("NFC", compiled()[0].run(unicodedata.normalize("NFC", out)))
+    return _cluster(s, *compiled()[:2])
 
 
 def visual_form(s: str | None) -> str | None:
@@ -162,7 +193,7 @@ def visual_form(s: str | None) -> str | None:
         s = s.replace("\r\n", "\n")
     if "\u200d" in s and _JOINER.search(s):
         return "\u200d".join(visual_form(x) for x in _JOINER.split(s))
-    _, needed, basic, every = compiled()
+    needed, basic, every = compiled()[2:]
     if s.isascii() or max(s) < "\U00010000":
         return basic.sub(lambda m: _segment(m[0]), s) if needed.search(s) else s
     return every.sub(lambda m: _segment(m[0]), s)
@@ -187,10 +218,6 @@ def packed(col: Column) -> Column:
     return F.concat(F.size(col).cast("string"), F.lit(_RS + "|"), F.array_join(part, _RS + "|"))
 
 
-def _key(prefix: str, col: Column) -> list[Column]:
-    return [F.xxhash64(col).alias(f"{prefix}1"), F.xxhash64(F.lit(prefix), col).alias(f"{prefix}2")]
-
-
 def forms(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, f1, f2, r1, r2): 128-bit keys of the visual form and of the characters as written; rows without text are left out."""
     d = df.select(F.col(key).alias("key"), text.alias("raw")).where(F.col("raw").isNotNull())
