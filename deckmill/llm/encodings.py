@@ -112,8 +112,11 @@ def garbled(word: str) -> dict[str, str]:
 def _plausible(original: str, seen: str) -> bool:
     if not all(ch < "\x80" or any(a <= ord(ch) <= b for a, b in _COMMON) for ch in original):
         return False
-    # one capital and a punctuation mark can stand next to each other in clean text
-    return not (len(original) == 1 and len(seen) == 2 and unicodedata.category(seen[0]) == "Lu" and "Ѐ" <= seen[0] <= "Я" and unicodedata.category(seen[1])[0] in "PZ")
+    # a Cyrillic letter and a blank, or a capital and a punctuation mark, can stand next to each other in clean text
+    if len(original) == 1 and len(seen) == 2 and "Ѐ" <= seen[0] <= "џ":
+        kind = unicodedata.category(seen[1])[0]
+        return not (kind == "Z" or kind == "P" and seen[0] <= "Я")
+    return True
 
 
 def inverse(token: str) -> str | None:

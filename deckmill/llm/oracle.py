@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 _TOP = """
 with latest as (
   select distinct ps_id, submission_id, final_score, proposal_score, deck_quality_score, status from (
@@ -86,6 +88,56 @@ select slide_key, field_name from d where residue * 2 > words
 """
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}\x{34F}]"
+
+
+def _looks() -> str:
+    """Pairs of different writings by nested replacements and the engine's own NFC."""
+    from .visual_form import LOOKALIKES
+
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    blanks = {chr(c): " " for c in (0x9, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
+    other = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212b": "\u00c5", "\u212a": "K"}
+    pairs = wide | blanks | LOOKALIKES | other
+    form = "replace(e, chr(13) || chr(10), chr(10))"
+    form = f"regexp_replace({form}, '{INVISIBLE}', '', 'g')"
+    for ligature, parts in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+        form = f"replace({form}, '{ligature}', '{parts}')"
+    form = f"nfc_normalize(translate({form}, {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
+    return f"""
+with t as (select distinct 'slide' as record_type, slide_key as key, list_transform(text, lambda e: coalesce(e, '')) as raw from slides where text is not null
+ union all select distinct 'problem', problem_key, [description] from problems where description is not null),
+f as (select *, list_transform(raw, lambda e: {form}) as form from t)
+select a.record_type, a.key as key_a, b.key as key_b from f a join f b on a.record_type = b.record_type and a.form = b.form and a.key < b.key and a.raw <> b.raw
+"""
+
+
+def _garbled() -> str:
+    """Slides that hold what a letter or sign of the languages in use becomes when its UTF-8 bytes are read one by one, letters read in another alphabet, or the replacement character."""
+    letters = [chr(c) for a, b in ((0xA1, 0x17F), (0x400, 0x45F), (0x904, 0x94D), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2190, 0x22FF), (0x2500, 0x257F), (0x25A0, 0x25FF), (0x2700, 0x27BF), (0x1F300, 0x1F6FF)) for c in range(a, b)]
+    forms = set()
+    for codec in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251"):
+        for ch in letters:
+            out = "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in ch.encode())
+            if not (len(out) == 2 and "\u0410" <= out[0] <= "\u042f" and unicodedata.category(out[1])[0] in "PZ"):  # a Cyrillic capital before a sign is clean too
+                forms.add(out)
+    values = ", ".join(f"({_quoted(f)})" for f in sorted(forms))
+    return f"""
+with s as (select distinct on (slide_key) slide_key, array_to_string(list_filter(text, lambda e: e is not null), chr(10)) as t from slides where text is not null),
+runs as (select slide_key, unnest(regexp_extract_all(t, '[^\\x00-\\x7F]+')) as r from s),
+grams as (select distinct slide_key, r, substr(r, i, n) as g from runs, range(1, 40) i(i), range(2, 5) n(n) where i + n - 1 <= length(r)),
+forms as (select * from (values {values}) v(g))
+select distinct slide_key from grams join forms using (g)
+union select slide_key from s where contains(t, chr(65533)) or regexp_matches(t, '[\\x{{C0}}-\\x{{FF}}]{{5}}')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": _RESIDUE, "p2_found": _SETS, "p2_classes": _CLASSES, "p5_found": _LINES, "p5_clean": _CLEAN, "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group")}
+        "p1_found": _looks(), "p2_found": _SETS, "p2_classes": _CLASSES, "p3_found": _garbled(), "p4_found": _RESIDUE, "p5_found": _LINES, "p5_clean": _CLEAN,
+        "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group"),
+    }
