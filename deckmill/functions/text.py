@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words with inner apostrophes, hyphens and slashes; possessive, so that a word of any length is matched in a loop.
+#: Fixed value: words with inner apostrophes, hyphens and slashes; possessive, so that a word of any length is matched in a loop.
 WORD = r"[A-Za-z0-9]+(?:['’/-][A-Za-z0-9]+)*+"
 
 
@@ -27,9 +29,22 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD))
 
 
+#: Fixed value: what reads as a link.
+LINK = r"(?iU)(?:https?://|www\.)\S+"
+
+
+def without_links(c: Column) -> Column:
+    return F.regexp_replace(c, LINK, "")
+
+
 def sentence_count(c: Column) -> Column:
-    """Sentence ends before white space or the text's end; a text without one is a sentence."""
-    return F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[.!?]+(\s|$)")))
+    """Sentence ends before white space or the text's end; a text may have none."""
+    return F.regexp_count(c, F.lit(r"(?U)[.!?](?=\s|$)"))
+
+
+def has_phrase(c: Column, phrases) -> Column:
+    """Whether the column holds one of the phrases, in any letter case, with no letter, digit or low line next to it."""
+    return c.rlike(r"(?iU)(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)")
 
 
 def has_term(c: Column, term: str) -> Column:

@@ -26,27 +26,66 @@ _SQUEEZE = "trim(regexp_replace({}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _BLOCKS = f"""{_SLIDES}, raw as (select slide_key, deck_id, slide_number, unnest(text) as t, generate_subscripts(text, 1) - 1 as block_no from sd),
 blocks as (select slide_key, deck_id, slide_number, block_no, {_SQUEEZE.format("t")} as text from raw where t is not null and {_SQUEEZE.format("t")} <> '')"""
 _WORD = "[A-Za-z0-9]+(?:[''’/-][A-Za-z0-9]+)*"
-_PROFILE = f"""{_BLOCKS}, p0 as (select slide_key, deck_id, slide_number, block_no, length(text) as chars, len(regexp_extract_all(text, '{_WORD}')) as words,
- greatest(1, len(regexp_extract_all(text, '[.!?]+(\\s|$)'))) as sentences, regexp_matches(text, '^[A-Za-z][A-Za-z0-9 /&-]{{1,30}}:') as is_label, regexp_matches(text, '^[•▪*·–-]') as is_bullet from blocks),
-p1 as (select *, words >= 45 or chars >= 240 or sentences >= 3 as paragraph_like from p0),
-prof as (select *, not paragraph_like and (words <= 18 or is_label or is_bullet) as pointer_like from p1)"""
-_TERMS = ["scalable", "robust", "low-cost", "in real time", "reliably"]
-_HAS = "regexp_matches({}, '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
+_LINKLESS = "regexp_replace({}, '(?i)(https?://|www\\.)[^\\s\\p{{Z}}]+', '', 'g')"
+_FLAGS = """select *, not paragraph_like and (words <= 18 or is_label or is_bullet) as pointer_like from (select *, words >= 45 or chars >= 240 or sentences >= 3 as paragraph_like from p0)"""
+_P0 = f"""length(text) as chars, len(regexp_extract_all(text, '{_WORD}')) as words, len(regexp_extract_all({_LINKLESS.format("text")} || ' ', '[.!?][\\s\\p{{Z}}]')) as sentences,
+ regexp_matches({_LINKLESS.format("text")}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])[A-Za-z][A-Za-z0-9 /&+()''-]{{1,30}}:') as is_label, regexp_matches(text, '(^|[\\s\\p{{Z}}])[•▪◦●◉‣*-][\\s\\p{{Z}}]') as is_bullet"""
+_PROFILE = f"{_BLOCKS}, p0 as (select slide_key, deck_id, slide_number, block_no, {_P0} from blocks), prof as ({_FLAGS})"
+_BROAD = "advanced|better|comprehensive|cost effective|cost-effective|efficient|fast|improved|intelligent|optimized|quick|real time|real-time|robust|scalable|secure|seamless"
+_FILL = "innovative solution|cutting edge|cutting-edge|game changer|game-changing|revolutionary|seamless experience|unlock the potential|leverage the power|transform the way|next generation|user friendly|user-friendly|end to end|end-to-end|powered by ai"
+_SPECIFIC = "(?i)\\p{Nd}|%|(^|[^\\p{L}\\p{M}\\p{N}_])(accuracy|baseline|benchmark|demo|github|latency|measure|metric|ms|percent|reference|source|target|test|throughput|validated|users?|devices?|requests?)([^\\p{L}\\p{M}\\p{N}_]|$)|(^|[^\\p{L}\\p{M}\\p{N}_])(using|via|through|with)[\\s\\p{Z}]+[A-Za-z0-9]"
+_HAS = "regexp_matches({}, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(' || {} || ')([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')"
+
+
+def _terms_in(c: str, terms: str) -> str:
+    """The terms of a list that a text holds, each by a constant pattern."""
+    return "list_filter([" + ", ".join(f"case when {_HAS.format(c, chr(39) + t + chr(39))} then '{t}' end" for t in terms.split("|")) + "], lambda x: x is not null)"
+
+
+_CLAIMS = f"""cs as (select slide_key, block_no, unnest(string_split(regexp_replace({_LINKLESS.format("text")}, '([.!?])[\\s\\p{{Z}}]+', '\\1' || chr(1), 'g'), chr(1))) as s from blocks),
+ cv as (select * from cs where len(regexp_extract_all(s, '{_WORD}')) >= 4 and not regexp_matches(s, '{_SPECIFIC}')),
+ ct as (select slide_key, block_no, unnest({_terms_in("s", _BROAD)}) as term from cv), claims as (select slide_key, block_no, string_agg(distinct term, ',' order by term) as terms from ct group by slide_key, block_no)"""
+_STRUCTURE = f"""{_PROFILE}, {_CLAIMS}, body as (select p.*, c.terms is not null as broad, {_HAS.format("b.text", f"'{_FILL}'")} as filler from prof p join blocks b using (slide_key, block_no) left join claims c using (slide_key, block_no)
+  where block_no > (select min(block_no) from blocks m where m.slide_key = p.slide_key)),
+ st as (select sd.deck_id, sd.slide_key, coalesce(sum(chars), 0) as c, coalesce(sum(chars) filter (paragraph_like), 0) as pc, coalesce(sum(chars) filter (pointer_like), 0) as oc, count(*) filter (broad) as nb, count(*) filter (filler) as nf, count(chars) as n from sd left join body using (slide_key) group by 1, 2),
+ sc as (select *, case when c = 0 then 0.0 else greatest(0.0, (case when pc / c <= 0.35 then 1.0 else greatest(0.0, (1 - pc / c) / (1 - 0.35)) end) - least(0.25, 0.05 * nb)) end as score from st)"""
 _PHASES = {
-    "problem": ["problem", "stakeholder"], "solution": ["approach", "solution", "feature", "architecture"], "evidence": ["result", "finding", "dataset", "evaluation", "prototype"],
-    "plan": ["roadmap", "deployment", "cost", "team"], "close": ["thank", "question", "contact", "reference"],
+    "problem": ["problem", "challenge", "pain point", "need", "objective", "requirement"], "solution": ["solution", "approach", "proposed", "how it works", "workflow", "process"],
+    "build": ["architecture", "system design", "implementation", "technology", "tech stack", "model"], "evidence": ["prototype", "demo", "result", "evaluation", "validation", "testing", "benchmark", "metric"],
+    "close": ["conclusion", "summary", "next step", "roadmap", "future work", "thank you"],
 }
-_PHASE = "case " + " ".join(f"when {' or '.join(f"contains(lower(text), '{t}')" for t in ts)} then '{n}'" for n, ts in _PHASES.items()) + " end"
+_TYPES = {"architecture": ["architecture", "system design", "component"], "process": ["workflow", "process", "pipeline", "steps"], "results": ["result", "output", "evaluation", "performance"], "comparison": ["comparison", "versus", " vs "]}
+
+
+def _first(kinds: dict[str, list[str]]) -> str:
+    return "case " + " ".join(f"when {' or '.join(f"contains(t, '{x}')" for x in xs)} then '{n}'" for n, xs in kinds.items()) + " end"
+
+
+_KINDS = f"""{_SLIDES}, kt as (select slide_key, deck_id, slide_number, lower(coalesce({_SQUEEZE.format("array_to_string(list_filter(text, lambda x: x is not null), ' ')")}, '')) as t from sd),
+ kinds as (select *, {_first(_PHASES)} as phase, coalesce({_first(_TYPES)}, 'content') as slide_type from kt)"""
+_FLOW = f"""{_KINDS}, ke as (select *, min(slide_number) over (partition by deck_id) as lo, max(slide_number) over (partition by deck_id) as hi, count(*) over (partition by deck_id) as n_slides from kinds),
+ kp as (select deck_id, slide_number, slide_type, coalesce(phase, case when t <> '' and n_slides > 1 and slide_number = lo then 'problem' when t <> '' and n_slides > 1 and slide_number = hi then 'close' end) as phase from ke),
+ kf as (select deck_id, {', '.join(f"min(slide_number) filter (phase = '{n}') as p{i}" for i, n in enumerate(_PHASES))}, avg((slide_type in ('process', 'architecture'))::int) as signal from kp group by deck_id),
+ kg as (select *, list_filter([p0, p1, p2, p3, p4], lambda x: x is not null) as p from kf),
+ kh as (select *, len(p) as n, len(list_filter(range(1, len(p)), lambda i: p[i] <= p[i + 1])) as steps from kg),
+ flow as (select deck_id, round(n / 5, 6) as coverage, round(steps / greatest(n - 1, 1), 6) as ordered, (p0 is not null)::int as opening, (p4 is not null)::int as closing,
+  round(0.4 * n / 5 + 0.3 * steps / greatest(n - 1, 1) + 0.2 * (p0 is not null)::int + 0.1 * greatest((p4 is not null)::int, signal), 6) as flow from kh)"""
+_VISIBLE = f"""{_SLIDES}, vq as (select deck_id, list_filter([visibility.native, visibility.rendered, visibility.ocr, visibility.vision], lambda x: x is not null and x not in ('not_requested', 'not_applicable')) as q,
+  len(list_filter(coalesce(text, []), lambda x: x is not null and {_SQUEEZE.format("x")} <> '')) > 0 as shown from sd),
+ vis as (select deck_id, round(case when len(q) > 0 then len(list_filter(q, lambda x: x in ('verified', 'partial'))) / len(q) when shown then 1.0 else 0.0 end, 6) as v from vq)"""
 _ASSETS = "ad as (select distinct on (deck_id, asset_id) deck_id, asset_id, part_name, content_type, size_bytes, nullif(lower(trim(sha256)), '') as h from assets)"
 _DECKS = "dd as (select distinct on (deck_id) * exclude (loaded_at) from decks)"
 _PROBLEMS = "pd as (select distinct on (problem_key) * exclude (loaded_at) from problems)"
 _PID = "coalesce(nullif(upper(regexp_replace(regexp_replace(regexp_replace(trim(ps_id), '^(sih|problem|ps)[\\s:#._-]*(statement)?[\\s:#._-]*(id)?[\\s:#._-]*', '', 'i'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'UNASSIGNED')"
+_PIDOF = "coalesce(nullif(upper(regexp_replace(regexp_replace(regexp_replace(trim({}), '^(sih|problem|ps)[\\s:#._-]*(statement)?[\\s:#._-]*(id)?[\\s:#._-]*', '', 'i'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'UNASSIGNED')"
+_NAMED = f"""{_SLIDES}, {_DECKS}, ntx as (select deck_id, string_agg(coalesce(array_to_string(list_filter(text, lambda x: x is not null), chr(10)), ''), chr(10) order by slide_number, slide_key) as text from sd group by deck_id),
+ nt as (select deck_id, text, regexp_replace(deck_name, '([^.])\\.[^.]+$', '\\1') as stem from ntx full join dd using (deck_id))"""
 _FIN = "case when isnan({0}) then null else {0} + 0.0 end"
 _LATEST = f"""lt as (select ps_id, submission_id, unnest(max(struct_pack(scored_at := scored_at, final_score := final_score, proposal_score := proposal_score, deck_quality_score := deck_quality_score, status := status))) from submissions group by ps_id, submission_id),
 fin as (select ps_id, submission_id, status, {_FIN.format("final_score")} as final_score, {_FIN.format("proposal_score")} as proposal_score, {_FIN.format("deck_quality_score")} as deck_quality_score from lt)"""
 _BOARD = f"""{_LATEST}, ok as (select *, row_number() over (partition by ps_id order by final_score desc, coalesce(proposal_score, 0) desc, coalesce(deck_quality_score, 0) desc, lower(submission_id), submission_id) as place
  from fin where final_score is not null and status <> 'failed'),
-board as (select f.ps_id, f.submission_id, f.final_score, case when f.final_score is null then 'REVIEW' when f.final_score >= 85 then 'A' when f.final_score >= 70 then 'B' when f.final_score >= 55 then 'C' else 'D' end as bucket, ok.place
+board as (select f.ps_id, f.submission_id, f.final_score, case when f.final_score is null then 'REVIEW' when f.final_score >= 85 then 'A - Excellent' when f.final_score >= 70 then 'B - Strong' when f.final_score >= 55 then 'C - Promising' else 'D - Needs work' end as bucket, ok.place
  from fin f left join ok using (ps_id, submission_id))"""
 _CALIB = f"{_LATEST}, cal as (select proposal_score / 100 as confidence, (final_score >= 60)::int as y from fin where final_score is not null)"
 _NEXT = f"{_SLIDES}, tx as (select slide_key, deck_id, slide_number, coalesce(array_to_string(list_filter(text, lambda x: x is not null), ' '), '') as t from sd), nx as (select a.slide_key, a.t, b.t as u from tx a join tx b on a.deck_id = b.deck_id and a.slide_number = b.slide_number - 1)"
@@ -96,25 +135,17 @@ SQL: dict[str, str] = {
  n as (select *, row_number() over (partition by slide, id order by d, other) as k from d) select slide, id, other as nearest_id, d as distance from n where k = 1 and d <= 0.08""",
     "box_reading_order": f"with {_BOX} select slide, case when count(*) < 2 then 'unknown' when max(y) - min(y) <= greatest(0.04, 1.5 * median(h)) then 'left_to_right' when max(x) - min(x) <= greatest(0.04, 1.5 * median(w)) then 'top_to_bottom' else 'unknown' end as reading_order from boxes group by slide",
     "text_profile": f"with {_PROFILE} select * replace (block_no::int as block_no, chars::int as chars, words::int as words, sentences::int as sentences) from prof",
-    "content_structure": f"""with {_PROFILE}, s as (select deck_id, slide_key, sum(chars) as c, sum(case when paragraph_like then chars else 0 end) as pc, sum(case when pointer_like then chars else 0 end) as oc, count(*) filter (not paragraph_like and not pointer_like) as amb, count(*) as n from prof group by deck_id, slide_key),
- t as (select *, (pc / c >= 0.55)::int as heavy, round(greatest(0.0, (case when pc / c <= 0.35 then 1.0 else (1 - pc / c) / (1 - 0.35) end) - least(0.25, 0.05 * amb)), 6) as score from s)
- select deck_id, round(sum(pc) / sum(c), 6) as paragraph_ratio, round(sum(oc) / sum(c), 6) as pointer_ratio, round(avg(heavy), 6) as heavy_ratio, round(sum(amb) / sum(n), 6) as ambiguous_ratio, round(avg(score), 6) as structure_score from t group by deck_id""",
-    "filler_ratio": f"with {_BLOCKS} select deck_id, count(*) as n_blocks, round(avg(({' or '.join(_HAS.format('lower(text)', t) for t in _TERMS)})::int), 6) as filler_ratio from blocks group by deck_id",
-    "filler_terms": f"with {_BLOCKS}, t as (select * from (values {', '.join(f"('{t}')" for t in _TERMS)}) as v(term)) select term, count(*) as n_blocks, count(distinct deck_id) as n_decks from blocks join t on regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by term",
-    "ambiguous_claims": f"""with {_BLOCKS}, s as (select slide_key, block_no, unnest(regexp_split_to_array(lower(text), '[.!?]\\s+')) as s from blocks), v as (select * from s where len(regexp_extract_all(s, '[a-z0-9]+')) >= 4 and not regexp_matches(s, '[0-9]')),
- t as (select * from (values ('additional'), ('reliably'), ('scalable'), ('temporarily')) as x(term)) select slide_key, block_no::int as block_no, string_agg(distinct term, ',' order by term) as terms from v join t on regexp_matches(s, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') group by slide_key, block_no""",
-    "narrative_flow": f"""with {_BLOCKS}, s as (select deck_id, slide_number, {_PHASE} as phase from blocks where block_no = 0),
- g as (select deck_id, {', '.join(f"min(slide_number) filter (phase = '{n}') as {n}" for n in _PHASES)}, min(slide_number) as lo, max(slide_number) as hi from s group by deck_id),
- h as (select *, list_filter([{', '.join(_PHASES)}], lambda x: x is not null) as p from g),
- i as (select *, len(p) as n, len(list_filter(range(1, len(p)), lambda i: p[i] < p[i + 1])) as steps from h),
- j as (select deck_id, n / 5 as c, case when n < 2 then 0.0 else steps / (n - 1) end as o, coalesce((problem <= lo + 2)::int, 0) as opening, coalesce((close = hi)::int, 0) as closing from i)
- select deck_id, round(c, 6) as coverage, round(o, 6) as ordered, opening, closing, round(0.4 * c + 0.3 * o + 0.2 * opening + 0.1 * closing, 6) as flow from j""",
-    "slide_types": f"with {_BLOCKS} select coalesce({_PHASE}, 'content') as slide_type, count(*) as n_slides, count(distinct deck_id) as n_decks from blocks where block_no = 0 group by 1",
+    "content_structure": f"""with {_STRUCTURE} select deck_id, round(case when sum(c) = 0 then 0 else sum(pc) / sum(c) end, 6) as paragraph_ratio, round(case when sum(c) = 0 then 0 else sum(oc) / sum(c) end, 6) as pointer_ratio,
+ round(coalesce(avg((pc / c >= 0.55)::int) filter (c > 0), 0), 6) as heavy_ratio, round(case when sum(n) = 0 then 0 else sum(nb) / sum(n) end, 6) as ambiguous_ratio, round(avg(score), 6) as structure_score from sc group by deck_id""",
+    "filler_ratio": f"with {_STRUCTURE} select deck_id, sum(n)::bigint as n_blocks, round(sum(nf) / nullif(sum(n), 0), 6) as filler_ratio from sc group by deck_id",
+    "filler_terms": f"with {_BLOCKS}, t as (select slide_key, block_no, deck_id, unnest({_terms_in('text', _FILL + '|' + _BROAD)}) as term from blocks) select term, count(*) as n_blocks, count(distinct deck_id) as n_decks from t group by term",
+    "ambiguous_claims": f"with {_BLOCKS}, {_CLAIMS} select slide_key, block_no::int as block_no, terms from claims",
+    "narrative_flow": f"with {_FLOW} select * from flow",
+    "slide_types": f"with {_KINDS} select slide_type, count(*) as n_slides, count(distinct deck_id) as n_decks from kinds group by slide_type",
     "duplicate_content": f"""with {_SLIDES}, f as (select deck_id, replace(lower({_SQUEEZE.format("array_to_string(list_filter(text, lambda x: x is not null), ' ')")}), 'ß', 'ss') as t from sd where text is not null), g as (select deck_id, t, count(*) as n from f where t <> '' group by deck_id, t)
  select deck_id, sum(n)::bigint as n_slides, sum(n - 1)::bigint as n_repeats, round(sum(n - 1) / sum(n), 6) as duplicate_ratio from g group by deck_id""",
     "weighted_median_words": f"with {_PROFILE}, g as (select deck_id, words, sum(chars) as w from prof group by deck_id, words), r as (select *, sum(w) over (partition by deck_id order by words) as run, sum(w) over (partition by deck_id) as total from g) select deck_id, min(words)::int as weighted_median from r where run * 2 >= total group by deck_id",
-    "evidence_visibility": f"""with {_SLIDES}, v as (select deck_id, list_filter([visibility.native, visibility.rendered, visibility.ocr, visibility.vision], lambda x: x not in ('not_requested', 'not_applicable')) as c from sd)
- select deck_id, round(avg(len(list_filter(c, lambda x: x = 'verified')) / nullif(len(c), 0)), 6) as visibility, sum(len(list_filter(c, lambda x: x = 'verified')))::bigint as n_verified, sum(len(c))::bigint as n_considered from v group by deck_id""",
+    "evidence_visibility": f"with {_VISIBLE} select deck_id, round(avg(v), 6) as visibility, count(*) as n_slides from vis group by deck_id",
     "link_dedup": f"""with {_SLIDES}, l as (select deck_id, slide_number, unnest(hyperlinks) as l from sd), t as (select deck_id, slide_number, coalesce(l.resolved_target, l.target) as target from l),
  g as (select deck_id, target, list_sort(list_distinct(list(slide_number))) as s from t where regexp_matches(lower(target), '^(https?|mailto|ftp):|^//') group by deck_id, target) select deck_id, target, len(s)::int as n_slides, s[1] as first_slide, array_to_string(s, ',') as slides from g""",
     "slide_titles": f"with {_BLOCKS}, m as (select slide_key, arg_min(text, block_no) as t from blocks group by slide_key) select slide_key, case when length(t) > 40 then rtrim(substr(t, 1, 37)) || '...' else t end as title from m",
@@ -125,8 +156,8 @@ SQL: dict[str, str] = {
     "noise_reasons": f"""with {_ASSETS}, u as (select h, count(distinct deck_id) as n_decks from ad where h is not null group by h), j as (select deck_id, asset_id, concat_ws(',', case when size_bytes < 20000 then 'small' end, case when n_decks >= 5 then 'repeated' end, case when h is null then 'no_hash' end, case when content_type is null then 'no_type' end) as reasons from ad left join u using (h)) select * from j where reasons <> ''""",
     "problem_ids": f"with {_DECKS} select deck_id, {_PID} as ps_norm, coalesce(nullif(regexp_replace(regexp_replace(deck_name, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'deck') as slug from dd",
     "problem_resolver": f"""with {_DECKS}, {_PROBLEMS}, x as (select deck_id, {_PID} as k from dd), p as (select distinct {_PID} as k, title from pd) select k, count(*) as n_decks, max(title) as title, max(case when title is null then 'unresolved' else 'resolved' end) as state from x left join p using (k) group by k""",
-    "inferred_problem": f"with {_BLOCKS}, i as (select deck_id, block_no, nullif(regexp_extract(text, '(?i)\\bPS (?:ID)?[ :#-]*([0-9]{{5,8}})', 1), '') as id from blocks where slide_number = 1) select deck_id, arg_min(id, block_no) as ps_inferred from i where id is not null group by deck_id",
-    "inferred_team": f"with {_BLOCKS}, i as (select deck_id, block_no, nullif(trim(regexp_extract(text, '(?i)^[•▪* -]*team name *[:–-] *(.+)$', 1)), '') as t from blocks where slide_number = 1) select deck_id, arg_min(t, block_no) as team from i where t is not null group by deck_id",
+    "inferred_problem": f"""with {_NAMED} select deck_id, {_PIDOF.format("coalesce(regexp_replace(nullif(regexp_extract(text, '(?i)(^|[^\\p{L}\\p{N}_])s[\\s\\p{Z}]*i[\\s\\p{Z}]*h[\\s\\p{Z}]*[-_:#]?[\\s\\p{Z}]*(\\p{Nd}([\\s\\p{Z}_-]*\\p{Nd}){4,7})([^\\p{L}\\p{N}_]|$)', 2), ''), '[\\s\\p{Z}_-]+', '', 'g'), nullif(regexp_extract(text, '(?i)problem[\\s\\p{Z}]+statement[\\s\\p{Z}]+(id|number|no)[\\s\\p{Z}]*[:#\\x{2013}\\x{2014}-]?[\\s\\p{Z}]*([A-Za-z0-9][A-Za-z0-9_-]*)', 2), ''), nullif(regexp_extract(text, '(?i)(^|[^\\p{L}\\p{N}_])ps[\\s\\p{Z}]+(id|number|no)[\\s\\p{Z}]*[:#\\x{2013}\\x{2014}-]?[\\s\\p{Z}]*([A-Za-z0-9][A-Za-z0-9_-]*)', 3), ''), nullif(regexp_extract(text, '(?i)(^|[^\\p{L}\\p{N}_])ps[\\s\\p{Z}]+(id)?[\\s\\p{Z}:#-]*([0-9]{5,8})', 3), ''), nullif(regexp_extract(stem, '(?i)(^|[-_ ()])(ps|problem[-_ ]?statement)[-_ ]*([0-9][A-Za-z0-9_-]*)', 3), ''))")} as ps_inferred from nt""",
+    "inferred_team": f"""with {_NAMED} select deck_id, coalesce(nullif({_SQUEEZE.format("regexp_replace(nullif(regexp_extract(text, '(?i)team[\\s\\p{Z}]+name[\\s\\p{Z}]*[:#\\x{2013}\\x{2014}-]?[\\s\\p{Z}]*([^\\r\\n]+)', 1), ''), '^[\\s\\p{Z}•●▪*-]+', '')")}, ''), stem) as team from nt""",
     "problem_weights": f"""with {_PROBLEMS}, r as (select ps_id, unnest(requirements) as q, generate_subscripts(requirements, 1) as i from pd), s as (select ps_id, i, q.id as requirement, q.weight as weight, round(q.weight / nullif(sum(q.weight) over (partition by ps_id), 0), 6) as raw, i = max(i) over (partition by ps_id) as is_last from r)
  select ps_id, requirement, weight, round(case when is_last then 1.0 - sum(case when is_last then 0.0 else raw end) over (partition by ps_id) else raw end, 6) as share from s""",
     "leaderboard": f"with {_BOARD} select * replace (place::int as place) from board",
@@ -145,8 +176,10 @@ SQL: dict[str, str] = {
  g as (select slide_key, sum(coalesce(a, 0)) as x, sum(coalesce(b, 0)) as y, sum(least(coalesce(a, 0), coalesce(b, 0))) as m from a full join b using (slide_key, w) group by slide_key),
  h as (select *, case when y = 0 then case when x = 0 then 1.0 else 0.0 end else m / y end as p, case when x = 0 then 1.0 else m / x end as r from g)
  select slide_key, x::bigint as n_reference, y::bigint as n_hypothesis, m::bigint as n_matched, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 6) as f1 from h""",
-    "character_error": f"""with {_BLOCKS}, t as (select * from blocks where block_no = 0), p as (select a.slide_key, a.text as t, b.text as u from t a join t b on a.deck_id = b.deck_id and a.slide_number = b.slide_number - 1 where length(a.text) = strlen(a.text) and length(b.text) = strlen(b.text))
- select slide_key, levenshtein(t, u)::int as distance, round(levenshtein(t, u) / length(t), 6) as cer from p""",
+    "character_error": f"""with {_BLOCKS}, t as (select * from blocks where block_no = 0), p as (select a.slide_key, a.text as t, b.text as u from t a join t b on a.deck_id = b.deck_id and a.slide_number = b.slide_number - 1),
+ c as (select *, array_to_string(list_distinct(regexp_extract_all(t || u, '(?s).')), '') as chars from p), b as (select array_to_string(list_transform(range(1, 127), lambda i: chr(i::int)), '') as bytes),
+ q as (select slide_key, translate(t, chars, left(bytes, length(chars))) as t, translate(u, chars, left(bytes, length(chars))) as u from c, b)
+ select slide_key, levenshtein(t, u)::int as distance, round(levenshtein(t, u) / length(t), 6) as cer from q""",
     "completeness": """with e as (select distinct deck_id from submissions where deck_id is not null), r as (select distinct deck_id from slides) select deck_id, 'missing' as state from (select * from e except select * from r) union all select deck_id, 'unexpected' from (select * from r except select * from e)""",
     "contract_violations": f"""with {_DECKS}, {_SLIDES}, n as (select deck_id, count(*) as n from sd group by deck_id), x as (select dd.*, n from dd left join n using (deck_id)),
  v as (select 'slide_count_differs' as rule, deck_id from x where slide_count <> coalesce(n, 0) union all select 'no_slides', deck_id from x where n is null union all select 'no_slide_count', deck_id from x where slide_count is null
@@ -155,8 +188,10 @@ SQL: dict[str, str] = {
     "upsert_scores": "select ps_id, submission_id, count(distinct scored_at) as n_times, min(scored_at) as first_at, max(scored_at) as last_at from submissions group by ps_id, submission_id having count(distinct scored_at) > 1",
     "as_of_view": """with p as (select event_id, user_id, ts, value as paid from events where event_type = 'purchase'), v as (select user_id, ts, max(value) as seen from events where event_type = 'view' group by user_id, ts)
  select event_id, round(paid, 6) as paid, round(seen, 6) as seen from p asof left join v on p.user_id = v.user_id and p.ts >= v.ts""",
-    "media_components": f"""with recursive {_ASSETS}, s as (select distinct deck_id, h from ad where h is not null), n as (select h, min(deck_id) as u from s group by h having count(*) between 2 and 5), ed as (select distinct u, deck_id as v from s join n using (h) where u < deck_id),
- bi as (select u as a, v as b from ed union select v, u from ed), reach(a, b) as (select a, b from bi union select reach.a, bi.b from reach join bi on reach.b = bi.a) select a as deck_id, least(min(b), a) as component from reach group by a""",
+    "media_components": f"""with recursive {_ASSETS}, s as (select distinct deck_id, h from ad where h is not null and deck_id is not null), n as (select h, min(deck_id) as u from s group by h having count(*) >= 2), ed as (select distinct u, deck_id as v from s join n using (h) where u < deck_id),
+ bi as (select u as a, v as b from ed union select v, u from ed), nodes as (select distinct a from bi),
+ least_of(a, c, k) as (select a, a, 0 from nodes union all select a, min(c), k from (select l.a, l.c, l.k + 1 as k from least_of l where k < 12 union all select bi.b, l.c, l.k + 1 from least_of l join bi on bi.a = l.a where k < 12) group by a, k)
+ select a as deck_id, min(c) as component from least_of where k = 12 group by a""",
     "shared_hashes": f"""with {_ASSETS}, j as (select h, lower(source_format) as f from ad join (select distinct deck_id, source_format from decks) using (deck_id) where h is not null), x as (select distinct h from j where f = 'pdf'), y as (select distinct h from j where f <> 'pdf')
  select 'both' as part, count(*) as n from (select * from x intersect select * from y) union all select 'pdf_only', count(*) from (select * from x except select * from y) union all select 'any', count(*) from (select * from x union select * from y)""",
     "grounding": f"""with {_PROBLEMS}, r as (select ps_id, lower(concat_ws(' ', title, description)) as t, unnest(requirements) as q from pd), s as (select ps_id, len(list_filter(regexp_extract_all(lower(q.description), '[a-z]{{6,}}'), lambda w: contains(t, w))) > 0 as ok from r)

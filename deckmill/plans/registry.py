@@ -14,15 +14,9 @@ from ..operators import accuracy, content, evidence, geometry, matching, respons
 from ..sources.tables import norm_hash, table
 from .oracle import SQL
 
-#: Parameters of the queries: terms, phases, thresholds and weights are data of the caller.
-FILLER = ["scalable", "robust", "low-cost", "in real time", "reliably"]
-VAGUE = ["reliably", "scalable", "temporarily", "additional"]
-CUES = "[0-9]"
-PHASES = {
-    "problem": ["problem", "stakeholder"], "solution": ["approach", "solution", "feature", "architecture"], "evidence": ["result", "finding", "dataset", "evaluation", "prototype"],
-    "plan": ["roadmap", "deployment", "cost", "team"], "close": ["thank", "question", "contact", "reference"],
-}
-BUCKETS = {"A": 85.0, "B": 70.0, "C": 55.0}
+#: Parameters of the queries: thresholds and weights are data of the caller.
+BUCKETS = {"A - Excellent": 85.0, "B - Strong": 70.0, "C - Promising": 55.0}
+LOWEST = "D - Needs work"
 WEIGHTS = {"proposal": 70.0, "deck": 30.0}
 STAGES = ["native", "rendered", "ocr", "vision"]
 
@@ -96,29 +90,29 @@ def text_profile(s, d):
 
 
 def content_structure(s, d):
-    return content.content_structure(_blocks(s, d))
+    return content.content_structure(table(s, d, "slides"))
 
 
 def filler_ratio(s, d):
-    return content.filler_ratio(_blocks(s, d), FILLER)
+    return content.filler_ratio(table(s, d, "slides"))
 
 
 def filler_terms(s, d):
-    return content.term_counts(_blocks(s, d), FILLER)
+    """Phrases of filler and broad claims by the blocks that hold them."""
+    return content.term_counts(_blocks(s, d), [*content.FILLER, *content.BROAD])
 
 
 def ambiguous_claims(s, d):
-    return content.ambiguous_claims(_blocks(s, d), VAGUE, CUES)
+    return content.ambiguous_claims(_blocks(s, d))
 
 
 def narrative_flow(s, d):
-    return content.narrative_flow(table(s, d, "slides"), PHASES)
+    return content.narrative_flow(table(s, d, "slides"))
 
 
 def slide_types(s, d):
-    """Slides by the phase of their text, without regard to their place; those of no phase or text are content."""
-    b = content.slide_phases(table(s, d, "slides"), PHASES).select(F.coalesce("phase", F.lit("content")).alias("slide_type"), "deck_id")
-    return b.groupBy("slide_type").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
+    """Slides by the kind that their text tells."""
+    return content.slide_kinds(table(s, d, "slides")).groupBy("slide_type").agg(F.count("*").alias("n_slides"), F.count_distinct("deck_id").alias("n_decks"))
 
 
 def duplicate_content(s, d):
@@ -224,7 +218,7 @@ def leaderboard(s, d):
     eligible = F.col("final_score").isNotNull() & (F.col("status") != "failed")
     zero = [F.coalesce(c, F.lit(0.0)).desc() for c in ("final_score", "proposal_score", "deck_quality_score")]
     r = scoring.ranked(x, "ps_id", [*zero, F.lower("submission_id"), F.col("submission_id")], F.coalesce(eligible, F.lit(False)))
-    return r.select("ps_id", "submission_id", "final_score", scoring.bucket(F.col("final_score"), BUCKETS, "D", "REVIEW").alias("bucket"), "place")
+    return r.select("ps_id", "submission_id", "final_score", scoring.bucket(F.col("final_score"), BUCKETS, LOWEST, "REVIEW").alias("bucket"), "place")
 
 
 def leaderboard_lines(s, d):

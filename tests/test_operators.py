@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckmill.functions import text as tx
-from deckmill.operators import matching, scoring
+from deckmill.operators import content, matching, scoring
 
 
 def one(spark, c, *values):
@@ -104,3 +104,30 @@ def test_as_of(spark):
     rows = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     marks = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (3, 1, "c")], "k int, t int, v string")
     assert {(r.k, r.t): r.seen for r in matching.as_of(rows, marks, "k", "t", "v", "seen").collect()} == {(1, 5): "b", (1, 1): None, (2, 9): None}
+
+
+def test_profile_of_blocks(spark):
+    texts = ["Robust scalable platform with better outcomes", "See https://a.b/c. for it. Yes. ok", "Note: short. One. Two.", "a • b", "word " * 45, "no end"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select(F.col("v"), content.profile(F.col("v")).alias("p")).select("p.*")
+    got = [tuple(r) for r in df.collect()]
+    assert [r[2] for r in got] == [0, 2, 3, 0, 0, 0]  # links are left out; a text may have no sentence end
+    assert [r[3] for r in got] == [False, False, True, False, False, False] and [r[4] for r in got] == [False, False, False, True, False, False]
+    assert [r[5] for r in got] == [False, False, True, False, True, False] and [r[6] for r in got] == [True, True, False, True, False, True]
+
+
+def test_broad_claims_need_a_vague_sentence(spark):
+    texts = ["Robust scalable platform for our better outcomes", "A fast result in 20 ms for all people", "fast and secure", "We offer a secure and fast path. It has 20 users.", "It is breakfast time in our real-time view", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "v string").select(content.broad_terms(F.col("v"))).collect()]
+    assert got == [["better", "robust", "scalable"], [], [], ["fast", "secure"], ["real-time"], []]
+
+
+def test_structure_of_paragraphs_and_empty_slides(spark):
+    long = "Robust scalable platform and better outcomes. " + "This long explanation repeats implementation details without concise pointers. " * 8
+    rows = [(1, 1, ["Title", long]), (2, 2, ["Title"]), (3, 2, None), (4, 3, ["T", "Short pointer", long]), (1, 1, ["Title", long])]
+    df = spark.createDataFrame(rows, "slide_key long, deck_id long, text array<string>")
+    got = {r.deck_id: r for r in content.content_structure(df).collect()}
+    assert (got[1].paragraph_ratio, got[1].pointer_ratio, got[1].heavy_ratio, got[1].ambiguous_ratio, got[1].structure_score) == (1.0, 0.0, 1.0, 1.0, 0.0)
+    assert (got[2].paragraph_ratio, got[2].heavy_ratio, got[2].structure_score) == (0.0, 0.0, 0.0)
+    assert got[3].ambiguous_ratio == 0.5
+    n = {r.deck_id: (r.n_blocks, r.filler_ratio) for r in content.filler_ratio(df).collect()}
+    assert n == {1: (1, 0.0), 2: (0, None), 3: (2, 0.0)}
