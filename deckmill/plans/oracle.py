@@ -101,6 +101,33 @@ starts as (select {keys}, min(v) as anchor from vals group by {keys} union all
 anch as (select {", ".join("v." + k.strip() for k in keys.split(","))}, v.v, max(a.anchor) as anchor from vals v join starts a on {on} and a.anchor <= v.v group by all)"""
 
 
+_RAWTEXT = "array_to_string(list_filter(text, lambda x: x is not null), ' ')"
+_METRICS = f"""{_STRUCTURE}, dn as (select s.deck_id, s.slide_key, s.slide_number, round(least(1.0, length({_RAWTEXT}) / 1200.0), 6) as density, case when flow_present then 0.3 else 0.0 end as area, c, score, n, nf,
+  exists (select 1 from blocks b where b.slide_key = s.slide_key) as titled, nullif(replace(lower({_SQUEEZE.format("coalesce(" + _RAWTEXT + ", '')")}), 'ß', 'ss'), '') as folded, lower({_SQUEEZE.format("coalesce(" + _RAWTEXT + ", '')")}) as t
+  from (select distinct on (slide_key) * from slides) s join sc using (slide_key)),
+ dt as (select *, coalesce({_first(_TYPES)}, 'content') as slide_type, coalesce(density, 0) as dz from dn),
+ db as (select *, round(greatest(0.0, least(1.0, 1.0 - 0.5 * (case when c > 0 then greatest(0.0, least(1.0, (dz - 0.32) / 0.48)) else 0 end) - 0.25 * (greatest(0.0, least(1.0, (area - 0.7) / 0.3)) * greatest(0.0, least(1.0, (90.0 - c) / 90.0)))
+   - 0.15 * (case when (slide_type in ('architecture', 'process', 'results', 'comparison') or c >= 180) and area < 0.08 then least(1.0, (0.08 - area) / 0.08) else 0 end) - 0.1 * (case when area >= 0.25 and c < 55 then least(1.0, (55.0 - c) / 55.0) else 0 end))), 6) as bal,
+  round(least(1.0, area / 0.25), 6) as cov, coalesce(round(1 - density, 6), 1.0) as white from dt),
+ ds as (select *, round(greatest(0.0, 1.0 - 0.65 * greatest(0.0, (white - 0.35) / 0.65) - 0.35 * greatest(0.0, (white - 0.2) / 0.8)), 6) as spc from db),
+ dm as (select deck_id, round(avg(titled::int), 6) as title_coverage, round(avg(density), 6) as text_density, count(*) filter (density is null)::int as missing_text_density, round(stddev_pop(density), 6) as content_density_variation,
+  round(avg(score), 6) as structure_score, round(sum(nf) / nullif(sum(n), 0), 6) as generic_filler_ratio, round(avg(bal), 6) as text_visual_balance, count(*) filter (bal < 0.6)::int as n_unbalanced, round(avg(cov), 6) as visual_coverage, round(avg(spc), 6) as space_usage,
+  round((count(folded) - count(distinct folded)) / nullif(count(folded), 0), 6) as duplicate_content, 0.35 as visual_relevance_coherence from ds group by deck_id)"""
+_KINDS2, _FLOW2 = _KINDS.replace(_SLIDES + ", ", ""), _FLOW.replace(_SLIDES + ", ", "")
+_METRICS = f"""{_METRICS}, {_FLOW2}, {_VISIBLE.replace(_SLIDES + ", ", "")}, vd as (select deck_id, round(avg(v), 6) as evidence_visibility from vis group by deck_id),
+ mt as (select dm.*, evidence_visibility, flow as narrative_flow, (5 - round(coverage * 5))::int as n_phases_missing from dm join vd using (deck_id) join flow using (deck_id))"""
+_SCORES = f"""{_METRICS}, r0 as (select *, least(8.0, 10 * coalesce(generic_filler_ratio, 0)) as fd from mt),
+ r1 as (select deck_id, round(100 * text_visual_balance, 6) as s1, n_unbalanced as m1, round(greatest(0, 100 * structure_score - fd), 6) as s2, round(100 * (0.35 * title_coverage + 0.65), 6) as s3, round(100 * narrative_flow, 6) as s4, n_phases_missing as m4, 35.0 as s5,
+  round(100 * (0.6 * space_usage + 0.2 * (1 - least(1.0, greatest(0.0, content_density_variation) / 0.2)) + 0.2), 6) as s6 from r0),
+ r2 as (select *, least(s1, 10 * m1) as l1, least(s4, 10 * m4) as l4 from r1),
+ r3 as (select deck_id, round((8 * (s1 - l1) + 5 * s2 + 5 * s3 + 4 * (s4 - l4) + 5 * s5 + 3 * s6) / 30, 6) as s, round((8 * l1 + 4 * l4) / 30, 6) as off, round((8 * (case when m1 > 0 then 0.75 else 1 end) + 4 * (case when m4 > 0 then 0.75 else 1 end) + 18) / 30, 6) as sure from r2),
+ r4 as (select *, round(greatest(0, round(s * 0.3, 6)) / 0.3, 6) as deck_score from r3),
+ pr as (select deck_id, max(case when isnan(proposal_score) then null else proposal_score end) as p from submissions where deck_id is not null group by deck_id),
+ fs as (select deck_id, round(p, 6) as proposal_score, deck_score, off as deck_penalty, sure as deck_confidence, round(round(round(p, 6) * 0.7, 6) + round(deck_score * 0.3, 6), 6) as final_score from r4 left join pr using (deck_id))"""
+
+_METRICS, _SCORES = (x.replace(", 6)", " + 1e-9, 6)") for x in (_METRICS, _SCORES))  # halves are rounded up
+
+
 SQL: dict[str, str] = {
     "overlap_pairs": f"{_PAIR} select slide, first_id, second_id, round(sx * sy, 6) as intersection, round(sx * sy / least(pa, qa), 6) as of_smaller, round(sx * sy / (pa + qa - sx * sy), 6) as iou from pq where sx > 0 and sy > 0",
     "alignment_mismatch": f"""{_PAIR}, d as (select slide, first_id, second_id, unnest([{{'o': 'left', 'f': sx / least(pw, qw), 'd': abs(px - qx)}}, {{'o': 'right', 'f': sx / least(pw, qw), 'd': abs(pr - qr)}},
@@ -220,4 +247,6 @@ SQL: dict[str, str] = {
     "format_mismatch": f"""with {_DECKS}, x as (select lower(source_format) as source_format, lower(regexp_extract(deck_name, '\\.([A-Za-z0-9]+)$', 1)) as suffix from dd) select source_format, source_format = suffix as same, count(*) as n from x group by 1, 2""",
     "findings": f"""with {_LATEST}, l as (select ps_id || '/' || submission_id as submission, unnest([{{'name': 'final_score', 'v': final_score}}, {{'name': 'proposal_score', 'v': proposal_score}}, {{'name': 'deck_quality_score', 'v': deck_quality_score}}], recursive := true) from fin),
  k as (select submission, name, case when v is null then 'ambiguous' when v < 60 then 'weakness' when v >= 85 then 'strength' end as kind from l) select * from k where kind is not null""",
+    "deck_metrics": f"with {_METRICS} select * from mt",
+    "deck_scores": f"with {_SCORES} select *, case when final_score is not null then round(0.7 * 0.8 + 0.3 * deck_confidence, 6) end as final_confidence, case when final_score is null then 'REVIEW' else 'SCORED' end as status from fs",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions import text as tx
 from ..functions.ship import shipped
-from ..operators import accuracy, content, evidence, geometry, matching, responses, scoring
+from ..operators import accuracy, content, evidence, geometry, matching, metrics, responses, scoring
 from ..sources.tables import norm_hash, table
 from .oracle import SQL
 
@@ -435,6 +435,38 @@ def findings(s, d):
     return responses.findings(long, "submission", "name", "v")
 
 
+def _measures(s, d):
+    """The slides as ``metrics`` wants them. The tables hold no boxes: text fills the slide in proportion to its length and a flow is a visual on a third of it."""
+    x = table(s, d, "slides")
+    texts = F.coalesce("text", F.array().cast("array<string>"))
+    blocks = F.transform(texts, lambda t, i: F.struct(i.cast("string").alias("object_id"), t.alias("text"), *[F.lit(None).cast("double").alias(k) for k in "xywh"]))
+    first = F.get(F.filter("blocks", lambda b: tx.squeeze(b["text"]) != ""), F.lit(0))
+    density = F.least(F.lit(1.0), F.length(F.array_join("text", " ")) / 1200.0)
+    x = x.withColumns({"blocks": blocks, "visible_text": F.coalesce(F.array_join("text", " "), F.lit("")), "statuses": F.array(*[F.col(f"visibility.{k}") for k in STAGES]), "text_density": F.round(density, 6)})
+    kind = F.coalesce(content.first_match(F.lower(tx.squeeze(F.col("visible_text"))), content.SLIDE_TYPES), F.lit("content"))
+    area = F.when(F.col("flow_present"), 0.3).otherwise(0.0)
+    x = x.withColumns({"title_id": first["object_id"], "title": first["text"], "slide_type": kind, "visual_area_ratio": area, "whitespace_area_ratio": F.round(1.0 - F.col("text_density"), 6), "visuals": F.array().cast("array<struct<role:string,content_status:string,sha256:string,ocr_text:string,scoring_relevant:boolean,x:double,y:double,w:double,h:double>>"), "tables": F.array().cast("array<struct<object_id:string,x:double,y:double,w:double,h:double>>")})
+    zero = {c: F.lit(0.0) for c in ("small_text_ratio", "overlap_ratio", "clipping_rate", "occupied_area_ratio")}
+    x = x.withColumns(zero | {c: F.lit(None).cast("double") for c in ("largest_empty_region_ratio", "whitespace_balance")})
+    return metrics.measured(x, ("slide_key",)).dropDuplicates(["slide_key"])
+
+
+def deck_metrics(s, d):
+    """The metrics of every deck."""
+    m = metrics.deck_metrics(_measures(s, d))
+    return m.select("deck_id", "title_coverage", "text_density", "missing_text_density", "content_density_variation", "structure_score", "generic_filler_ratio", "text_visual_balance", "n_unbalanced", "visual_coverage", "space_usage", "evidence_visibility", "duplicate_content", "visual_relevance_coherence", "narrative_flow", "n_phases_missing")
+
+
+def deck_scores(s, d):
+    """Components, group scores and final score of every deck; the proposal's components are its best proposal score."""
+    m = metrics.deck_metrics(_measures(s, d))
+    best = table(s, d, "submissions").select("deck_id", scoring.finite(F.col("proposal_score")).alias("p")).where("deck_id is not null").groupBy("deck_id").agg(F.max("p").alias("p"))
+    record = F.struct(F.col("p").alias("score"), F.when(F.col("p").isNotNull(), 0.8).alias("confidence"), F.lit(0).alias("n_missing"))
+    answers = best.select("deck_id", F.create_map(*[x for k in metrics.PROPOSAL for x in (F.lit(k), record)]).alias("scores"), F.lit(False).alias("rendered"), F.lit(0.0).alias("penalty_points"))
+    e = metrics.evaluated(m, answers)
+    return e.select("deck_id", F.col("proposal.score").alias("proposal_score"), F.col("deck_quality.score").alias("deck_score"), F.col("deck_quality.penalty").alias("deck_penalty"), F.col("deck_quality.confidence").alias("deck_confidence"), F.col("final.score").alias("final_score"), F.col("final.confidence").alias("final_confidence"), "status")
+
+
 _QUERIES = (
     overlap_pairs, alignment_mismatch, union_area, empty_regions, margins, clipping, whitespace_balance, alignment_groups, equal_spacing, peer_groups, nearest_box, box_reading_order,
     text_profile, content_structure, filler_ratio, filler_terms, ambiguous_claims, narrative_flow, slide_types, duplicate_content, weighted_median_words, evidence_visibility, link_dedup, slide_titles,
@@ -442,6 +474,7 @@ _QUERIES = (
     score_summary, weighted_group, calibration_bins, calibration_error, word_prf, character_error, completeness, contract_violations, upsert_scores, as_of_view, media_components, shared_hashes, grounding,
     deck_profile, late_deliveries, event_windows, event_sessions,
     deck_flow, merged_visibility, stage_statuses, positional_words, statement_recall, slide_labels, selected_slides, format_mismatch, findings,
+    deck_metrics, deck_scores,
 )
 
 
