@@ -17,8 +17,11 @@ def roman(n: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """a to z, then aa to zz, and so on; empty for numbers below 1."""
-    return F.when(n > 0, F.repeat(F.char((n - 1) % 26 + 97), (F.floor((n - 1) / 26) + 1).cast("int"))).otherwise("")
+    """a to z, then aa, ab and so on like the columns of a sheet; empty for numbers below 1. Documents that repeat a letter instead (aa, bb) differ from 28 on."""
+    start = F.struct(n.cast("bigint").alias("left"), F.lit("").alias("out"))
+    digit = lambda a: (a["left"] - 1) % 26 + 97
+    step = lambda a, _: F.when(a["left"] > 0, F.struct(F.floor((a["left"] - 1) / 26).cast("bigint").alias("left"), F.concat(F.char(digit(a)), a["out"]).alias("out"))).otherwise(a)
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"]), F.lit(""))
 
 
 def styled(n: Column, style: Column) -> Column:

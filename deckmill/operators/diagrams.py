@@ -22,20 +22,22 @@ def box_distance(px: Column, py: Column) -> Column:
 def endpoints(connectors: DataFrame, boxes: DataFrame) -> DataFrame:
     """(deck_id, slide_number, connector_id, side, node_id, how): the box of each connector end.
 
-    An end that names a native id of just one box belongs to it ('named'); any
-    other end to the nearest box within REACH ('near'), ties to the lower drawing
-    order; else node_id is null ('open'). connectors: from_id, to_id, x0, y0, x1, y1.
+    An end that names a native id of just one box belongs to it: 'named' if it
+    lies within REACH of it or nowhere, else 'far'. Any other end belongs to the
+    nearest box within REACH ('near'), ties to the lower drawing order; else
+    node_id is null ('open'). connectors: from_id, to_id, x0, y0, x1, y1.
     """
     key = ["deck_id", "slide_number"]
     ends = connectors.select(*key, F.col("object_id").alias("connector_id"), F.explode(F.array(
         F.struct(F.lit("from").alias("side"), F.col("from_id").alias("native_id"), F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.lit("to").alias("side"), F.col("to_id").alias("native_id"), F.col("x1").alias("px"), F.col("y1").alias("py")),
     )).alias("e")).select(*key, "connector_id", "e.*")
-    named = boxes.where("native_id is not null").groupBy(*key, "native_id").agg(F.count("*").alias("n"), F.min("object_id").alias("named")).where("n = 1").drop("n")
-    ends = ends.join(named, [*key, "native_id"], "left")
+    named = boxes.where("native_id is not null").groupBy(*key, "native_id").agg(F.count("*").alias("n"), F.min("object_id").alias("named"), *[F.min(c).alias(c) for c in "xywh"]).where("n = 1").drop("n")
+    off = box_distance(F.col("px"), F.col("py"))
+    ends = ends.join(named, [*key, "native_id"], "left").withColumn("far", F.coalesce(off > REACH, F.lit(False))).drop("x", "y", "w", "h")
     near = ends.where("named is null").join(boxes.select(*key, "object_id", "z_order", "x", "y", "w", "h"), key).withColumn("d", box_distance(F.col("px"), F.col("py"))).where(F.col("d") <= REACH)
     near = near.groupBy(*key, "connector_id", "side").agg(F.min_by("object_id", F.struct("d", "z_order", "object_id")).alias("nearest"))
     j = ends.join(near, [*key, "connector_id", "side"], "left")
-    how = F.when(F.col("named").isNotNull(), "named").when(F.col("nearest").isNotNull(), "near").otherwise("open")
+    how = F.when(F.col("named").isNotNull(), F.when(F.col("far"), "far").otherwise("named")).when(F.col("nearest").isNotNull(), "near").otherwise("open")
     return j.select(*key, "connector_id", "side", F.coalesce("named", "nearest").alias("node_id"), how.alias("how"))
 
 
@@ -67,24 +69,26 @@ def flow_direction(edges: DataFrame, boxes: DataFrame) -> DataFrame:
     return best.select(*key, F.when(F.col("ties") == 1, F.col("way")).otherwise("unknown").alias("direction"), "n_edges")
 
 
-def group_paths(objects: DataFrame, most_levels: int = 16) -> DataFrame:
-    """(deck_id, object_id, path): the groups around each object, outermost first; a cycle of parents ends the path.
+def group_paths(objects: DataFrame) -> DataFrame:
+    """(deck_id, object_id, path): the groups around each object, outermost first; other parents aren't listed, and a cycle of parents ends the path.
 
-    One join a level, only of objects whose path still grows.
+    One join a level, only of objects whose path still grows; a path never holds
+    an object twice, so the levels end by themselves.
     """
     key = "deck_id"
-    parents = objects.select(key, F.col("object_id").alias("up"), F.col("parent_id").alias("next"))
-    live = objects.select(key, "object_id", F.col("parent_id").alias("up"), F.array().cast("array<string>").alias("path"))
-    done = live.where("up is null")
+    parents = objects.select(key, F.col("object_id").alias("up"), F.col("parent_id").alias("next"), (F.coalesce("type", F.lit("")) == "group").alias("grouped"))
+    none = F.array().cast("array<string>")
+    live = cut(objects.select(key, "object_id", F.col("parent_id").alias("up"), none.alias("seen"), none.alias("path")))
+    done = live.where("up is null").select(key, "object_id", "path")
     live = live.where("up is not null")
-    for _ in range(most_levels):
-        step = live.join(parents, [key, "up"], "left").select(key, "object_id", F.col("next").alias("up"), F.concat(F.array("up"), "path").alias("path"))
-        step = cut(step.withColumn("up", F.when(~F.array_contains("path", F.col("up")), F.col("up"))))
-        done = done.unionByName(step.where("up is null"))
+    while live.take(1):
+        step = live.join(parents, [key, "up"], "left")
+        path = F.when(F.coalesce("grouped", F.lit(False)), F.concat(F.array("up"), "path")).otherwise(F.col("path"))
+        seen = F.concat(F.array("up"), "seen")
+        step = cut(step.select(key, "object_id", F.when(~F.array_contains(seen, F.col("next")), F.col("next")).alias("up"), seen.alias("seen"), path.alias("path")))
+        done = done.unionByName(step.where("up is null").select(key, "object_id", "path"))
         live = step.where("up is not null")
-        if not live.take(1):
-            break
-    return done.unionByName(live).select(key, "object_id", "path")
+    return done
 
 
 def node_matches(reference: DataFrame, hypothesis: DataFrame, keys: list[str], least_iou: float = 0.5) -> DataFrame:

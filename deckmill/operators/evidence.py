@@ -35,9 +35,13 @@ def valid_box() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+#: Fixed value: a text that is nothing but a page number.
+PAGE_NUMBER = r"^(?:(?:page|slide)\s*)?\d+(?:\s*(?:/|of)\s*\d+)?$"
+
+
 def page_number(text: Column) -> Column:
     """Whether the text is nothing but a page number."""
-    return fold(text).rlike(r"^(?:(?:page|slide)\s*)?\d+(?:\s*(?:/|of)\s*\d+)?$")
+    return fold(text).rlike(PAGE_NUMBER)
 
 
 def chrome_reasons(objects: DataFrame) -> DataFrame:
@@ -67,13 +71,17 @@ def content_objects(marked: DataFrame) -> DataFrame:
 
 
 def titles(marked: DataFrame) -> DataFrame:
-    """(deck_id, slide_number, object_id, text, score): the best title of each slide among its content texts in the upper part or in a title placeholder."""
-    placed = F.col("placeholder").isin("title", "ctrTitle", "subTitle")
-    d = marked.where((F.size("reasons") == 0) & (F.col("type") == "text") & (F.trim("text") != "") & (F.coalesce(placed, F.lit(False)) | (F.col("y") <= 0.38)))
+    """(deck_id, slide_number, object_id, text, score): the best title of each slide among its content texts in the upper part or in a title's or subtitle's placeholder.
+
+    Only a title's placeholder gives points; font_size, if there, is the largest of the text's runs.
+    """
+    kind = F.lower(F.coalesce("placeholder", F.lit("")))
+    d = marked.where((F.size("reasons") == 0) & (F.col("type") == "text") & (F.trim("text") != "") & (kind.isin("title", "ctrtitle", "subtitle") | (F.col("y") <= 0.38)))
     font = F.col("font_size") if "font_size" in marked.columns else F.lit(0.0)
-    score = F.when(F.coalesce(placed, F.lit(False)), 100.0).otherwise(0.0) + F.greatest(F.lit(0.0), 32 - 64 * F.col("y")) + F.least(F.coalesce(font, F.lit(0.0)), F.lit(48.0)) / 4 + F.least(F.length("text"), F.lit(80)) / 16
+    chars = F.length(F.regexp_replace("text", r"(?U)\s+", ""))
+    score = F.when(kind.isin("title", "ctrtitle"), 100.0).otherwise(0.0) + F.greatest(F.lit(0.0), 32 - 64 * F.col("y")) + F.least(F.coalesce(font, F.lit(0.0)), F.lit(48.0)) / 4 + F.least(chars, F.lit(80)) / 16
     w = Window.partitionBy("deck_id", "slide_number").orderBy(F.col("score").desc(), "y", "x", "object_id")
-    d = d.withColumn("score", F.round(score, 6)).withColumn("__k", F.row_number().over(w)).where("__k = 1")
+    d = d.withColumn("score", F.round(score, 12)).withColumn("__k", F.row_number().over(w)).where("__k = 1")
     return d.select("deck_id", "slide_number", "object_id", "text", "score")
 
 

@@ -60,7 +60,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Large stars link every greater neighbour to a node's least neighbour, small
     stars every lesser one; the rounds needed grow with the logarithm of the
-    component's size, and each runs from a written table.
+    component's size, and each runs from a written table. More than
+    ``most_rounds`` of them are an error, never an unfinished result.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     e = cut(e)
@@ -75,6 +76,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if new.count() == e.count() and not new.exceptAll(e).take(1):
             break
         e = new
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return roots.union(e.select("u", "u")).distinct()
 

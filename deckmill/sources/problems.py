@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import problem_id
+from ..functions.text import problem_id, squeeze
 
 REQUIREMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("description", T.StringType()), T.StructField("weight", T.DoubleType())])
 PROBLEM = T.StructType([T.StructField("id", T.StringType(), True), T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("requirements", T.ArrayType(REQUIREMENT))])
@@ -79,44 +79,51 @@ class _Page(HTMLParser):
         self.cell = None
 
 
-def requirements_of(description: str) -> list[str]:
-    """Bullets after "expected solution" or, without any, sentences, and the clause on performance; each once, at most MOST."""
-    body = re.split(r"(?i)expected solution\s*:?", description, maxsplit=1)[-1]
-    found = [x.strip(" •-*\t") for x in body.split("\n") if re.match(r"\s*[•*-]", x)]
-    found = [x for x in found if len(x) >= BULLET]
-    if not found:
-        found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", body.replace("\n", " ")) if len(s.strip()) >= SENTENCE]
-    if m := re.search(r"(?i)performance benchmarks?\s*:?\s*([^\n]+)", description):
-        found.append(m[1].strip())
-    seen, out = set(), []
-    for x in found:
-        if x.casefold() not in seen:
-            seen.add(x.casefold())
-            out.append(x)
-    return out[:MOST] or ["Address the statement as described"]
+#: What opens the part with requirements and the clause on performance, and the sentence that stands for a statement without any.
+EXPECTED, BENCHMARK = r"(?i)\bexpected\s+solution\b", r"(?i)\bperformance\s+benchmark\b"
+BENCHMARK_FORM, FALLBACK = "Performance Benchmark: %s", "Address the official problem statement: %s."
+
+
+def requirements_of(title: Column, description: Column) -> Column:
+    """ARRAY<REQUIREMENT> of a statement's text, each of weight 1.
+
+    Of what follows "expected solution": the bullets, without any the sentences,
+    without any one that names the title; last the clause on performance. Short
+    pieces don't count, each text counts once whatever its case, and at most MOST
+    are taken.
+    """
+    body = F.element_at(F.split(F.coalesce(description, F.lit("")), EXPECTED, 2), -1)
+    halves = F.split(body, BENCHMARK, 2)
+    text = F.get(halves, F.lit(0))
+    clause = F.regexp_replace(squeeze(F.get(halves, F.lit(1))), "^[: ]+", "")
+    long = lambda parts, least: F.filter(parts, lambda x: F.length(x) >= least)
+    pieces = F.transform(F.split(text, "•"), lambda x: F.regexp_replace(squeeze(x), "^[-* ]+", ""))
+    bullets = long(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), BULLET)
+    sentences = long(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: squeeze(x)), SENTENCE)
+    found = F.when(F.size(bullets) > 0, bullets).when(F.size(sentences) > 0, sentences).otherwise(F.array(F.format_string(FALLBACK, title)))
+    found = F.concat(found, F.when(clause != "", F.array(F.format_string(BENCHMARK_FORM, clause))).otherwise(F.array().cast("array<string>")))
+    once = F.aggregate(found, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.concat(a, F.array(x))))
+    return F.transform(F.slice(once, 1, MOST), lambda x, i: F.struct(F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x.alias("description"), F.lit(1.0).alias("weight")))
 
 
 def page_problems(html: str | None, marker: str) -> list[dict]:
-    """The statements of a page; of an id that comes again the first counts."""
+    """(id, title, description) of a page's statements; of an id that comes again the first counts."""
     p = _Page(marker)
     p.feed(html or "")
     p.close()
     field = lambda f, word: next((v for k, v in f.items() if word in k), None)
-    out = []
-    for key, f in p.found.items():
-        text = field(f, "description") or ""
-        out.append({"id": key, "title": field(f, "title"), "description": text, "requirements": [{"id": f"r{i}", "description": x, "weight": 1.0} for i, x in enumerate(requirements_of(text), 1)]})
-    return out
+    return [{"id": key, "title": field(f, "title"), "description": field(f, "description") or ""} for key, f in p.found.items()]
 
 
 def parse_pages(pages: DataFrame, html: str, marker: str = "ViewProblemStatement") -> DataFrame:
-    """Statements of a column of HTML pages."""
+    """(id, title, description, requirements) of the statements of a column of HTML pages."""
+    plain = T.StructType(PROBLEM.fields[:3])
 
-    @F.arrow_udf(T.ArrayType(PROBLEM))
+    @F.arrow_udf(T.ArrayType(plain))
     def parse(a):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        return pa.array([page_problems(x, marker) for x in a.to_pylist()], to_arrow_type(T.ArrayType(PROBLEM)))
+        return pa.array([page_problems(x, marker) for x in a.to_pylist()], to_arrow_type(T.ArrayType(plain)))
 
-    return pages.select(F.explode(parse(F.col(html))).alias("p")).select("p.*")
+    return pages.select(F.explode(parse(F.col(html))).alias("p")).select("p.*").withColumn("requirements", requirements_of(F.col("title"), F.col("description")))

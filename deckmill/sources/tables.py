@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side
+from ..functions.lineage import cut
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` under ``root``, one parquet file or folder per table."""
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """Redelivered rows counted once: of the rows of a key that with the least ``loaded_at``.
+def once(df: DataFrame, key: str) -> DataFrame:
+    """Each key's rows as one; redelivered rows are equal but for ``loaded_at``, of which the least stays if it is there.
 
-    Rows are redelivered unchanged but for ``loaded_at``, so a distinct over the
-    other columns is exact and combines on the map side; ``keys`` names the
-    columns to keep.
+    Only rows whose key comes again, a few, are shuffled with their columns.
     """
-    return df.select(*keys).distinct()
+    again = small_side(cut(df.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__again"))))
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    twice = df.join(again, same, "left_semi")
+    rest = [c for c in df.columns if c not in (key, "loaded_at")]
+    first = F.min_by(F.struct(*rest), "loaded_at") if "loaded_at" in df.columns else F.first(F.struct(*rest))
+    m = twice.groupBy(key).agg(first.alias("__m"), *([F.min("loaded_at").alias("loaded_at")] if "loaded_at" in df.columns else []))
+    one = m.select(*[F.col(c) if c in (key, "loaded_at") else F.col(f"__m.{c}").alias(c) for c in df.columns])
+    return df.join(again, same, "left_anti").unionByName(one)
 
 
 def norm_hash(col):

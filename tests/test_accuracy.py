@@ -10,7 +10,7 @@ from deckmill.operators import accuracy, responses
 
 def test_page_labels(spark):
     n = spark.range(1, 60).select("id", labels.roman(F.col("id")).alias("r"), labels.letters(F.col("id")).alias("a")).collect()
-    assert [n[i - 1].r for i in (1, 4, 9, 14, 40, 49)] == ["I", "IV", "IX", "XIV", "XL", "XLIX"] and [n[i - 1].a for i in (1, 26, 27, 53)] == ["a", "z", "aa", "aaa"]
+    assert [n[i - 1].r for i in (1, 4, 9, 14, 40, 49)] == ["I", "IV", "IX", "XIV", "XL", "XLIX"] and [n[i - 1].a for i in (1, 26, 27, 28, 53)] == ["a", "z", "aa", "ab", "ba"]
     assert spark.range(1).select(labels.roman(F.lit(1994)), labels.roman(F.lit(0))).first()[:] == ("MCMXCIV", "")
     pages = spark.createDataFrame([("d", i) for i in range(1, 6)] + [("e", 1)], "deck_id string, page int")
     entries = spark.createDataFrame([("d", 1, "r", None, None), ("d", 3, "D", "A-", 7)], "deck_id string, page int, style string, prefix string, first int")

@@ -20,8 +20,15 @@ def test_edges_and_direction(spark, boxes):
 
 
 def test_group_paths_with_a_cycle(spark):
-    o = spark.createDataFrame([("d", "a", None), ("d", "b", "a"), ("d", "c", "b"), ("d", "p", "q"), ("d", "q", "p")], "deck_id string, object_id string, parent_id string")
-    assert {r.object_id: r.path for r in d.group_paths(o).collect()} == {"a": [], "b": ["a"], "c": ["a", "b"], "p": ["p", "q"], "q": ["q", "p"]}
+    o = spark.createDataFrame([("d", "a", None, "group"), ("d", "b", "a", "group"), ("d", "c", "b", "shape"), ("d", "p", "q", "group"), ("d", "q", "p", "group"), ("d", "x", "c", "text"), ("e", "0", None, "group"), *(("e", str(i), str(i - 1), "group") for i in range(1, 30))], "deck_id string, object_id string, parent_id string, type string")
+    got = {(r.deck_id, r.object_id): r.path for r in d.group_paths(o).collect()}
+    assert {k[1]: p for k, p in got.items() if k[0] == "d"} == {"a": [], "b": ["a"], "c": ["a", "b"], "p": ["p", "q"], "q": ["q", "p"], "x": ["a", "b"]}  # c is no group
+    assert got[("e", "29")] == [str(i) for i in range(29)]
+
+
+def test_a_named_end_far_away_is_partial(spark, boxes):
+    lines = spark.createDataFrame([("d", 2, "l", "2", "5", 0.9, 0.1, 0.15, 0.8, None, "triangle")], LINE)
+    assert [(r.source, r.target, r.status) for r in d.graph_edges(lines, boxes).collect()] == [("x", "y", "partial")]
 
 
 def test_node_matches(spark):

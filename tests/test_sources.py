@@ -107,7 +107,7 @@ PAGE = """<div id="ViewProblemStatement12345"><div><table><tr><th>Problem Statem
 def test_pages(spark):
     rows = problems.parse_pages(spark.createDataFrame([(PAGE,), (None,), ("",)], "html string"), "html").collect()
     assert len(rows) == 1 and rows[0].id == "12345" and rows[0].title == "A short title"
-    assert [r.description for r in rows[0].requirements] == ["First bullet of work", "Second bullet of work", "under two seconds"]
+    assert [r.description for r in rows[0].requirements] == ["First bullet of work", "Second bullet of work", "Performance Benchmark: under two seconds"]
 
 
 def test_json_problems(spark, tmp_path):
@@ -117,3 +117,14 @@ def test_json_problems(spark, tmp_path):
     ok, bad = problems.read_problems(spark, [str(tmp_path)])
     assert [r.ps_id for r in ok.collect()] == ["7"]
     assert [r.reason for r in bad.collect()] == ["title,repeated requirement,negative weight"]
+
+
+def test_requirements_of_statements(spark):
+    long = "A first sentence that is long enough. Short one. A second sentence that is long enough too!"
+    rows = [("T", None), ("T", long), ("T", "Background • not this bullet\nExpected Solution\n• Estimate position data.\n• estimate  POSITION data.\n• tiny\n• - Validate the drift\nPerformance Benchmark: report over a route."), ("T", "• " + " • ".join(f"bullet number {i}" for i in range(20)))]
+    df = spark.createDataFrame(rows, "t string, d string")
+    got = [[x.description for x in r[0]] for r in df.select(problems.requirements_of(df["t"], df["d"])).collect()]
+    assert got[0] == ["Address the official problem statement: T."]
+    assert got[1] == ["A first sentence that is long enough.", "A second sentence that is long enough too!"]
+    assert got[2] == ["Estimate position data.", "Validate the drift", "Performance Benchmark: report over a route."]
+    assert len(got[3]) == 12 and got[3][0] == "bullet number 0"
