@@ -185,7 +185,14 @@ _ORDER = T.StructType([T.StructField("deck_id", T.StringType()), T.StructField("
 
 
 def slide_order(parts: DataFrame, rels: DataFrame) -> DataFrame:
-    """(deck_id, slide_number, part, width, height): slides in the order of the presentation; of a part listed twice the first counts."""
+    """(deck_id, slide_number, part, width, height): slides in the order of the presentation; of a part listed twice the first counts.
+
+    The presentation is the part that the package's own relationships name, else
+    the usual one. A package whose presentation lists no slides has its slide
+    parts in the order of their numbers, without a size.
+    """
+    main = rels.where("source_part = '' and type = 'officeDocument' and resolved_target is not null").groupBy("deck_id").agg(F.min("resolved_target").alias("main"))
+    named = parts.select("deck_id").distinct().join(main, "deck_id", "left").select("deck_id", F.coalesce("main", F.lit("ppt/presentation.xml")).alias("main"))
 
     def rows(r):
         root = parse_xml(r["content"])
@@ -196,9 +203,13 @@ def slide_order(parts: DataFrame, rels: DataFrame) -> DataFrame:
         ids = [e for e in root.iter() if local(e) == "sldId"]
         return [{"deck_id": r["deck_id"], "rel_id": next((v for k, v in e.attrib.items() if k.endswith("}id")), None), "n": i, "width": dims[0], "height": dims[1]} for i, e in enumerate(ids)]
 
-    o = _mapped(parts.where("part = 'ppt/presentation.xml'").select("deck_id", "content"), _ORDER, rows)
-    j = o.join(rels.where("source_part = 'ppt/presentation.xml' and type = 'slide'").select("deck_id", "rel_id", F.col("resolved_target").alias("part")), ["deck_id", "rel_id"])
+    o = _mapped(parts.join(named.withColumnRenamed("main", "part"), ["deck_id", "part"]).select("deck_id", "content"), _ORDER, rows)
+    links = rels.where("type = 'slide'").join(named.withColumnRenamed("main", "source_part"), ["deck_id", "source_part"])
+    j = o.join(links.select("deck_id", "rel_id", F.col("resolved_target").alias("part")), ["deck_id", "rel_id"])
     j = j.groupBy("deck_id", "part").agg(F.min("n").alias("n"), F.max("width").alias("width"), F.max("height").alias("height"))
+    number = F.regexp_extract("part", r"slide(\d+)\.xml$", 1).cast("int")
+    loose = parts.where(F.col("part").rlike(r"^ppt/slides/slide\d+\.xml$")).join(j.select("deck_id").distinct(), "deck_id", "left_anti")
+    j = j.unionByName(loose.select("deck_id", "part", number.alias("n"), F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")))
     return j.select("deck_id", F.row_number().over(Window.partitionBy("deck_id").orderBy("n")).alias("slide_number"), "part", "width", "height")
 
 
@@ -207,6 +218,8 @@ OBJECTS = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("shape_type", T.StringType()), T.StructField("placeholder", T.StringType()), T.StructField("z_order", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()),
     T.StructField("w", T.DoubleType()), T.StructField("h", T.DoubleType()), T.StructField("rotation", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("rel_ids", T.ArrayType(T.StringType())),
     T.StructField("from_id", T.StringType()), T.StructField("to_id", T.StringType()), T.StructField("head", T.StringType()), T.StructField("tail", T.StringType()),
+    T.StructField("flip_h", T.BooleanType()), T.StructField("flip_v", T.BooleanType()), T.StructField("crop", T.ArrayType(T.DoubleType())), T.StructField("font_sizes", T.ArrayType(T.DoubleType())), T.StructField("font_family", T.StringType()),
+    T.StructField("colors", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("color", T.StringType())]))), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))),
 ])
 _KIND = {"sp": "shape", "pic": "image", "cxnSp": "connector", "grpSp": "group", "graphicFrame": "frame"}
 
@@ -236,6 +249,40 @@ def _frame(e: ElementTree.Element) -> tuple | None:
     return None if off is None or ext is None else (off, ext, pair("chOff", "x", "y") or off, pair("chExt", "cx", "cy") or ext, float(attribute(xfrm, "rot") or 0) / 60000)
 
 
+def color_of(fill: ElementTree.Element | None) -> str | None:
+    """'#RRGGBB' of a solid fill, 'scheme:<name>' of one that the theme resolves, None for others."""
+    for e in fill.iter() if fill is not None else ():
+        if local(e) == "srgbClr" and attribute(e, "val"):
+            return "#" + attribute(e, "val").upper()
+        if local(e) == "sysClr" and attribute(e, "lastClr"):
+            return "#" + attribute(e, "lastClr").upper()
+        if local(e) == "schemeClr" and attribute(e, "val"):
+            return "scheme:" + attribute(e, "val")
+    return None
+
+
+def _style(e: ElementTree.Element, kind: str) -> dict:
+    """Flips, crop, fonts, colours, link relationships and table cells of an element as its own XML gives them."""
+    places = (_child(e, "spPr", "xfrm"), _child(e, "grpSpPr", "xfrm"), _child(e, "xfrm"))
+    xfrm = next((x for x in places if x is not None), None)
+    flag = lambda name: xfrm is not None and (attribute(xfrm, name) or "0").lower() in ("1", "true")
+    out = {"flip_h": flag("flipH"), "flip_v": flag("flipV"), "crop": None, "font_sizes": None, "font_family": None, "colors": None, "links": None, "cells": None}
+    if kind == "grpSp":
+        return out
+    crop = next((x for x in e.iter() if local(x) == "srcRect"), None)
+    runs = [r for r in e.iter() if local(r) == "rPr"]
+    colors = [("fill", color_of(_child(e, "spPr", "solidFill"))), ("line", color_of(_child(e, "spPr", "ln", "solidFill"))), *(("font", color_of(_child(r, "solidFill"))) for r in runs)]
+    table = next((x for x in e.iter() if local(x) == "tbl"), None)
+    return out | {
+        "crop": [int(attribute(crop, k) or 0) / 100_000 for k in "ltrb"] if crop is not None else None,
+        "font_sizes": [int(attribute(r, "sz")) / 100 for r in runs if (attribute(r, "sz") or "").isdigit()],
+        "font_family": next((attribute(x, "typeface") for r in runs for x in r if local(x) == "latin"), None),
+        "colors": [{"role": k, "color": v} for k, v in colors if v],
+        "links": sorted({attribute(x, "id") for x in e.iter() if local(x) in ("hlinkClick", "hlinkHover") and attribute(x, "id")}),
+        "cells": [[paragraphs(c) for c in row if local(c) == "tc"] for row in table if local(row) == "tr"] if table is not None else None,
+    }
+
+
 def slide_objects(deck: str, number: int, raw: bytes, width: int, height: int) -> list[dict]:
     """The objects of a slide in drawing order, groups before their members; boxes are shares of the slide.
 
@@ -270,7 +317,7 @@ def slide_objects(deck: str, number: int, raw: bytes, width: int, height: int) -
             if f and width and height:
                 box = {"x": round((f[0][0] * sx + tx) / width, 12), "y": round((f[0][1] * sy + ty) / height, 12), "w": round(f[1][0] * sx / width, 12), "h": round(f[1][1] * sy / height, 12)}
             rels = sorted({v for x in (e.iter() if kind != "grpSp" else ()) for k, v in x.attrib.items() if k.startswith("{") and k.rpartition("}")[2] in ("embed", "link", "id", "dm") and "relationships" in k})
-            out.append({"deck_id": deck, "slide_number": number, "object_id": oid, "parent_id": parent_id, "native_id": attribute(props, "id") if props is not None else None, "name": attribute(props, "name") if props is not None else None, "type": typ, "shape_type": attribute(geom, "prst") if geom is not None else None, "placeholder": (attribute(ph, "type") or "body") if ph is not None else None, "z_order": len(out) + 1, "rotation": f[4] if f else None, "text": text, "rel_ids": rels} | box | ends | arrows)
+            out.append({"deck_id": deck, "slide_number": number, "object_id": oid, "parent_id": parent_id, "native_id": attribute(props, "id") if props is not None else None, "name": attribute(props, "name") if props is not None else None, "type": typ, "shape_type": attribute(geom, "prst") if geom is not None else None, "placeholder": (attribute(ph, "type") or "body") if ph is not None else None, "z_order": len(out) + 1, "rotation": f[4] if f else None, "text": text, "rel_ids": rels} | box | ends | arrows | _style(e, kind))
             if kind == "grpSp":
                 if f and f[3][0] and f[3][1]:
                     gx, gy = f[1][0] / f[3][0], f[1][1] / f[3][1]
@@ -311,16 +358,3 @@ def comments(parts: DataFrame) -> DataFrame:
         return out
 
     return _mapped(parts.where(F.col("part").rlike(r"/comments/[^/]*\.xml$")).select("deck_id", "part", "content"), _COMMENTS, rows)
-
-
-def image_size(content: Column) -> Column:
-    """STRUCT<format, width, height, alpha> from the header bytes of PNG, GIF and BMP images; null for others."""
-    number = lambda at, n, little: F.conv(F.hex(F.reverse(F.substring(content, at, n)) if little else F.substring(content, at, n)), 16, 10).cast("long")
-    swap = lambda at: (F.conv(F.hex(F.substring(content, at + 1, 1)), 16, 10).cast("long") * 256 + F.conv(F.hex(F.substring(content, at, 1)), 16, 10).cast("long"))
-    s = lambda f, w, h, a: F.struct(F.lit(f).alias("format"), w.alias("width"), h.alias("height"), a.alias("alpha"))
-    no = F.lit(None).cast("boolean")
-    return (
-        F.when(F.substring(content, 1, 8) == F.lit(b"\x89PNG\r\n\x1a\n"), s("png", number(17, 4, False), number(21, 4, False), F.hex(F.substring(content, 26, 1)).isin("04", "06")))
-        .when(F.substring(content, 1, 4) == F.lit(b"GIF8"), s("gif", swap(7), swap(9), no))
-        .when(F.substring(content, 1, 2) == F.lit(b"BM"), s("bmp", swap(19) + swap(21) * 65536, swap(23) + swap(25) * 65536, no))
-    )

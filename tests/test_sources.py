@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from deckmill.sources import images
 from deckmill.sources import packages as p
 from deckmill.sources import problems
 
@@ -84,7 +85,7 @@ def test_tables_of_a_package(decks):
     assert [r.text for r in p.slide_texts(p.objects(parts, order)).orderBy("slide_number").collect()] == [["Other"], ["Real title\nsecond line"]]
     assert [(r.asset_id, r.part) for r in p.media(parts, rels).collect()] == [("asset-0001", "ppt/media/image 1.png")]
     assert [(r.author_id, r.text) for r in p.comments(parts).collect()] == [("7", "hello")]
-    i = parts.where("part like '%.png'").select(p.image_size(F.col("content")).alias("i")).first().i
+    i = parts.where("part like '%.png'").select(images.image_header(F.col("content")).alias("i")).first().i
     assert (i.format, i.width, i.height, i.alpha) == ("png", 30, 20, True)
 
 
@@ -128,3 +129,42 @@ def test_requirements_of_statements(spark):
     assert got[1] == ["A first sentence that is long enough.", "A second sentence that is long enough too!"]
     assert got[2] == ["Estimate position data.", "Validate the drift", "Performance Benchmark: report over a route."]
     assert len(got[3]) == 12 and got[3][0] == "bullet number 0"
+
+
+def test_image_headers():
+    jpeg = b"\xff\xd8" + b"\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + b"\xff\xff\xc2" + struct.pack(">HBHHB", 17, 8, 40, 60, 3) + b"\x00" * 9
+    vp8x = b"RIFF" + b"\0" * 4 + b"WEBPVP8X" + b"\0" * 4 + bytes([16, 0, 0, 0]) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    vp8l = b"RIFF" + b"\0" * 4 + b"WEBPVP8L" + b"\0" * 4 + b"\x2f" + (99 | 49 << 14).to_bytes(4, "little")
+    vp8 = b"RIFF" + b"\0" * 4 + b"WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + struct.pack("<HH", 100, 50)
+    cases = {
+        png(30, 20): ("png", 30, 20, True), b"GIF89a" + struct.pack("<HH", 5, 6) + b"\x21\xf9\x04": ("gif", 5, 6, True), b"GIF87a" + struct.pack("<HH", 5, 6): ("gif", 5, 6, False),
+        b"BM" + b"\0" * 16 + struct.pack("<iiHH", 7, -8, 1, 32): ("bmp", 7, 8, True), jpeg: ("jpeg", 60, 40, False), vp8x: ("webp", 100, 50, True), vp8l: ("webp", 100, 50, True), vp8: ("webp", 100, 50, False),
+        b'<?xml version="1.0"?><svg width="9" height="9" viewBox="0 0 20 10.5">': ("svg", 20, 10.5, None), b"<svg width='30px' height='3'/>": ("svg", 30, 3, None),
+    }
+    for raw, exp in cases.items():
+        assert tuple(images.header(raw).values()) == exp
+    for raw in (None, b"", b"\xff\xd8", b"\xff\xd8\xff\xe0\x00\x01", b"BM", b"RIFF0000WEBPVP8X", b"<svg>", b"text", png(1, 1)[:20]):
+        assert images.header(raw) is None
+
+
+def test_aspect_ratios(spark):
+    df = spark.createDataFrame([(0.5, 0.5, 2.0, (("png", 100.0, 100.0, True)), [0.5, 0.0, 0.0, 0.0]), (0.5, 0.0, 2.0, None, None)], "w double, h double, s double, i struct<format:string,width:double,height:double,alpha:boolean>, c array<double>")
+    got = [tuple(r[0]) for r in df.select(images.aspect_ratios(df["w"], df["h"], df["s"], df["i"], df["c"])).collect()]
+    assert got == [(2.0, 1.0, 0.5, 1.5), (None, None, None, None)]
+
+
+def test_styles_of_objects():
+    run = f'<a:r><a:rPr sz="1800"><a:solidFill><a:schemeClr val="accent1"/></a:solidFill><a:latin typeface="Arial"/><a:hlinkClick r:id="h1"/></a:rPr><a:t>x</a:t></a:r>'
+    sp = f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="T"/></p:nvSpPr><p:spPr><a:xfrm flipH="1"><a:off x="0" y="0"/><a:ext cx="10" cy="10"/></a:xfrm><a:solidFill><a:srgbClr val="ff0000"/></a:solidFill></p:spPr><p:txBody><a:p>{run}</a:p></p:txBody></p:sp>'
+    pic = '<p:pic><p:nvPicPr><p:cNvPr id="3" name="P"/></p:nvPicPr><p:blipFill><a:srcRect l="25000" b="10000"/></p:blipFill><p:spPr/></p:pic>'
+    tbl = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name="F"/></p:nvGraphicFramePr><a:graphic><a:tbl><a:tr><a:tc><a:p><a:r><a:t>a</a:t></a:r></a:p></a:tc><a:tc><a:p/></a:tc></a:tr></a:tbl></a:graphic></p:graphicFrame>'
+    t, q, f = p.slide_objects("d", 1, slide(sp + pic + tbl).encode(), 100, 100)
+    assert (t["flip_h"], t["flip_v"], t["font_sizes"], t["font_family"], t["links"]) == (True, False, [18.0], "Arial", ["h1"])
+    assert t["colors"] == [{"role": "fill", "color": "#FF0000"}, {"role": "font", "color": "scheme:accent1"}]
+    assert q["crop"] == [0.25, 0.0, 0.0, 0.1] and f["type"] == "table" and f["cells"] == [["a", ""]]
+
+
+def test_order_without_a_list(spark):
+    raw = package(**{"ppt/presentation.xml": "<p/>", "ppt/slides/slide10.xml": slide(""), "_rels/.rels": f'<Relationships xmlns="{REL}"><Relationship Id="a" Type="{R}/officeDocument" Target="ppt/presentation.xml"/></Relationships>'})
+    parts = spark.createDataFrame(p.package_parts("x", raw), p.PARTS)
+    assert [(r.slide_number, r.part) for r in p.slide_order(parts, p.relationships(parts)).orderBy("slide_number").collect()] == [(1, "ppt/slides/slide1.xml"), (2, "ppt/slides/slide2.xml"), (3, "ppt/slides/slide10.xml")]
