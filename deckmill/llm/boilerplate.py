@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.joins import small_side
 from ..functions.lineage import cut
+from ..sources.tables import once
 
 #: Leading tokens that make inner levels of the tree. A deeper tree prunes more and has more nodes.
 DEPTH = 5
@@ -115,13 +116,6 @@ def templates(found: DataFrame, source: str) -> DataFrame:
     return g.select(source, F.array_join("t.t", " ").alias("template"), "n_lines", "n_docs")
 
 
-def once_by_key(rows: DataFrame, key: str) -> DataFrame:
-    """Each key's rows as one, of rows that are equal when redelivered. Only keys that come again are shuffled with their columns."""
-    again = small_side(cut(rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__again"))))
-    same = F.col(key).eqNullSafe(F.col("__again"))
-    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
-
-
 def without_repeated_lines(docs: DataFrame, key: str, membership: DataFrame, source: str, doc: str, text: str, **limits) -> DataFrame:
     """(key, text): each row's blocks without the lines that are boilerplate in any source of its document, each key once.
 
@@ -129,7 +123,7 @@ def without_repeated_lines(docs: DataFrame, key: str, membership: DataFrame, sou
     """
     found = cut(repeated_lines(docs, membership, source, doc, text, **limits))
     per_doc = cut(membership.join(small_side(found.select(source, "line")), source).groupBy(doc).agg(F.collect_set("line").alias("__drop")))
-    rows = once_by_key(docs.select(key, doc, F.col(text).alias("__t")), key).join(small_side(per_doc), doc, "left")
+    rows = once(docs.select(key, doc, F.col(text).alias("__t")), key).join(small_side(per_doc), doc, "left")
     kept = F.transform(F.filter("__t", lambda b: b.isNotNull()), lambda b: F.array_join(F.filter(F.split(b, "\n"), lambda p: ~F.array_contains(F.col("__drop"), line_form(p))), "\n"))
     clean = F.when(F.col("__drop").isNull(), F.col("__t")).otherwise(F.filter(kept, lambda b: b != ""))
     return rows.select(key, clean.alias(text))

@@ -95,13 +95,17 @@ def _quoted(s: str) -> str:
 INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}\x{34F}]"
 
 
-def _looks() -> str:
-    """Pairs of different writings by nested replacements and the engine's own NFC."""
+def _looks(select: str) -> str:
+    """Forms by nested replacements and the engine's own NFC."""
     from .visual_form import LOOKALIKES
 
     wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     blanks = {chr(c): " " for c in (0x9, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
     other = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212b": "\u00c5", "\u212a": "K"}
+    for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):  # accented look-alikes
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0] in LOOKALIKES and len(n := unicodedata.normalize("NFC", LOOKALIKES[d[0]] + d[1:])) == 1:
+            other[c] = n
     pairs = wide | blanks | LOOKALIKES | other
     form = "replace(e, chr(13) || chr(10), chr(10))"
     form = f"regexp_replace({form}, '{INVISIBLE}', '', 'g')"
@@ -112,8 +116,7 @@ def _looks() -> str:
 with t as (select distinct 'slide' as record_type, slide_key as key, list_transform(text, lambda e: coalesce(e, '')) as raw from slides where text is not null
  union all select distinct 'problem', problem_key, [description] from problems where description is not null),
 f as (select *, list_transform(raw, lambda e: {form}) as form from t)
-select a.record_type, a.key as key_a, b.key as key_b from f a join f b on a.record_type = b.record_type and a.form = b.form and a.key < b.key and a.raw <> b.raw
-"""
+{select}"""
 
 
 def _garbled() -> str:
@@ -136,8 +139,17 @@ union select slide_key from s where contains(t, chr(65533)) or regexp_matches(t,
 """
 
 
+_PAIRS = "select a.record_type, a.key as key_a, b.key as key_b from f a join f b on a.record_type = b.record_type and a.form = b.form and a.key < b.key and a.raw <> b.raw"
+_FORMS = """select record_type, key, array_to_string(form, chr(30)) as form from f
+union all select distinct 'slide', slide_key, null from slides where text is null union all select distinct 'problem', problem_key, null from problems where description is null"""
+_TEMPLATES = f"""with repeated as (select ps_id, line, n from ({_LINES.replace("select ps_id, line from counts", "select ps_id, line, n from counts")})),
+r as (select *, string_split(line, ' ') as w from repeated),
+g as (select ps_id, len(w) as k, array_to_string(list_slice(w, 1, 5), ' ') as head, count(*) as n_lines, max(n) as n_docs, list(w) as ws from r group by 1, 2, 3)
+select ps_id, array_to_string(list_transform(range(1, k + 1), lambda i: case when len(list_distinct(list_transform(ws, lambda x: x[i]))) = 1 then ws[1][i] else '*' end), ' ') as template, n_lines, n_docs from g"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _looks(), "p2_found": _SETS, "p2_classes": _CLASSES, "p3_found": _garbled(), "p4_found": _RESIDUE, "p5_found": _LINES, "p5_clean": _CLEAN,
+        "p1_found": _looks(_PAIRS), "p1_forms": _looks(_FORMS), "p2_found": _SETS, "p2_classes": _CLASSES, "p3_found": _garbled(), "p4_found": _RESIDUE, "p5_found": _LINES, "p5_clean": _CLEAN, "p5_templates": _TEMPLATES,
         "p6_found": _TOP.format(cols="ps_id, submission_id"), "p6_ranked": _TOP.format(cols="ps_id, submission_id, rank_in_group::int as rank_in_group"),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.ship import shipped
-from ..sources.tables import table
+from ..sources.tables import once, table
 from . import boilerplate, encodings, near_duplicates, packing, reading, residue, tokens, top_n, visual_form
 
 
@@ -24,11 +24,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every problem description and slide text in its one form."""
-    s, p = table(spark, d, "slides"), table(spark, d, "problems")
-    s = s.select(F.lit("slide").alias("record_type"), F.col("slide_key").alias("key"), visual_form.form_column(F.array_join("text", "\n")).alias("form"))
+    """Every problem description and slide text in its one form, a slide's elements set apart by U+001E; null texts stay null."""
+    s, p = once(table(spark, d, "slides").select("slide_key", "text"), "slide_key"), table(spark, d, "problems")
+    joined = F.array_join(F.transform("text", lambda e: F.coalesce(e, F.lit(""))), "\x1e")
+    s = s.select(F.lit("slide").alias("record_type"), F.col("slide_key").alias("key"), visual_form.form_column(joined).alias("form"))
     p = p.select(F.lit("problem").alias("record_type"), F.col("problem_key").alias("key"), visual_form.form_column(F.col("description")).alias("form"))
-    return s.unionByName(p).distinct()
+    return s.unionByName(p.distinct())
 
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from deckmill.llm import boilerplate as b
 from deckmill.llm import oracle, queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_classes", "p3_found", "p4_found", "p5_found", "p5_clean", "p6_found", "p6_ranked"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_forms", "p2_classes", "p3_found", "p4_found", "p5_found", "p5_clean", "p5_templates", "p6_found", "p6_ranked"])
 def test_found_equals_sql(name, same):
     same(queries.queries()[name], oracle.oracle_sql()[name])
 
