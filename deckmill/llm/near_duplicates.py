@@ -31,6 +31,8 @@ from ..functions.lineage import cut
 BITS = 64
 #: Standard errors below the threshold at which an estimate still passes.
 MARGIN = 4.5
+#: Band rows of one task of the candidate join, about.
+TASK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -173,6 +175,10 @@ def candidates(rows: DataFrame, placed: DataFrame, plans: dict[str, Plan]) -> Da
         copies = small_side(placed.where((F.col("record_type") == kind) & (F.col("key") != F.col("rep"))).select("key"))
         d = rows.where(F.col("record_type") == kind).join(copies, "key", "left_anti").select("key", "sig", F.posexplode("bands").alias("band", "k"))
         d = d.select((F.col("band").cast("bigint") * (1 << 32) + F.col("k").cast("bigint")).alias("k"), "key", "sig")
+        # tasks grow with the rows, whatever the session's number of partitions
+        spark = rows.sparkSession
+        tasks = -(-placed.where(F.col("record_type") == kind).count() * plan.bands // TASK_ROWS)
+        d = d.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
         # both sides are the very same plan, without renaming, so that they share one exchange
         equal = F.lit(BITS) - F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
         pairs = d.alias("x").join(d.alias("y"), F.col("x.k") == F.col("y.k")).where((F.col("x.key") < F.col("y.key")) & (equal >= plan.least_equal_bits()))

@@ -159,6 +159,9 @@ def packed(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> D
         if n:
             histogram[min(int(np.ceil(n * CLASSES / capacity)), CLASSES) - 1] += k
     plan, repeats = fit(histogram / max(1, total))
+    # classes are rounded up, so the counts are brought down to the containers that the true sizes fill
+    rounded = float(histogram @ np.arange(1, CLASSES + 1)) * capacity / CLASSES
+    repeats = repeats * (sum(n * k for n, k in counts.items()) / rounded if rounded else 1.0)
     shards = max(1, -(-total // SHARD_ITEMS))
     names, schema = [key, "piece", "start", "n_tokens"], T.StructType([*items.schema.fields, T.StructField("container_id", T.LongType())])
 
