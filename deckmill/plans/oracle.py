@@ -188,7 +188,8 @@ SQL: dict[str, str] = {
     "problem_weights": f"""with {_PROBLEMS}, r as (select ps_id, unnest(requirements) as q, generate_subscripts(requirements, 1) as i from pd), s as (select ps_id, i, q.id as requirement, q.weight as weight, round(q.weight / nullif(sum(q.weight) over (partition by ps_id), 0), 6) as raw, i = max(i) over (partition by ps_id) as is_last from r)
  select ps_id, requirement, weight, round(case when is_last then 1.0 - sum(case when is_last then 0.0 else raw end) over (partition by ps_id) else raw end, 6) as share from s""",
     "leaderboard": f"with {_BOARD} select * replace (place::int as place) from board",
-    "leaderboard_lines": f"with {_BOARD} select ps_id, place::int as place, printf('| %d | %s | %.2f | %s |', place, replace(submission_id, '|', '\\|'), final_score, bucket) as line from board where place <= 3",
+    "leaderboard_lines": f"""with {_BOARD} select ps_id, submission_id, printf('| %s | %s | %s | %s | %s | %s |', coalesce(place::varchar, 'REVIEW'), replace(submission_id, '|', '\\|'), ps_id, bucket, case when final_score is null then 'N/A' else printf('%.2f', final_score) end, coalesce(status, '–')) as line from board join fin using (ps_id, submission_id, final_score)
+ union all select ps_id, submission_id, printf('| REVIEW | %s | %s | %s | N/A | %s |', replace(submission_id, '|', '\\|'), ps_id, bucket, coalesce(status, '–')) from board join fin using (ps_id, submission_id) where board.final_score is null""",
     "bucket_counts": f"with {_BOARD} select bucket, count(*) as n, round(avg(final_score), 4) as mean_score from board group by bucket",
     "score_summary": f"with {_LATEST} select ps_id, count(*) as n, count(final_score) as n_scored, round(avg(final_score), 4) as mean_score, round(stddev_pop(final_score), 4) as deviation, round(median(final_score), 4) as median_score, min(final_score) as lowest, max(final_score) as highest from fin group by ps_id",
     "weighted_group": f"""with lt as (select ps_id, submission_id, unnest(max(struct_pack(scored_at := scored_at, proposal_score := proposal_score, deck_quality_score := deck_quality_score, team := team))) from submissions group by ps_id, submission_id),
@@ -207,12 +208,13 @@ SQL: dict[str, str] = {
  c as (select *, array_to_string(list_distinct(regexp_extract_all(t || u, '(?s).')), '') as chars from p), b as (select array_to_string(list_transform(range(1, 127), lambda i: chr(i::int)), '') as bytes),
  q as (select slide_key, translate(t, chars, left(bytes, length(chars))) as t, translate(u, chars, left(bytes, length(chars))) as u from c, b)
  select slide_key, levenshtein(t, u)::int as distance, round(levenshtein(t, u) / length(t), 6) as cer from q""",
-    "completeness": """with e as (select distinct deck_id from submissions where deck_id is not null), r as (select distinct deck_id from slides) select deck_id, 'missing' as state from (select * from e except select * from r) union all select deck_id, 'unexpected' from (select * from r except select * from e)""",
+    "completeness": """with e as (select distinct deck_id from decks), r as (select distinct deck_id from assets) select deck_id, 'missing' as state from (select * from e except select * from r) union all select deck_id, 'unexpected' from (select * from r except select * from e)""",
     "contract_violations": f"""with {_DECKS}, {_SLIDES}, n as (select deck_id, count(*) as n from sd group by deck_id), x as (select dd.*, n from dd left join n using (deck_id)),
  v as (select 'slide_count_differs' as rule, deck_id from x where slide_count <> coalesce(n, 0) union all select 'no_slides', deck_id from x where n is null union all select 'no_slide_count', deck_id from x where slide_count is null
  union all select 'no_statement', deck_id from x where ps_id is null union all select 'asset_without_deck', deck_id from (select distinct deck_id from assets where deck_id not in (select deck_id from dd)))
  select rule, count(*) as n, min(deck_id) as first_deck from v group by rule""",
-    "upsert_scores": "select ps_id, submission_id, count(distinct scored_at) as n_times, min(scored_at) as first_at, max(scored_at) as last_at from submissions group by ps_id, submission_id having count(distinct scored_at) > 1",
+    "upsert_scores": f"""with x as (select ps_id, submission_id, scored_at >= timestamp '2025-06-20' as part, unnest(max(struct_pack(scored_at := scored_at, final_score := final_score, status := status))) from submissions group by 1, 2, 3)
+ select distinct on (ps_id, submission_id) ps_id, submission_id, scored_at, {_FIN.format("final_score")} as final_score, status from x order by ps_id, submission_id, part desc""",
     "as_of_view": """with p as (select event_id, user_id, ts, value as paid from events where event_type = 'purchase'), v as (select user_id, ts, max(value) as seen from events where event_type = 'view' group by user_id, ts)
  select event_id, round(paid, 6) as paid, round(seen, 6) as seen from p asof left join v on p.user_id = v.user_id and p.ts >= v.ts""",
     "media_components": f"""with recursive {_ASSETS}, s as (select distinct deck_id, h from ad where h is not null and deck_id is not null), n as (select h, min(deck_id) as u from s group by h having count(*) >= 2), ed as (select distinct u, deck_id as v from s join n using (h) where u < deck_id),

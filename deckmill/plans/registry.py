@@ -11,12 +11,15 @@ from ..functions import labels
 from ..functions import text as tx
 from ..functions.ship import shipped
 from ..operators import accuracy, content, evidence, geometry, matching, metrics, responses, scoring
+from ..sources import reports
 from ..sources.tables import norm_hash, table
 from .oracle import SQL
 
 #: Parameters of the queries: thresholds and weights are data of the caller.
 BUCKETS = {"A - Excellent": 85.0, "B - Strong": 70.0, "C - Promising": 55.0}
 LOWEST = "D - Needs work"
+#: Where the time of the scorings is parted for the merge.
+HALF = "2025-06-20"
 WEIGHTS = {"proposal": 70.0, "deck": 30.0}
 STAGES = ["native", "rendered", "ocr", "vision"]
 
@@ -222,10 +225,10 @@ def leaderboard(s, d):
 
 
 def leaderboard_lines(s, d):
-    """The leaderboard as lines of a Markdown table, three best of every statement."""
-    b = leaderboard(s, d).where("place <= 3")
-    line = F.format_string("| %d | %s | %s | %s |", "place", F.replace(F.col("submission_id"), F.lit("|"), F.lit("\\|")), F.format_number("final_score", 2), "bucket")
-    return b.select("ps_id", "place", line.alias("line"))
+    """Every submission's line of its statement's leaderboard."""
+    b = leaderboard(s, d).join(_latest(s, d).select("ps_id", "submission_id", "status"), ["ps_id", "submission_id"])
+    line = reports.board_line(F.col("place"), F.col("submission_id"), F.col("ps_id"), F.col("bucket"), F.col("final_score"), F.col("status"))
+    return b.select("ps_id", "submission_id", line.alias("line"))
 
 
 def bucket_counts(s, d):
@@ -279,9 +282,8 @@ def character_error(s, d):
 
 
 def completeness(s, d):
-    """Decks that were handed in without slides, and decks with slides that nobody handed in."""
-    e = table(s, d, "submissions").select("deck_id").where("deck_id is not null")
-    return matching.completeness(e, table(s, d, "slides").select("deck_id"), ["deck_id"])
+    """Decks without any file, and decks of files that have no record."""
+    return matching.completeness(table(s, d, "decks").select("deck_id"), table(s, d, "assets").select("deck_id"), ["deck_id"])
 
 
 def contract_violations(s, d):
@@ -295,10 +297,11 @@ def contract_violations(s, d):
 
 
 def upsert_scores(s, d):
-    """First and latest scoring of each submission that was scored at different times."""
-    x = table(s, d, "submissions").select("ps_id", "submission_id", "scored_at", F.col("rank_pos").alias("r")).distinct()
-    g = x.groupBy("ps_id", "submission_id").agg(F.count_distinct("scored_at").alias("n_times"), F.min("scored_at").alias("first_at"), F.max("scored_at").alias("last_at"))
-    return g.where("n_times > 1")
+    """Each submission's scores after the rows scored in the later half of the time were merged into those of the earlier half; a merged row replaces the older one."""
+    x = scoring.latest(table(s, d, "submissions").withColumn("part", F.when(F.col("scored_at") < F.lit(HALF).cast("timestamp_ntz"), 0).otherwise(1)), ["ps_id", "submission_id", "part"], "scored_at", ["final_score", "status"])
+    side = lambda n: x.where(F.col("part") == n).select("ps_id", "submission_id", "scored_at", scoring.finite(F.col("final_score")).alias("final_score"), "status")
+    m = matching.upsert(side(0), side(1), ["ps_id", "submission_id"])
+    return matching.upsert(m, side(1), ["ps_id", "submission_id"])
 
 
 def as_of_view(s, d):
