@@ -37,14 +37,19 @@ def cell(v: Column, grid: int = GRID) -> Column:
 def overlap_pairs(df: DataFrame) -> DataFrame:
     """(slide, first_id, second_id, intersection, of_smaller, iou) of boxes that truly intersect.
 
-    A pair is made only in the cell of its intersection's top left corner, so once.
+    The left edge of one of two such boxes lies within the other's width: a box
+    stands once, in the strip of its left edge, and meets the boxes that cover
+    this strip and start before it. So a pair is made once, and a box is copied
+    into strips, never into cells of both axes.
     """
-    e = edges(df).withColumn("cx", F.explode(F.sequence(cell(F.col("x")), cell(F.col("r"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y")), cell(F.col("b")))))
-    p, q = (e.select("slide", "cx", "cy", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "x", "y", "r", "b", "area")]) for k in "pq")
-    here = (cell(F.greatest("p_x", "q_x")) == F.col("cx")) & (cell(F.greatest("p_y", "q_y")) == F.col("cy"))
-    d = p.join(q, ["slide", "cx", "cy"]).where((F.col("p_id") < F.col("q_id")) & here).withColumns({"sx": span("x", "r"), "sy": span("y", "b")}).where("sx > 0 and sy > 0").withColumn("i", F.col("sx") * F.col("sy"))
+    e = edges(df)
+    own = e.withColumn("strip", cell(F.col("x")))
+    wide = e.withColumn("strip", F.explode(F.sequence(cell(F.col("x")), cell(F.col("r")))))
+    p, q = (d.select("slide", "strip", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "x", "y", "r", "b", "area")]) for d, k in ((wide, "p"), (own, "q")))
+    before = (F.col("p_x") < F.col("q_x")) | ((F.col("p_x") == F.col("q_x")) & (F.col("p_id") < F.col("q_id")))
+    d = p.join(q, ["slide", "strip"]).where(before & (F.col("q_x") < F.col("p_r"))).withColumns({"sx": span("x", "r"), "sy": span("y", "b")}).where("sx > 0 and sy > 0").withColumn("i", F.col("sx") * F.col("sy"))
     smaller, union = F.least("p_area", "q_area"), F.col("p_area") + F.col("q_area") - F.col("i")
-    return d.select("slide", F.col("p_id").alias("first_id"), F.col("q_id").alias("second_id"), F.round("i", 6).alias("intersection"), F.round(F.col("i") / smaller, 6).alias("of_smaller"), F.round(F.col("i") / union, 6).alias("iou"))
+    return d.select("slide", F.least("p_id", "q_id").alias("first_id"), F.greatest("p_id", "q_id").alias("second_id"), F.round("i", 6).alias("intersection"), F.round(F.col("i") / smaller, 6).alias("of_smaller"), F.round(F.col("i") / union, 6).alias("iou"))
 
 
 def span(lo: str, hi: str) -> Column:
