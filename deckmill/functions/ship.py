@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -17,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[2]
-        base = os.path.join(tempfile.mkdtemp(prefix="deckmill-src-"), "deckmill")
+        folder = tempfile.mkdtemp(prefix="deckmill-src-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = os.path.join(folder, "deckmill")
         _shipped[app] = shutil.make_archive(base, "zip", root, "deckmill")
         spark.sparkContext.addPyFile(_shipped[app])
 
