@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import atexit
 import os
+import shutil
 import re
 import tempfile
 from pathlib import Path
@@ -258,7 +260,9 @@ def send(spark: SparkSession, path: str | None = None) -> tuple[str, str]:
                     words[w] = i
             except UnicodeDecodeError:
                 pass
-        lexicon = os.path.join(tempfile.mkdtemp(prefix="deckmill-lexicon-"), Path(path).name + ".lexicon")
+        folder = tempfile.mkdtemp(prefix="deckmill-lexicon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        lexicon = os.path.join(folder, Path(path).name + ".lexicon")
         Transducer.compile(words).save(lexicon)
         for f in (path, lexicon):
             spark.sparkContext.addFile(f)
