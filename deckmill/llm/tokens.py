@@ -11,12 +11,12 @@ exactly by rank. A worker keeps what it has resolved in a bounded table.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import functools
-import atexit
 import os
-import shutil
 import re
+import shutil
 import tempfile
 from pathlib import Path
 
