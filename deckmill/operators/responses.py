@@ -34,6 +34,50 @@ def checked(responses: DataFrame, slides: DataFrame, components: list[str], key:
     return d.select(key, F.when(F.col("s").isNull() | F.col("keys").isNull(), F.array(F.lit("not_json"))).otherwise(errors).alias("errors"), F.col("s").alias("scores"))
 
 
+#: Parts of the components and their weights.
+SUBCRITERIA = {
+    "solution_clarity": {"mechanism": 0.40, "user_workflow": 0.30, "inputs_outputs": 0.20, "scope": 0.10},
+    "technical_feasibility": {"architecture": 0.35, "implementation_plan": 0.25, "resources_dependencies": 0.25, "risks_mitigations": 0.15},
+    "innovation": {"differentiation": 0.40, "problem_specific_value": 0.40, "justification": 0.20},
+    "text_visual_balance": {"purpose_fit": 0.40, "complementarity": 0.35, "information_load": 0.25},
+    "content_structure": {"clear_concise_writing": 0.50, "organization": 0.30, "precision": 0.20},
+    "readability": {"legibility": 0.40, "contrast": 0.25, "hierarchy": 0.20, "unobstructed_content": 0.15},
+    "narrative_flow": {"logical_progression": 0.40, "connections": 0.35, "pacing": 0.25},
+    "visual_relevance_coherence": {"relevance": 0.50, "semantic_coherence": 0.30, "consistent_labels": 0.20},
+    "layout_space_usage": {"alignment_grouping": 0.40, "purposeful_space": 0.35, "consistency": 0.25},
+}
+
+
+def component_records(answers: DataFrame, requirements: DataFrame | None = None, key: str = "deck_id", alignment: str = "problem_statement_alignment") -> DataFrame:
+    """(key, scores MAP<name, STRUCT<score, confidence, n_missing>>) of usable answers (``checked``), for ``metrics.evaluated``.
+
+    A component's score is recomputed from its parts where these are exactly those
+    with weights (``SUBCRITERIA``; for the alignment the deck's requirements: key,
+    weights MAP<id, weight>), null if a part has none; else its own score stands.
+    Without requirements the alignment has no score. Missing evidence of a
+    component and of its parts counts, each text once.
+    """
+    a = answers.where(F.size("errors") == 0).select(key, "scores")
+    a = a.join(requirements.select(key, F.col("weights").alias("__w")), key, "left") if requirements is not None else a.withColumn("__w", F.lit(None).cast("map<string,double>"))
+    known = F.create_map(*[x for k, ws in SUBCRITERIA.items() for x in (F.lit(k), F.create_map(*[y for i, w in ws.items() for y in (F.lit(i), F.lit(w))]))])
+    none = F.array().cast("array<string>")
+
+    def record(name, r):
+        weights = F.when(name == alignment, F.col("__w")).otherwise(F.try_element_at(known, name))
+        parts = F.coalesce(r["subcriteria"], F.array().cast(f"array<{CHILD}>"))
+        ids = F.transform(parts, lambda p: p["id"])
+        own = (F.size(ids) > 0) & weights.isNotNull() & (F.size(F.array_except(ids, F.map_keys(weights))) == 0) & (F.size(F.array_except(F.map_keys(weights), ids)) == 0)
+        total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda s, w: s + w)
+        mean = lambda f: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[f] * F.try_element_at(weights, p["id"])) / total
+        lacks = F.size(F.array_distinct(F.flatten(F.concat(F.array(F.coalesce(r["missing_evidence"], none)), F.when(F.coalesce(own, F.lit(False)), F.transform(parts, lambda p: F.coalesce(p["missing_evidence"], none))).otherwise(F.array().cast("array<array<string>>"))))))
+        absent = (name == alignment) & F.col("__w").isNull()
+        score = F.when(absent, F.lit(None).cast("double")).when(F.coalesce(own, F.lit(False)), mean("score")).otherwise(r["score"])
+        sure = F.when(score.isNotNull(), F.when(F.coalesce(own, F.lit(False)), mean("confidence")).otherwise(r["confidence"]))
+        return F.struct(F.round(score, 6).alias("score"), F.round(sure, 6).alias("confidence"), lacks.cast("int").alias("n_missing"))
+
+    return a.select(key, F.transform_values("scores", record).alias("scores"))
+
+
 def reaggregated(children: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, score): weighted mean of the children's scores where their ids are exactly those that have weights, else null."""
     j = children.join(weights.withColumnRenamed("weight", "__w"), [*keys, "id"], "full")

@@ -74,3 +74,19 @@ def test_connectivity_against_pairs(spark):
     exp = sum((a[x] == a[y]) == (b[x] == b[y]) for x, y in itertools.combinations(nodes, 2)) / (30 * 29 / 2)
     e = [spark.createDataFrame(g, "a int, b int") for g in graphs]
     assert accuracy.connectivity(spark.createDataFrame([(n,) for n in nodes], "node int"), *e).first().agreement == round(exp, 6)
+
+
+def test_component_records(spark):
+    import json
+
+    from deckmill.operators import responses
+
+    part = lambda i, s, **m: {"id": i, "score": s, "confidence": 1.0, "evidence_slides": [1], "explanation": "", "missing_evidence": []} | m
+    one = {"score": 80, "confidence": 0.5, "evidence_slides": [1], "explanation": "", "missing_evidence": ["a"]}
+    scores = {"problem_statement_alignment": one | {"subcriteria": [part("r1", 20), part("r2", 100)]}, "innovation": one | {"subcriteria": [part("differentiation", 50, missing_evidence=["a", "b"]), part("problem_specific_value", 100), part("justification", 0)]}, "prototype_evidence": one | {"subcriteria": [part("legacy", 10)]}}
+    slides = spark.createDataFrame([(1, 1), (2, 1)], "deck_id long, slide_number int")
+    answers = responses.checked(spark.createDataFrame([(1, json.dumps({"scores": scores})), (2, json.dumps({"scores": scores})), (3, "no")], "deck_id long, response string"), slides, list(scores))
+    w = spark.createDataFrame([(1, {"r1": 2.0, "r2": 1.0})], "deck_id long, weights map<string,double>")
+    got = {r.deck_id: {k: tuple(v) for k, v in r.scores.items()} for r in responses.component_records(answers, w).collect()}
+    assert got[1] == {"problem_statement_alignment": (round((20 * 2 + 100) / 3, 6), 1.0, 1), "innovation": (60.0, 1.0, 2), "prototype_evidence": (80.0, 0.5, 1)}
+    assert got[2]["problem_statement_alignment"][0] is None and set(got) == {1, 2}
