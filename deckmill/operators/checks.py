@@ -100,12 +100,6 @@ def ocr_gate(images: DataFrame, least_pixels: int = 64, largest: int = 20_000_00
     return images.withColumn("skip", skip.when(F.least("width", "height") < least_pixels, "too_small").when(F.col("size") > largest, "too_large"))
 
 
-def raster_failure(error: Column) -> Column:
-    """The class of an image that couldn't be read, by its error's text."""
-    low = F.lower(error)
-    return F.when(error.isNull(), None).when(low.rlike("missing|not found|no such"), "missing").when(low.rlike("unsupported|unknown format|cannot identify"), "unsupported").when(low.rlike("truncat|corrupt|broken|crc"), "corrupt").when(low.rlike("too large|bomb|limit"), "too_large").otherwise("unreadable")
-
-
 def unique_refs(records: DataFrame, keys: list[str], refs: str) -> DataFrame:
     """(keys, refs): the distinct references of a group's records in order; nulls and blanks don't count."""
     r = records.select(*keys, F.explode(refs).alias("r")).where("r is not null and trim(r) <> ''").distinct()
