@@ -42,7 +42,7 @@ def vision_errors(answers: DataFrame, json: str = "response", version: str = "1"
     Fields must be exactly those of the contract, ids of nodes unique, edges
     between them, boxes four shares of the slide, confidences within 0 and 1.
     """
-    a = answers.withColumns({"answer": F.from_json(F.col(json), VISION), "__keys": F.json_object_keys(F.col(json))})
+    a = answers.withColumns({"answer": F.when(F.json_object_keys(F.col(json)).isNotNull(), F.from_json(F.col(json), VISION)), "__keys": F.json_object_keys(F.col(json))})
     x = F.col("answer")
     want = F.array(*[F.lit(k) for k in VISION_FIELDS])
     share = lambda b: b.isNotNull() & (F.size(b) == 4) & F.forall(b, lambda v: v.isNotNull() & v.between(0.0, 1.0))
