@@ -26,3 +26,16 @@ def test_detection_and_repair(spark):
     got = {r.slide_key: (r.text, r.n_unresolved) for r in e.restored(df, "slide_key", "text", bad).collect()}
     assert got == {1: (["Nuestra solución", None], 0), 3: (["le résumé est prêt", "ok"], 0), 4: (["Результаты"], 0), 8: (["�"], 1), 10: (["jury’s"], 0)}
     assert e.garbled_tokens(df.where("slide_key < 0"), "text").count() == 0
+
+
+def test_pieces_come_from_the_table_only():
+    word = e.read_as("Решение", "cp1252")
+    assert e.pieced(word, e.piece_tables([])) is None and e.pieced(word, e.piece_tables(list("Решени"))) == "Решение"
+    assert e.pieced(e.read_as(e.read_as("été", "cp1252"), "cp1252"), e.piece_tables([])) == "été"
+    assert e.pieced("Größe", e.piece_tables(list("Größe"))) is None
+
+
+def test_unseen_words_are_found_by_characters_of_clean_ones(spark):
+    rows = [(1, ["समाधान पानी"]), (2, [e.read_as("धान", "cp1252")]), (3, ["धान"]), (4, [e.read_as("กข", "cp1252")])]
+    bad = cut(e.garbled_tokens(spark.createDataFrame(rows, "slide_key long, text array<string>"), "text"))
+    assert {r.token: r.original for r in bad.collect()} == {e.read_as("धान", "cp1252"): "धान"}  # no clean word has the letters of the last
