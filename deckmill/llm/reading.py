@@ -68,7 +68,7 @@ _END = re.compile(r"(?<=[.!?…।])[\"'”»)]*\s+|\n\s*\n|\n(?![ \t]*[^\W\d_A-
 
 def words_in(tokens: list[str]) -> list[str]:
     """The tokens that are words, without the punctuation around them."""
-    return [w for w in [t.strip(_AROUND) for t in tokens] if w.isalpha() or _COMPOUND.fullmatch(w)]
+    return [w for t in tokens if (w := t if t.isalpha() else t.strip(_AROUND)).isalpha() or _COMPOUND.fullmatch(w)]
 
 
 def language(body: str) -> str:
@@ -80,7 +80,7 @@ def language(body: str) -> str:
                 return name
     votes: Counter = Counter()
     for t, n in Counter(body.lower().split()).items():
-        for k in _LANGUAGES_OF.get(t.strip(_AROUND), ()):
+        for k in _LANGUAGES_OF.get(t if t.isalpha() else t.strip(_AROUND), ()):
             votes[k] += n
     return max(votes, key=lambda k: (votes[k], k)) if votes else "other"
 
