@@ -32,7 +32,7 @@ BITS = 64
 #: Standard errors below the threshold at which an estimate still passes.
 MARGIN = 4.5
 #: Band rows of one task of the candidate join, about.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
