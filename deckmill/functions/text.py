@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 WORD = r"[A-Za-z0-9]+(?:['’/-][A-Za-z0-9]+)*+"
 
 
+#: Fixed value: white space other than the blank.
+_ODD = "\\t-\\r\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
 def squeeze(c: Column) -> Column:
-    """White space runs, Unicode ones too, as one blank; trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs, Unicode ones too, as one blank; trimmed. Texts with single blanks only, nearly all, aren't rewritten."""
+    return F.trim(F.when(c.rlike(f"[{_ODD}]|  "), F.regexp_replace(c, f"[ {_ODD}]+", " ")).otherwise(c))
 
 
 def fold(c: Column) -> Column:
@@ -34,17 +38,20 @@ LINK = r"(?iU)(?:https?://|www\.)\S+"
 
 
 def without_links(c: Column) -> Column:
-    return F.regexp_replace(c, LINK, "")
+    """The text without links; only texts that can hold one are searched."""
+    return F.when(F.contains(c, F.lit("://")) | F.contains(F.lower(c), F.lit("www.")), F.regexp_replace(c, LINK, "")).otherwise(c)
 
 
 def sentence_count(c: Column) -> Column:
-    """Sentence ends before white space or the text's end; a text may have none."""
-    return F.regexp_count(c, F.lit(r"(?U)[.!?](?=\s|$)"))
+    """Sentence ends before white space or the end of a squeezed text, whose blanks are all plain; a text may have none."""
+    return F.regexp_count(c, F.lit(r"[.!?](?=\s|$)"))
 
 
 def has_phrase(c: Column, phrases) -> Column:
     """Whether the column holds one of the phrases, in any letter case, with no letter, digit or low line next to it."""
-    return c.rlike(r"(?iU)(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)")
+    some = "(?:" + "|".join(re.escape(p) for p in phrases) + ")"
+    # the plain search first: it is cheap, and most texts fail it
+    return F.lower(c).rlike(some) & c.rlike(r"(?iU)(?<!\w)" + some + r"(?!\w)")
 
 
 def has_term(c: Column, term: str) -> Column:

@@ -61,11 +61,11 @@ def deck_texts(slides: DataFrame) -> DataFrame:
 
 def is_label(c: Column) -> Column:
     """Whether a label, that is, words before a colon, stands anywhere."""
-    return c.rlike(r"(?U)\b[A-Za-z][A-Za-z0-9 /&+()'-]{1,30}:")
+    return F.contains(c, F.lit(":")) & c.rlike(r"(?U)\b[A-Za-z][A-Za-z0-9 /&+()'-]{1,30}:")
 
 
 def is_bullet(c: Column) -> Column:
-    return c.rlike(r"(?U)(?:^|\s)[•▪◦●◉‣*-]\s")
+    return c.rlike(r"[•▪◦●◉‣*-]\s") & c.rlike(r"(?U)(?:^|\s)[•▪◦●◉‣*-]\s")
 
 
 def paragraph_like(words: Column, chars: Column, sentences: Column) -> Column:
@@ -106,7 +106,7 @@ def text_profile(b: DataFrame) -> DataFrame:
 def body_blocks(text: Column) -> Column:
     """The squeezed, non-blank blocks of a slide but for the first, its title; a null text has none."""
     all_ = F.filter(F.transform(F.coalesce(text, F.array().cast("array<string>")), lambda t: tx.squeeze(t)), lambda t: t != "")
-    return F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0)))
+    return F.slice(all_, 2, 2**30)
 
 
 def structure(body: Column, has_visual: Column) -> Column:

@@ -15,6 +15,9 @@ def one(spark, c, *values):
 def test_text_functions(spark):
     v = F.col("v")
     assert one(spark, tx.squeeze(v), " a \t b\n", "", None) == ["a b", "", None]
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    mixed = [f"x{a}{b}y {a} z{b}" for a in spaces for b in spaces]
+    assert one(spark, tx.squeeze(v), *mixed) == [" ".join(m.split()) for m in mixed]
     assert one(spark, tx.problem_id(v), "PS-26000044", " 25017 ", "Problem Statement ID: 7", None, "") == ["26000044", "25017", "7", "UNASSIGNED", "UNASSIGNED"]
     assert one(spark, tx.slug(v, "x"), "a b/c..", "??", None) == ["a-b-c", "x", "x"]
     assert one(spark, tx.brief(v, 8), "abcdefghij", "abc") == ["abcde...", "abc"]
