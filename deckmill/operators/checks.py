@@ -20,6 +20,8 @@ VISION = (
 )
 #: Score below which something is weak and from which it is strong; limits of the diagnostics.
 WEAK, STRONG, FEW_VISUALS, POOR_SPACE, MUCH_FILLER = 60.0, 85.0, 0.35, 0.65, 0.25
+#: Titles of findings.
+NOT_SCORED, GAP, SCORED, VISUALS, SPACE, FILLED, NO_PROPOSAL = " not scored", "Evidence gap: ", "%s: %.0f/100", "Limited visual support", "Unbalanced space usage", "Generic filler detected", "Proposal strength not assessed"
 
 
 def _finite(c: Column) -> Column:
@@ -117,7 +119,7 @@ def findings(metric_rows: DataFrame, proposal: DataFrame | None = None) -> DataF
     parts = F.map_from_arrays(F.array(*[F.lit(k) for k in metrics.DECK]), F.array(*metrics.component_scores().values()))
     d = metric_rows.select("deck_id", "visual_coverage", "space_usage", "generic_filler_ratio", parts.alias("own"))
     kind = lambda r: F.when(r["score"].isNull(), "ambiguous").when((r["n_missing"] > 0) | (r["score"] < WEAK), "weakness").when(r["score"] >= STRONG, "strength")
-    title = lambda k, r: F.when(r["score"].isNull(), F.concat(k, F.lit(" not scored"))).when(r["n_missing"] > 0, F.concat(F.lit("Evidence gap: "), k)).otherwise(F.format_string("%s: %.0f/100", k, r["score"]))
+    title = lambda k, r: F.when(r["score"].isNull(), F.concat(k, F.lit(NOT_SCORED))).when(r["n_missing"] > 0, F.concat(F.lit(GAP), k)).otherwise(F.format_string(SCORED, k, r["score"]))
 
     def listed(rows, scores):
         e = rows.select("deck_id", F.explode(scores).alias("category", "r"))
@@ -125,12 +127,12 @@ def findings(metric_rows: DataFrame, proposal: DataFrame | None = None) -> DataF
         return e.select("deck_id", kind(F.col("r")).alias("kind"), "category", title(name, F.col("r")).alias("title"), F.col("r.score").alias("value")).where("kind is not null")
 
     diagnostics = F.array_compact(F.array(
-        F.when(F.col("visual_coverage") < FEW_VISUALS, F.struct(F.lit("visual_coverage").alias("category"), F.lit("Limited visual support").alias("title"), F.col("visual_coverage").alias("value"))),
-        F.when(F.col("space_usage") < POOR_SPACE, F.struct(F.lit("space_usage").alias("category"), F.lit("Unbalanced space usage").alias("title"), F.col("space_usage").alias("value"))),
-        F.when(F.col("generic_filler_ratio") >= MUCH_FILLER, F.struct(F.lit("deck_quality").alias("category"), F.lit("Generic filler detected").alias("title"), F.col("generic_filler_ratio").alias("value"))),
+        F.when(F.col("visual_coverage") < FEW_VISUALS, F.struct(F.lit("visual_coverage").alias("category"), F.lit(VISUALS).alias("title"), F.col("visual_coverage").alias("value"))),
+        F.when(F.col("space_usage") < POOR_SPACE, F.struct(F.lit("space_usage").alias("category"), F.lit(SPACE).alias("title"), F.col("space_usage").alias("value"))),
+        F.when(F.col("generic_filler_ratio") >= MUCH_FILLER, F.struct(F.lit("deck_quality").alias("category"), F.lit(FILLED).alias("title"), F.col("generic_filler_ratio").alias("value"))),
     ))
     out = listed(d, "own").unionByName(d.select("deck_id", F.explode(diagnostics).alias("f")).select("deck_id", F.lit("weakness").alias("kind"), "f.*"))
-    none = lambda rows: rows.select("deck_id", F.lit("ambiguous").alias("kind"), F.lit("proposal_strength").alias("category"), F.lit("Proposal strength not assessed").alias("title"), F.lit(None).cast("double").alias("value"))
+    none = lambda rows: rows.select("deck_id", F.lit("ambiguous").alias("kind"), F.lit("proposal_strength").alias("category"), F.lit(NO_PROPOSAL).alias("title"), F.lit(None).cast("double").alias("value"))
     if proposal is None:
         return out.unionByName(none(d))
     given = proposal.select("deck_id", F.map_filter("scores", lambda k, v: k.isin(*metrics.PROPOSAL)).alias("s"))

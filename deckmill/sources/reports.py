@@ -9,7 +9,9 @@ from ..functions.text import brief
 from ..operators import metrics
 from .sinks import cell
 
-#: Heads of the tables.
+#: Headings, heads of the tables and lines of the reports.
+STATEMENT, REPORT, SCORECARD, TITLE, NO_TITLE = "## Problem Statement `%s`", "# Deck Evaluation Report", "## Scorecard", "- Title: ", "Unavailable"
+REVIEW_LINE, SCORE_LINE = "- Final score: `REVIEW` (a complete weighted score was not available)", "- Final score: `%.2f/100` (proposal `%.2f/70` + deck `%.2f/30`)"
 BOARD_HEAD = ("| Rank | Submission | Team | Bucket | Score | Status |", "| ---: | --- | --- | --- | ---: | --- |")
 SCORE_HEAD = ("| Metric | Score | Points |", "| --- | ---: | ---: |")
 
@@ -31,7 +33,7 @@ def leaderboard(board: DataFrame) -> DataFrame:
     board: ps_id, submission_id, team, bucket, final_score, status, place, problem_title.
     """
     head = board.groupBy("ps_id").agg(F.max("problem_title").alias("title"))
-    lines = F.array(F.format_string("## Problem Statement `%s`", "ps_id"), F.lit(""), F.concat(F.lit("- Title: "), F.coalesce("title", F.lit("Unavailable"))), F.lit(""), *[F.lit(x) for x in BOARD_HEAD])
+    lines = F.array(F.format_string(STATEMENT, "ps_id"), F.lit(""), F.concat(F.lit(TITLE), F.coalesce("title", F.lit(NO_TITLE))), F.lit(""), *[F.lit(x) for x in BOARD_HEAD])
     top = head.select("ps_id", F.posexplode(lines).alias("section", "line"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("submission_id"))
     line = board_line(F.col("place"), F.col("submission_id"), F.col("team"), F.col("bucket"), F.col("final_score"), F.col("status"))
     rows = board.select("ps_id", F.when(F.col("place").isNull(), 101).otherwise(100).alias("section"), line.alias("line"), "place", "submission_id")
@@ -44,10 +46,10 @@ def scorecards(evaluated: DataFrame, components: DataFrame, found: DataFrame | N
     evaluated: of ``metrics.evaluated``. components: (deck_id, scores MAP<name,
     STRUCT<score, ...>>). found: of ``checks.findings``.
     """
-    final = F.when(F.col("final.score").isNull(), F.lit("- Final score: `REVIEW` (a complete weighted score was not available)")).otherwise(
-        F.format_string("- Final score: `%.2f/100` (proposal `%.2f/70` + deck `%.2f/30`)", "final.score", F.col("proposal.score") * metrics.PROPOSAL_WEIGHT, F.col("deck_quality.score") * metrics.DECK_WEIGHT)
+    final = F.when(F.col("final.score").isNull(), F.lit(REVIEW_LINE)).otherwise(
+        F.format_string(SCORE_LINE, "final.score", F.col("proposal.score") * metrics.PROPOSAL_WEIGHT, F.col("deck_quality.score") * metrics.DECK_WEIGHT)
     )
-    top = F.array(F.lit("# Deck Evaluation Report"), F.lit(""), F.lit("## Scorecard"), F.lit(""), final, F.lit(""), *[F.lit(x) for x in SCORE_HEAD])
+    top = F.array(F.lit(REPORT), F.lit(""), F.lit(SCORECARD), F.lit(""), final, F.lit(""), *[F.lit(x) for x in SCORE_HEAD])
     out = evaluated.select("deck_id", F.lit(0).alias("section"), F.posexplode(top).alias("n", "line"))
     points = metrics.PROPOSAL | metrics.DECK
     entries = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(k.replace("_", " ").capitalize()).alias("name"), F.lit(v).alias("points"), F.try_element_at("scores", F.lit(k))["score"].alias("score")) for i, (k, v) in enumerate(points.items())])
